@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.llm import bpe, chat, quality_rules, token_counts, topk
+from provlake.llm import bpe, chat, minhash, quality_rules, suffix_dedup, token_counts, topk
 from provlake.llm._shared import table
 
 
@@ -25,11 +25,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_report(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 2048)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.topk(rows, rows.where("vec_id % 50 = 0"), 5)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chat.preferences(chat.neighbours(table(spark, sf_dir, "conversations")))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",").alias(c)
@@ -42,7 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op5_topk, op9_preferences, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_near_duplicates, op5_topk, op6_suffix_dedup, op9_preferences, op10_quality_rules)}
 
 
 _OP5 = """
