@@ -30,6 +30,8 @@ COORDINATES = BANDS * ROWS
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 2))
 #: Signatures that agree in fewer coordinates aren't looked at more closely: at 0.8, five standard deviations below.
 AGREE = int(COORDINATES * (SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / COORDINATES) ** 0.5))
+#: Texts of one side of a tile, about.
+CHUNK = 256
 #: Bytes of text of one step.
 STEP = 1 << 19
 
@@ -165,8 +167,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
-    with_a = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
+    with_a = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    with_b = with_a.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_linked(least), "a long, b long")
 
 
@@ -180,8 +182,9 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
 
     Equal texts stand for each other from the start. In each bucket of a band every text is compared with the one of
     the smallest id; where a bucket still holds several classes after that, texts outside the class of the bucket's
-    first are compared with every member of another class. So pairs within one class are not enumerated, and no two
-    texts of a bucket stay apart untested; signatures that agree in fewer than AGREE coordinates count as tested.
+    first are compared, in tiles of chunks, with the members of other classes. So pairs within one class are not
+    enumerated, and no two texts of a bucket stay apart untested; signatures that agree in fewer than AGREE coordinates
+    count as tested. Joins don't broadcast, as all tables here grow with the documents.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -189,22 +192,24 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     firsts = saved(signed.groupBy("whole").agg(F.min("doc").alias("rep")), "firsts")
     reps = saved(signed.join(firsts.withColumnRenamed("whole", "w"), (F.col("whole") == F.col("w")) & (F.col("doc") == F.col("rep"))).dropDuplicates(["whole"]).select("rep", "whole", "bands", "short"), "reps")
     members = reps.select("rep", F.explode("bands").alias("band"))
-    leaders = saved(members.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "leaders")
-    buckets = saved(members.join(leaders, "band"), "buckets")
+    leaders = saved(members.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
+    buckets = saved(members.join(leaders.hint("merge"), "band"), "buckets")
     pairs = buckets.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     needed = buckets.select(F.col("rep").alias("doc")).distinct()
-    texts = saved(docs.join(needed, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+    texts = saved(docs.join(needed.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
     links = saved(_links(saved(pairs, "pairs"), texts, least), "links")
     labels = components(links)
 
-    # buckets that hold several classes
+    # buckets that hold several classes: chunks of texts outside the first's class meet chunks of the bucket
     short = reps.select("rep", "short")
     label = lambda name, out: labels.select(F.col("node").alias(name), F.col("label").alias(out))
-    placed = saved(buckets.join(label("rep", "l"), "rep", "left").join(label("leader", "m"), "leader", "left").select("band", "rep", "leader", F.coalesce("l", "rep").alias("class"), F.coalesce("m", "leader").alias("first")), "placed")
-    rest = saved(placed.where("class <> first").join(short, "rep").select("band", F.col("rep").alias("a"), F.col("class").alias("class_a"), F.col("short").alias("short_a")), "rest")
-    mixed = saved(rest.select("band").distinct(), "mixed")
-    others = saved(placed.join(mixed, "band", "left_semi").join(short, "rep").where("rep <> leader").select("band", F.col("rep").alias("b"), (F.col("class") == F.col("first")).alias("home"), F.col("class").alias("class_b"), F.col("short").alias("short_b")), "others")
-    near = rest.join(others, "band").where("class_a <> class_b and (home or a < b)").mapInArrow(_agreeing(), "a long, b long").distinct()
+    placed = saved(buckets.join(label("rep", "l").hint("merge"), "rep", "left").join(label("leader", "m").hint("merge"), "leader", "left").select("band", "rep", "leader", "n", F.coalesce("l", "rep").alias("class"), F.coalesce("m", "leader").alias("first")), "placed")
+    mixed = saved(placed.where("class <> first").select("band").distinct(), "mixed")
+    inside = saved(placed.where("rep <> leader").join(mixed.hint("merge"), "band", "left_semi").join(short.hint("merge"), "rep"), "inside")
+    chunks = inside.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CHUNK))).withColumn("home", F.col("class") == F.col("first"))
+    chunks = saved(chunks.groupBy("band", "home", "chunk").agg(F.collect_list(F.struct("rep", "class", "short")).alias("texts")), "chunks")
+    rest = chunks.where("not home").select("band", F.col("texts").alias("left"))
+    near = rest.join(chunks.select("band", "home", F.col("texts").alias("right")).hint("merge"), "band").select("home", "left", "right").mapInArrow(_agreeing, "a long, b long").distinct()
     more = saved(_links(saved(near, "more"), texts, least), "more-links")
     every = links if more.isEmpty() else saved(links.union(more).distinct(), "all-links")
     labels = labels if more.isEmpty() else components(every)
@@ -215,23 +220,21 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     return docs.select("doc").join(saved(classed, "classes").withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"), "left").select(F.col("doc").alias("doc_id"), F.coalesce("label", "doc").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _agreeing() -> Callable:
-    """Pairs whose signatures agree in AGREE coordinates or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = {n: k for k, n in enumerate(batch.schema.names)}
-            if not batch.num_rows:
-                continue
-            sides = [np.frombuffer(packed_binary(batch.column(at[c])), np.uint16).reshape(-1, COORDINATES) for c in ("short_a", "short_b")]
-            good = pa.array((sides[0] == sides[1]).sum(axis=1) >= AGREE)
-            yield pa.RecordBatch.from_arrays([batch.column(at["a"]).filter(good), batch.column(at["b"]).filter(good)], names=["a", "b"])
-
-    return run
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different classes, once each, whose signatures agree in AGREE coordinates or more; by tiles of chunks."""
 
+    def side(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        short = np.frombuffer(b"".join(r["short"] for r in rows), np.uint16).reshape(-1, COORDINATES)
+        return np.array([r["rep"] for r in rows], np.int64), np.array([r["class"] for r in rows], np.int64), short
 
-def packed_binary(column: pa.Array) -> bytes:
-    return packed(column)[0].tobytes()
+    for batch in batches:
+        for tile in batch.to_pylist():
+            (a, class_a, short_a), (b, class_b, short_b) = side(tile["left"]), side(tile["right"])
+            for k in range(len(a)):
+                some = (class_b != class_a[k]) & (tile["home"] | (a[k] < b))
+                good = b[some][(short_b[some] == short_a[k]).sum(axis=1) >= AGREE]
+                if len(good):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), a[k])), pa.array(good)], names=["a", "b"])
 
 
 def one_of_each(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

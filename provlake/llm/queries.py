@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.llm import bpe, chat, minhash, quality_rules, suffix_dedup, token_counts, topk
+from provlake.llm import bpe, chat, html_text, minhash, mixing, quality_model, quality_rules, suffix_dedup, token_counts, topk
 from provlake.llm._shared import table
 
 
@@ -29,6 +30,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.topk(rows, rows.where("vec_id % 50 = 0"), 5)
@@ -38,6 +43,14 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chat.preferences(chat.neighbours(table(spark, sf_dir, "conversations")))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",").alias(c)
@@ -50,7 +63,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_near_duplicates, op5_topk, op6_suffix_dedup, op9_preferences, op10_quality_rules)}
+    named = (op1_bpe, op2_token_counts, op3_near_duplicates, op4_html_text, op5_topk, op6_suffix_dedup, op7_mixing, op8_quality_model, op9_preferences, op10_quality_rules)
+    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 _OP5 = """

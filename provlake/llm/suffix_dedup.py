@@ -24,7 +24,7 @@ from provlake.llm._shared import dense, mix, packed, per_text, pieces, ragged, s
 LENGTH, ANCHOR = 50, 24
 WINDOW = LENGTH - ANCHOR + 1
 #: Bytes of text in a block and of text that one shard stands for; text of one batch of the index.
-BLOCK, SHARD, BATCH = 4 << 20, 14 << 20, 1 << 19
+BLOCK, SHARD, BATCH = 4 << 20, 8 << 20, 1 << 19
 LEAST_SHARDS, MOST_SHARDS = 64, 65_535
 #: Bits of the hashes that are sent; two strings with equal bits only cost time.
 BITS = 48
@@ -72,6 +72,15 @@ def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _tight(raw: bytes) -> bytes:
+    """Compressed, with the size before it."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _loose(tight: bytes) -> bytes:
+    return pa.decompress(tight[8:], int.from_bytes(tight[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _short(h: np.ndarray) -> np.ndarray:
     return mix(h) >> np.uint64(64 - BITS)
 
@@ -250,7 +259,7 @@ def _send_pieces(shards: int, id_place: int, text_place: int) -> Callable:
                 least, most = np.full(len(place), _LAST), np.full(len(place), np.iinfo(np.int64).min)
                 np.minimum.at(least, which, owner[mine])
                 np.maximum.at(most, which, owner[mine])
-                for k, v in (("shard", s), ("block", block), ("text", b"".join(place)), ("sizes", np.array([len(x) for x in place], "<u4").tobytes()), ("least", least.tobytes()), ("most", most.tobytes()), ("which", which.astype("<u4").tobytes()), ("starts", start[mine].astype("<u4").tobytes())):
+                for k, v in (("shard", s), ("block", block), ("text", _tight(b"".join(place))), ("sizes", _tight(np.array([len(x) for x in place], "<u4").tobytes())), ("least", least.tobytes()), ("most", most.tobytes()), ("which", _tight(which.astype("<u4").tobytes())), ("starts", _tight(start[mine].astype("<u4").tobytes()))):
                     out[k].append(v)
         return pa.table({k: pa.array(v, pa.int32() if k == "shard" else pa.int64() if k == "block" else pa.binary()) for k, v in out.items()})
 
@@ -268,9 +277,9 @@ def _indexed(group: pa.Table) -> pa.Table:
     known: dict[bytes, int] = {}
     local, least = [], []
     for row in rows:
-        size = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+        size = np.frombuffer(_loose(row["sizes"]), "<u4").astype(np.int64)
         ends = np.cumsum(size).tolist()
-        text = row["text"]
+        text = _loose(row.pop("text"))
         local.append(np.array([known.setdefault(text[a:b], len(known)) for a, b in zip([0, *ends], ends)], np.int64))
         least.append(np.frombuffer(row["least"], np.int64))
     smallest = np.full(len(known), _LAST)
@@ -314,14 +323,14 @@ def _indexed(group: pa.Table) -> pa.Table:
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept")
 
 
-def _cut(id_place: int, text_place: int, names: list[str]) -> Callable:
+def _cut(id_place: int, text_place: int, names: list[str], as_text: bool) -> Callable:
     def run(blocks: pa.Table, found: pa.Table) -> pa.Table:
         out = []
         for rows in blocks.column("rows"):
             batch, data, at, ids = _unpack(rows.as_py(), id_place, text_place)
             edge = np.zeros(len(data) + 1, np.int32)
             for row in found.to_pylist():
-                which, starts = np.frombuffer(row["which"], "<u4").astype(np.int64), np.frombuffer(row["starts"], "<u4").astype(np.int64)
+                which, starts = (np.frombuffer(_loose(row[k]), "<u4").astype(np.int64) for k in ("which", "starts"))
                 piece = np.frombuffer(row["piece"], "<u4").astype(np.int64)
                 head = np.searchsorted(piece, np.arange(int(which.max()) + 2))
                 each = head[which + 1] - head[which]
@@ -339,16 +348,18 @@ def _cut(id_place: int, text_place: int, names: list[str]) -> Callable:
             rise[begins] = removed[begins]
             kept, n_removed = data[~removed].tobytes(), per_text(removed, at)
             ends = np.cumsum(np.diff(at) - n_removed).tolist()
-            columns = [pa.array(np.diff(at)), pa.array(n_removed), pa.array(per_text(rise, at)), pa.array([kept[a:b] for a, b in zip([0, *ends], ends)], pa.binary())]
+            left = [kept[a:b] for a, b in zip([0, *ends], ends)]
+            left = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary())
+            columns = [pa.array(np.diff(at)), pa.array(n_removed), pa.array(per_text(rise, at)), left]
             out.append(pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names))
         return pa.Table.from_batches(out)
 
     return run
 
 
-def suffix_dedup(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def suffix_dedup(documents: DataFrame, id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
     """All columns of documents, with n_bytes, n_removed, n_spans (maximal removed runs) and kept, the bytes that
-    remain, as a binary.
+    remain, as a binary; as_text: as a string, where a character that was cut in two is left out whole.
 
     A byte goes if it is covered by a string of LENGTH bytes that also starts in a document with a smaller id; all is
     judged on the texts as they come. Null and empty texts have no bytes. A row with a null id comes after all others:
@@ -364,9 +375,10 @@ def suffix_dedup(documents: DataFrame, id: str = "doc_id", text: str = "text") -
     masks = hashes.groupBy("shard").applyInArrow(_shared, "block long, shard int, shared binary")
     by_block = blocks.select("block", "rows").groupBy("block")
     sent = by_block.cogroup(masks.groupBy("block")).applyInArrow(_send_pieces(shards, id_place, text_place), _PIECES)
-    found = saved(sent.groupBy("shard").applyInArrow(_indexed, _FOUND), "found")
+    # one plan, so that both uses of the blocks share their exchange
+    found = sent.groupBy("shard").applyInArrow(_indexed, _FOUND)
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema)
-    return by_block.cogroup(found.groupBy("block")).applyInArrow(_cut(id_place, text_place, [*frame.columns, *ADDED]), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return by_block.cogroup(found.groupBy("block")).applyInArrow(_cut(id_place, text_place, [*frame.columns, *ADDED], as_text), f"{fields}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def suffix_digest(documents: DataFrame) -> DataFrame:
@@ -375,7 +387,6 @@ def suffix_digest(documents: DataFrame) -> DataFrame:
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
-    """documents with what remains of each text; a character that was cut in two is left out whole."""
-    made = suffix_dedup(documents)
-    text = F.when(F.col("n_removed") > 0, F.decode(F.col("kept"), F.lit("utf-8"))).otherwise(F.col("text"))
-    return made.withColumn("text", text).drop(*ADDED)
+    """documents with what remains of each text; a null text stays null."""
+    made = suffix_dedup(documents, as_text=True)
+    return made.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept"))).drop(*ADDED)
