@@ -2,10 +2,341 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from provlake.functions import expressions as x
+from provlake.model import STATUS, Policy
+from provlake.operators import compose, diff, explain, hierarchy, ingest, query
+from provlake.plans.snapshots import Snapshot
+from provlake.sources import events
+
+DAY = events.DAY
+POLICY = Policy(fresh=DAY, aging=3 * DAY)
+TWO_DAYS = 2 * DAY
+
+_OBS = """obs as (select 'source/s' || (user_id % 6) as source, 'boot-' || (ns // 864000000000000) as incarnation, event_id + 1 as sequence,
+  1 + (ns - 1704067200000000000) // 1296000000000000 as generation, 1 + ((ns - 1704067200000000000) // 432000000000000) % 3 as epoch, 'device/d' || (event_id % 40) as subject,
+  case event_type when 'click' then 'link.state' when 'view' then 'operational.health' when 'error' then 'failure.state' when 'purchase' then 'reachability.state' when 'signup' then 'congestion.level' end as aspect,
+  case when value < 8 then 'low' when value < 20 then 'mid' else 'high' end as value, not ((event_id % 40) % 8 = 7 and event_type = 'signup') as supported, event_id % 23 = 0 as recovered,
+  ns as observed_at, ns + (event_id % 5) * 1000000000 as received_at, event_id from (select *, epoch_us(ts) * 1000 as ns from events))"""
+
+
+def _composed(source: str = "obs", p: str = "", later: int = 0) -> str:
+    """Common table expressions from claims to aspects; their names begin with p."""
+    return f"""
+{p}hw as (select max(generation) as high, max(received_at) + {later} as evaluated from {source}), {p}ep as (select max(epoch) as high_epoch from {source}, {p}hw where generation = high),
+{p}ci as (select source, incarnation as current from {source} qualify row_number() over (partition by source order by received_at desc, incarnation desc) = 1),
+{p}r0 as (select o.*, high, high_epoch, current, generation < high as old_generation, generation = high and epoch < high_epoch as old_epoch, incarnation <> current as old_incarnation,
+  row_number() over (partition by subject, aspect, o.source, incarnation order by sequence desc) > 1 as old_sequence, greatest(evaluated - least(observed_at, received_at), 0) as age from {source} o cross join {p}hw cross join {p}ep join {p}ci on o.source = {p}ci.source),
+{p}r1 as (select *, case when recovered then greatest(f, 1) else f end as freshness, not (old_generation or old_epoch or old_incarnation or old_sequence) as is_current from (select *, case when age <= {DAY} then 0 when age <= {3 * DAY} then 1 else 2 end as f from {p}r0)),
+{p}rec as (select *, supported and is_current and freshness = 0 as assertive from {p}r1),
+{p}kept as (select * from {p}rec qualify row_number() over (partition by subject, aspect order by is_current desc, freshness, sequence desc, source, incarnation) <= 32),
+{p}need as (select * from (values ('link.state', 1, 2), ('operational.health', 1, 0), ('failure.state', 1, 2), ('reachability.state', 2, 3), ('congestion.level', 1, 2)) t(aspect, ns, na)),
+{p}ag as (select subject, aspect, count(*) as claims, bool_or(supported) as any_supported, count(*) filter (assertive) as assertions, count(*) filter (not supported) as unsupported, count(*) filter (is_current and supported) as current,
+  count(distinct value) filter (assertive) as nvalues, count(distinct source) filter (assertive) as fresh, max(value) filter (assertive) as agreed0 from {p}kept group by 1, 2),
+{p}asp as (select a.*, ns, na, case when not any_supported then 1 when assertions = 0 then 3 when nvalues > 1 then 2 when fresh < ns or 2 < na then 4 else 5 end as code, case when code = 5 then agreed0 end as agreed,
+  case code when 1 then 'unsupported' when 2 then 'conflicting' when 3 then 'stale' when 4 then 'incomplete' when 5 then 'known' end as truth from {p}ag a join {p}need using (aspect)),
+{p}sig as (select subject, aspect, string_agg(s, ',' order by s) as signature from (select distinct subject, aspect, source || ':' || freshness as s from {p}kept) group by 1, 2)"""
+
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _with(select: str, later: bool = False) -> str:
+    return f"with {_OBS}, {_composed()}" + (f", {_composed('obs', 'b_', TWO_DAYS)}" if later else "") + " " + select
+
+
+def _snapshot(spark: SparkSession, d: str) -> Snapshot:
+    return Snapshot(events.load(spark, d), POLICY)
+
+
+def _later(spark: SparkSession, d: str) -> Snapshot:
+    return Snapshot(events.load(spark, d), POLICY, F.col("received_max") + TWO_DAYS)
+
+
+_ASPECT = "subject, aspect, truth, agreed, cast(case when code in (2, 4, 5) then fresh else 0 end as bigint) as fresh_sources, case when code in (2, 4, 5) then 'reported' else 'none' end as best_authority, cast(nvalues as bigint) as n_values"
+
+
+@_query(_with(f"select {_ASPECT} from asp"))
+def aspect_truth(spark, d):
+    return _snapshot(spark, d).aspects.select("subject", "aspect", "truth", "agreed", "fresh_sources", "best_authority", F.col("values").alias("n_values"))
+
+
+@_query(f"with {_OBS} select source, incarnation, sequence, generation, epoch, subject, aspect, value, supported, recovered, observed_at, received_at from obs")
+def claims_flat(spark, d):
+    return events.load(spark, d).drop("event_id", "arrival_seq", "revision")
+
+
+@_query(f"with {_OBS}, h as (select max(generation) as high from obs) select high, (select max(epoch) from obs where generation = high) as high_epoch, max(observed_at) as observed_max, max(received_at) as received_max, min(received_at) as received_min from obs, h group by high")
+def high_water(spark, d):
+    return compose.high_water(events.load(spark, d))
+
+
+@_query(_with("select source, current from ci"))
+def current_incarnation(spark, d):
+    return compose.current_incarnation(events.load(spark, d))
+
+
+@_query(_with("select event_id, age, cast(freshness as int) as freshness from rec"))
+def freshness(spark, d):
+    claims = events.load(spark, d)
+    return Snapshot(claims, POLICY).records.crossJoin(F.broadcast(claims.agg(F.max("received_at").alias("at")))).select("event_id", x.age(F.col("at"), F.least("observed_at", "received_at")).alias("age"), "freshness")
+
+
+@_query(_with("select event_id, old_generation, old_epoch, old_incarnation, old_sequence, is_current, assertive from rec"))
+def supersession(spark, d):
+    return _snapshot(spark, d).records.select("event_id", "old_generation", "old_epoch", "old_incarnation", "old_sequence", "is_current", "assertive")
+
+
+@_query(_with("select subject, aspect, source, incarnation, sequence, value from rec where not old_sequence"))
+def latest_claim(spark, d):
+    return _snapshot(spark, d).records.where("not old_sequence").select("subject", "aspect", "source", "incarnation", "sequence", "value")
+
+
+@_query(_with("select subject, aspect, event_id, is_current from kept"))
+def claim_topk(spark, d):
+    return _snapshot(spark, d).retained.select("subject", "aspect", "event_id", "is_current")
+
+
+@_query("select aspect, cast(s as int) as need_sources, cast(a as int) as need_authority from (values ('identity.labels',1,0),('topology.parent',1,0),('link.state',1,2),('device.model',1,0),('port.state',1,2),('path.state',2,2),('capacity.bandwidth_bps',1,2),('reachability.state',2,3),('authority.owner',1,4),('failure.state',1,2),('partition.membership',1,2),('congestion.level',1,2),('operational.admin_state',1,2),('operational.health',1,0)) t(aspect, s, a)")
+def coverage(spark, d):
+    return POLICY.table(spark)
+
+
+@_query(_with("select g.subject, g.aspect, value, sources, n_sources, cast(n as bigint) as n_values from (select subject, aspect, value, string_agg(distinct source, ',' order by source) as sources, count(distinct source) as n_sources, count(*) over (partition by subject, aspect) as n from rec where assertive group by 1, 2, 3) g where n > 1"))
+def conflict_groups(spark, d):
+    return compose.conflict_groups(_snapshot(spark, d).records)
+
+
+@_query(_with("select subject, case min(code) when 1 then 'unsupported' when 2 then 'conflicting' when 3 then 'stale' when 4 then 'incomplete' else 'known' end as worst_truth, count(*) as aspects, 'unknown' as topology_truth from asp group by 1"))
+def subject_worst_truth(spark, d):
+    return compose.subject_states(_snapshot(spark, d).aspects)
+
+
+@_query(_with("select truth, count(*) as aspects from asp group by 1"))
+def stats_by_truth(spark, d):
+    return compose.stats(_snapshot(spark, d).aspects)
+
+
+@_query(_with("select split_part(aspect, '.', 1) as domain, count(*) as claims, count(*) filter (is_current) as current, count(*) filter (not is_current) as superseded, count(*) filter (assertive) as assertive from rec group by 1"))
+def stats_by_domain(spark, d):
+    return _snapshot(spark, d).records.groupBy(F.substring_index("aspect", ".", 1).alias("domain")).agg(F.count("*").alias("claims"), F.count_if("is_current").alias("current"), F.count_if(~F.col("is_current")).alias("superseded"), F.count_if("assertive").alias("assertive"))
+
+
+@_query(_with("select count(*) as aspects, count(distinct subject) as subjects, count(*) filter (truth = 'known') as known, count(*) filter (truth = 'conflicting') as conflicting, cast(sum(case when truth = 'conflicting' then nvalues else 0 end) as bigint) as conflict_groups, cast(sum(claims) as bigint) as claims from asp"))
+def snapshot_stats(spark, d):
+    return _snapshot(spark, d).aspects.agg(F.count("*").alias("aspects"), F.count_distinct("subject").alias("subjects"), F.count_if(F.col("truth") == "known").alias("known"), F.count_if(F.col("truth") == "conflicting").alias("conflicting"), F.sum(F.when(F.col("truth") == "conflicting", F.col("values")).otherwise(0)).alias("conflict_groups"), F.sum("claims").alias("claims"))
+
+
+@_query(_with(f"select s.source, records, last_sequence, last_observation, last_receive, boots, current, case when age <= {DAY} then 'fresh' when age <= {3 * DAY} then 'aging' else 'stale' end as freshness from (select source, count(*) as records, max(sequence) as last_sequence, max(observed_at) as last_observation, max(received_at) as last_receive, count(distinct incarnation) as boots, (select evaluated from hw) - least(max(observed_at), max(received_at)) as age from obs group by 1) s join ci using (source)"))
+def source_summary(spark, d):
+    claims = events.load(spark, d)
+    at = claims.agg(F.max("received_at").alias("at"))
+    by = compose.source_summary(claims, POLICY, F.lit(0)).drop("freshness").crossJoin(F.broadcast(at))
+    return by.withColumn("freshness", x.named(("fresh", "aging", "stale"), x.freshness(F.col("at"), F.col("last_observation"), F.col("last_receive"), F.lit(False), POLICY.fresh, POLICY.aging))).drop("at")
+
+
+def _filtered(name: str, wanted: query.Filter, where: str, limit: int = 4096) -> None:
+    def run(spark, d):
+        return query.run(_snapshot(spark, d).aspects, wanted).select("subject", "aspect", "truth", "agreed")
+
+    run.__name__ = name
+    _query(_with(f"select subject, aspect, truth, agreed from asp where {where} and subject in (select distinct subject from asp where {where} order by subject limit {limit})"))(run)
+
+
+_filtered("query_kind", query.Filter(kind="device"), "subject like 'device/%'")
+_filtered("query_domain", query.Filter(domains=("link", "failure")), "split_part(aspect, '.', 1) in ('link', 'failure')")
+_filtered("query_truth", query.Filter(truths=("conflicting", "stale")), "truth in ('conflicting', 'stale')")
+_filtered("query_aspect", query.Filter(aspect="operational.health"), "aspect = 'operational.health'")
+_filtered("query_limit", query.Filter(limit=7), "true", 7)
+
+
+@_query(f"with {_OBS} select event_id, source, sequence from obs order by event_id desc limit 25")
+def retained_records(spark, d):
+    return query.last_records(events.load(spark, d), 25).select("event_id", "source", "sequence")
+
+
+_FOREST = """nodes as (select 'site/' || lpad(cast(r_regionkey as varchar), 10, '0') as node, 'site' as kind, null as parent from region
+ union all select 'pod/' || lpad(cast(n_nationkey as varchar), 10, '0'), 'pod', 'site/' || lpad(cast(n_regionkey as varchar), 10, '0') from nation
+ union all select 'rack/' || lpad(cast(c_custkey as varchar), 10, '0'), 'rack', 'pod/' || lpad(cast(c_nationkey as varchar), 10, '0') from customer where c_custkey % 50 <> 0{orders})"""
+_ORDERS = " union all select 'device/' || lpad(cast(o_orderkey as varchar), 10, '0'), 'device', 'rack/' || lpad(cast(o_custkey as varchar), 10, '0') from orders"
+
+
+def _walked(orders: bool, start: str, depth: int) -> str:
+    return f"with recursive {_FOREST.format(orders=_ORDERS if orders else '')}, w as (select node, kind, 0 as depth, node as path from nodes n where ({start}) union all select n.node, n.kind, depth + 1, path || '>' || n.node from w join nodes n on n.parent = w.node where depth < {depth}) select node, kind, cast(depth as int) as depth, path from w"
+
+
+_ROOT = "parent is null or parent not in (select node from nodes)"
+
+
+@_query(_walked(True, _ROOT, 16))
+def hierarchy_walk(spark, d):
+    return hierarchy.walk(events.forest(spark, d, True))
+
+
+@_query(_walked(True, _ROOT, 1))
+def hierarchy_depth_limited(spark, d):
+    return hierarchy.walk(events.forest(spark, d, True), depth=1)
+
+
+@_query(_walked(True, f"({_ROOT}) and kind = 'device'", 16))
+def hierarchy_root_kind(spark, d):
+    return hierarchy.walk(events.forest(spark, d, True), "device")
+
+
+@_query(f"with {_FOREST.format(orders=_ORDERS)} select node, kind, parent is not null as absent from nodes where {_ROOT}")
+def hierarchy_unattached(spark, d):
+    return hierarchy.roots(events.forest(spark, d, True))
+
+
+@_query(_walked(True, "node = 'pod/0000000003'", 16).replace("select node, kind, cast(depth as int) as depth, path from w", "select node, cast(depth as int) as depth from w"))
+def query_subtree(spark, d):
+    return query.subtree(events.forest(spark, d, True), "pod/0000000003")
+
+
+@_query(_with("select b.subject, b.aspect, coalesce(a.truth, 'unknown') as truth_before, b.truth, a.agreed as agreed_before, b.agreed from b_asp b join b_sig using (subject, aspect) left join (select * from asp join sig using (subject, aspect)) a on a.subject = b.subject and a.aspect = b.aspect where a.truth is distinct from b.truth or a.agreed is distinct from b.agreed or a.signature is distinct from b_sig.signature", True))
+def diff_aspects(spark, d):
+    return diff.aspect_changes(_snapshot(spark, d).signed, _later(spark, d).signed)
+
+
+_PREFIX = f"with {_OBS}, early as (select * from obs where event_id < 30)"
+
+
+@_query(f"{_PREFIX} select distinct subject from obs where subject not in (select subject from early)")
+def diff_subjects_added(spark, d):
+    claims = events.load(spark, d)
+    return diff.subjects_added(claims.where("event_id < 30"), claims)
+
+
+@_query(f"{_PREFIX} select distinct subject from obs where subject not in (select subject from early where event_id >= 10)")
+def diff_subjects_removed(spark, d):
+    claims = events.load(spark, d)
+    return diff.subjects_added(claims.where("event_id >= 10 and event_id < 30"), claims)
+
+
+@_query(f"""with {_OBS}, e as (select * from obs where event_id < (select max(event_id) * 6 // 10 from obs) and source <> 'source/s5'), l as (select * from obs where source <> 'source/s4'),
+ ea as (select source, arg_max(incarnation, (received_at, incarnation)) as current, max(observed_at) as o from e group by 1), la as (select source, arg_max(incarnation, (received_at, incarnation)) as current, max(observed_at) as o from l group by 1), t as (select max(received_at) as evaluated from obs),
+ es as (select source, current, case when evaluated - o <= {DAY} then 'fresh' when evaluated - o <= {3 * DAY} then 'aging' else 'stale' end as freshness from ea, t), ls as (select source, current, case when evaluated - o <= {DAY} then 'fresh' when evaluated - o <= {3 * DAY} then 'aging' else 'stale' end as freshness from la, t)
+ select * from (select coalesce(ls.source, es.source) as source, case when es.source is null then 'added' when ls.source is null then 'removed' when es.current <> ls.current or es.freshness <> ls.freshness then 'changed' end as change, es.current as was, ls.current, es.freshness as freshness_was, ls.freshness from ls full join es on ls.source = es.source) where change is not null""")
+def diff_sources(spark, d):
+    claims = events.load(spark, d)
+    top = claims.agg(F.max("event_id").alias("m"), F.max("received_at").alias("at"))
+    both = claims.crossJoin(F.broadcast(top))
+
+    def side(frame):
+        by = frame.groupBy("source").agg(F.max_by("incarnation", F.struct("received_at", "incarnation")).alias("current"), F.max("observed_at").alias("o"), F.max("at").alias("at"))
+        return by.select("source", "current", x.named(("fresh", "aging", "stale"), x.freshness(F.col("at"), F.col("o"), F.col("o"), F.lit(False), POLICY.fresh, POLICY.aging)).alias("freshness"))
+
+    return diff.source_deltas(side(both.where("event_id < m * 6 div 10 and source <> 'source/s5'")), side(both.where("source <> 'source/s4'")))
+
+
+@_query(_with("""select a.subject, a.aspect, case code when 1 then 'unsupported: ' || unsupported || ' of ' || claims || ' retained claim(s) for aspect ''' || a.aspect || ''' declare that the reporting source cannot supply it'
+ when 2 then 'conflicting: ' || nvalues || ' distinct values are asserted by fresh evidence for aspect ''' || a.aspect || ''' and this runtime does not choose between them' || g
+ when 3 then 'stale: ' || current || ' current claim(s) for aspect ''' || a.aspect || ''' exist but none is fresh at the snapshot evaluation time'
+ when 4 then 'incomplete: fresh evidence for aspect ''' || a.aspect || ''' agrees but coverage is ' || fresh || '/' || ns || ' distinct fresh source(s) with best authority reported (requires ' || (case na when 0 then 'none' when 2 then 'reported' else 'corroborated' end) || ')'
+ else 'known: ' || fresh || ' fresh source(s) agree on aspect ''' || a.aspect || ''' with value "' || agreed || '"' end as reason
+ from asp a left join (select subject, aspect, string_agg('; "' || value || '" from ' || n || ' fresh source(s)', '' order by value) as g from (select subject, aspect, value, count(distinct source) as n from kept where assertive group by 1, 2, 3) group by 1, 2) g on g.subject = a.subject and g.aspect = a.aspect"""))
+def explain_reason(spark, d):
+    s = _snapshot(spark, d)
+    return explain.reasons(s.aspects, compose.conflict_groups(s.retained))
+
+
+@_query("""select c_custkey, 'src:' || substr(sha256('\\x03src'::blob || cast(c_name as blob)), 1, 32) as source_id, substr(sha256('\\x06entity'::blob || cast('device/dev:' || substr(sha256('\\x03dev'::blob || cast(c_name as blob)), 1, 32) as blob)), 1, 32) as entity_id from customer""")
+def derive_ids(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    return c.select("c_custkey", x.typed("source", F.col("c_name")).alias("source_id"), x.entity_id(F.lit("device"), F.concat(F.lit("dev:"), x.derived("dev", F.col("c_name")))).alias("entity_id"))
+
+
+@_query("""with o as (select o_custkey, o_orderkey, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as nxt from orders) select o_orderkey, 'link:port:' || lpad(cast(least(o_orderkey, nxt) as varchar), 32, '0') || '/1|port:' || lpad(cast(greatest(o_orderkey, nxt) as varchar), 32, '0') || '/1' as link from o where nxt is not null""")
+def link_identity(spark, d):
+    from pyspark.sql import Window
+
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("nxt")).where("nxt is not null")
+    port = lambda k: F.concat(F.lit("port:"), F.lpad(k.cast("string"), 32, "0"), F.lit("/1"))
+    return o.select("o_orderkey", F.concat(F.lit("link:"), port(F.least("o_orderkey", "nxt")), F.lit("|"), port(F.greatest("o_orderkey", "nxt"))).alias("link"))
+
+
+@_query(f"with {_OBS} select event_id, case when event_id % 101 = 0 and rn > 1 then 'late' else 'on time' end as marker from (select event_id, row_number() over (partition by source order by event_id) as rn from obs)")
+def arrival_marks(spark, d):
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("event_id"))
+    return events.load(spark, d).select("event_id", F.when((F.col("event_id") % 101 == 0) & (rank > 1), "late").otherwise("on time").alias("marker"))
+
+
+@_query(f"with {_OBS} select source, event_id + 1 as arrival_seq, 'accepted' as disposition, 'Ok' as code from obs")
+def ingest_outcomes(spark, d):
+    return ingest.fold(events.load(spark, d))
+
+
+def _stressed(spark: SparkSession, d: str) -> DataFrame:
+    """Arrivals with replays of every fiftieth event, and stale generations in the second half."""
+    base = events.load(spark, d)
+    half = base.agg((F.max("event_id") / 2).alias("half"))
+    base = base.crossJoin(F.broadcast(half)).withColumn("generation", F.when((F.col("event_id") % 97 == 0) & (F.col("event_id") > F.col("half")), F.lit(0)).otherwise(F.col("generation"))).drop("half")
+    again = base.where("event_id % 50 = 0").withColumn("arrival_seq", F.col("arrival_seq") * 2 + 1)
+    return base.withColumn("arrival_seq", F.col("arrival_seq") * 2).unionByName(again)
+
+
+_STRESS = f"""with {_OBS}, g as (select *, event_id % 97 = 0 and event_id > (select max(event_id) / 2.0 from obs) as bad from obs)"""
+
+
+@_query(_STRESS + """, o as (select source, (event_id + 1) * 2 as arrival_seq, case when bad then 'rejected' else 'accepted' end as disposition, case when bad then 'FencedStaleGeneration' else 'Ok' end as code from g
+ union all select source, (event_id + 1) * 2 + 1, case when bad then 'rejected' else 'duplicate' end, case when bad then 'FencedStaleGeneration' else 'Ok' end from g where event_id % 50 = 0) select * from o""")
+def fence_outcomes(spark, d):
+    return ingest.fold(_stressed(spark, d))
+
+
+@_query(_STRESS + """, o as (select case when bad then 'rejected' else 'accepted' end as disposition, case when bad then 'FencedStaleGeneration' else 'Ok' end as code from g
+ union all select case when bad then 'rejected' else 'duplicate' end, case when bad then 'FencedStaleGeneration' else 'Ok' end from g where event_id % 50 = 0) select disposition, code, count(*) as n from o group by 1, 2""")
+def disposition_counts(spark, d):
+    return ingest.fold(_stressed(spark, d)).groupBy("disposition", "code").agg(F.count("*").alias("n"))
+
+
+@_query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(cast(epoch_us(ts) % 1000000 as varchar), 6, '0') || '000Z' as utc, epoch_us(ts) * 1000 as parsed from events")
+def utc_text(spark, d):
+    text = events.load(spark, d).select("event_id", x.format_utc(F.col("observed_at")).alias("utc"))
+    return text.withColumn("parsed", x.parse_utc(F.col("utc")))
+
+
+@_query("select cast(i as int) as number, n as name from (select unnest(range(31)) as i, unnest([" + ", ".join(f"'{s}'" for s in STATUS) + "]) as n)")
+def status_codes(spark, d):
+    return spark.createDataFrame(list(enumerate(STATUS)), "number int, name string")
+
+
+@_query("select event_id, 's:' || strlen(event_type) || ':' || event_type as text_value, 'i:' || (event_id - 500) as int_value from events")
+def value_canonical(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", x.canon(F.lit("text"), F.col("event_type")).alias("text_value"), x.canon(F.lit("int"), (F.col("event_id") - 500).cast("string")).alias("int_value"))
+
+
+@_query()
+def snapshot_id(spark, d):
+    return _snapshot(spark, d).digest()
+
+
+@_query()
+def checksums(spark, d):
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", x.crc32c(F.encode("c_name", "UTF-8")).alias("crc"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
