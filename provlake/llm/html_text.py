@@ -296,10 +296,13 @@ def _generated(draw: random.Random) -> tuple[str, set[int]]:
             out.append(words(1, 3, False))
             end("a")
             out.append(" " + words(3, 20))
-        if 0.3 < style < 0.36:
-            start("em")
-            out.append(words(1, 4))
-            end("em")
+        while draw.random() < 0.3:
+            start(draw.choice(("b", "strong", "em", "i", "span", "code", "u", "mark")))
+            inline = out[-1].strip("<>")
+            out.append(words(1, draw.choice((1, 2, 8)), False))
+            end(inline)
+            if draw.random() < 0.8:
+                out.append(" " + words(1, draw.choice((2, 20))))
         if draw.random() < 0.2:
             number[0] += 1
             out.append("<br>")
@@ -355,12 +358,15 @@ def _generated(draw: random.Random) -> tuple[str, set[int]]:
         boilerplate(hint)
         out.append(f"</{out[first].split()[0].strip('<>')}>")
 
-    start("head")
-    start("title")
-    out.append(words(3, 9, False))
-    end("title")
-    end("head")
-    start("body")
+    if bare := draw.random() < 0.2:  # a fragment
+        number[0] = 0
+    else:
+        start("head")
+        start("title")
+        out.append(words(3, 9, False))
+        end("title")
+        end("head")
+        start("body")
     outer = draw.random() < 0.4
     if outer:
         start("div", named("content", 0.3))
@@ -422,7 +428,7 @@ def _generated(draw: random.Random) -> tuple[str, set[int]]:
     whole = "".join(out)
     if draw.random() < 0.15:  # cut off
         return whole[: int(len(whole) * draw.uniform(0.6, 1))], dropped
-    return whole + "</body></html>", dropped
+    return whole + ("" if bare else "</body></html>"), dropped
 
 
 @lru_cache(1)
