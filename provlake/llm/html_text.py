@@ -371,9 +371,9 @@ def _generated(draw: random.Random) -> tuple[str, set[int]]:
     if outer:
         start("div", named("content", 0.3))
     for hint in ("notice", "head", "menu", "ad"):
-        if draw.random() < 0.5:
+        if draw.random() < (0.15 if bare else 0.5):
             block(hint)
-    side_first = draw.random() < 0.3
+    side_first = draw.random() < (0.1 if bare else 0.3)
     if side_first:
         block("side")
     style = draw.random()
@@ -420,7 +420,11 @@ def _generated(draw: random.Random) -> tuple[str, set[int]]:
     if inner:
         end("div")
     end(close)
-    for hint in ("comment", "side", "form", "ad", "foot", "notice"):
+    if draw.random() < 0.3:
+        start("script", drop=True)
+        out.append("f(1);</script>")
+    tiny = bare and draw.random() < 0.7
+    for hint in ("menu",) if tiny else ("comment", "side", "form", "ad", "foot", "notice"):
         if draw.random() < (0.75 if hint == "foot" else 0.35):
             block(hint)
     if outer:
@@ -432,7 +436,7 @@ def _generated(draw: random.Random) -> tuple[str, set[int]]:
 
 
 @lru_cache(1)
-def model(pages: int = 1000, seed: int = 7) -> Boosted:
+def model(pages: int = 1200, seed: int = 7) -> Boosted:
     """Trees learned from generated pages."""
     draw = random.Random(seed)
     xs, ys = [], []
