@@ -195,8 +195,8 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     a row's class is its own id (null for null). Texts of fewer than five words are alike only if their words are
     equal. An empty table gives an empty one; other columns are left out.
 
-    Equal texts stand for each other from the start. In each bucket of a band every text is compared with the one of
-    the smallest id and with one drawn by hash; where a bucket still holds several classes after that, texts outside the class of the bucket's
+    Equal texts stand for each other from the start. In each bucket of a band every text is compared with the one that
+    shares most buckets with others, summed over its bands, and with one drawn by hash; where a bucket still holds several classes after that, texts outside the class of the bucket's
     first are compared, in tiles of chunks, with the members of other classes. So pairs within one class are not
     enumerated, and no two texts of a bucket stay apart untested; signatures that agree in fewer than AGREE coordinates
     count as tested. Joins don't broadcast, as all tables here grow with the documents.
@@ -207,8 +207,12 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     firsts = saved(signed.groupBy("whole").agg(F.min("doc").alias("rep")), "firsts")
     reps = saved(signed.join(firsts.withColumnRenamed("whole", "w"), (F.col("whole") == F.col("w")) & (F.col("doc") == F.col("rep"))).dropDuplicates(["whole"]).select("rep", "whole", "bands", "short"), "reps")
     members = reps.select("rep", F.explode("bands").alias("band"))
-    leaders = saved(members.groupBy("band").agg(F.min("rep").alias("leader"), F.min_by("rep", F.xxhash64("rep", "band")).alias("other"), F.count("*").alias("n")).where("n > 1"), "leaders")
-    buckets = saved(members.join(leaders.hint("merge"), "band"), "buckets")
+    sizes = saved(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = saved(members.join(sizes.hint("merge"), "band"), "shared")
+    # a text whose buckets are the fullest is near the middle of its class
+    ranked = saved(shared.join(shared.groupBy("rep").agg(F.sum("n").alias("rank")).hint("merge"), "rep"), "ranked")
+    leaders = saved(ranked.groupBy("band").agg(F.max_by("rep", F.struct("rank", -F.col("rep"))).alias("leader"), F.min_by("rep", F.xxhash64("rep", "band")).alias("other")), "leaders")
+    buckets = saved(shared.join(leaders.hint("merge"), "band"), "buckets")
     pairs = buckets.select(F.col("rep").alias("a"), F.explode(F.array("leader", "other")).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     needed = buckets.select(F.col("rep").alias("doc")).distinct()
     texts = saved(docs.join(needed.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
