@@ -30,6 +30,8 @@ COORDINATES = BANDS * ROWS
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 2))
 #: Signatures that agree in fewer coordinates aren't looked at more closely: at 0.8, five standard deviations below.
 AGREE = int(COORDINATES * (SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / COORDINATES) ** 0.5))
+#: Counts of units of weight by hash; the sum of minima bounds what two texts share from above.
+COUNTS = 512
 #: Texts of one side of a tile, about.
 CHUNK = 256
 #: Bytes of text of one step.
@@ -90,6 +92,19 @@ def signatures(text: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, COORDINATES)
 
 
+def counts(text: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
+    """n rows of COUNTS numbers of units by hash, 255 for 255 or more."""
+    place = (unit % np.uint64(COUNTS)).astype(np.int64)
+    return np.minimum(np.bincount(text * COUNTS + place, minlength=n * COUNTS), 255).astype(np.uint8).reshape(n, COUNTS)
+
+
+def may_reach(one: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Whether one row of counts and each of others allow a similarity of least; always true for counts of 255."""
+    shared = np.minimum(one, others).sum(axis=1, dtype=np.int64)
+    whole = others.sum(axis=1, dtype=np.int64) + int(one.sum(dtype=np.int64)) - shared
+    return (shared / np.maximum(whole, 1) >= least) | (others.max(axis=1, initial=0) == 255) | (one.max() == 255)
+
+
 def _signed() -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +113,8 @@ def _signed() -> Callable:
                 part, ends = data[at[a] : at[b]], at[a : b + 1] - at[a]
                 words = Words(part, ends)
                 text, ids = shingles(words)
-                sig = signatures(text, units(text, ids), b - a)
+                unit = units(text, ids)
+                sig, held = signatures(text, unit, b - a), counts(text, unit, b - a)
                 some = np.isfinite(sig[:, 0])
                 bits = mix(sig.view(np.uint64))
                 bands = np.zeros((b - a, BANDS), np.uint64)
@@ -113,7 +129,7 @@ def _signed() -> Callable:
                 whole[full] = spans_id(part, ends[full], ends[full + 1])
                 flat = pa.array(bands[rows].ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(rows)), pa.array(whole[rows].view(np.int64)), lists, pa.array([short[r].tobytes() for r in rows], pa.binary())], names=["doc", "whole", "bands", "short"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(rows)), pa.array(whole[rows].view(np.int64)), lists, pa.array([short[r].tobytes() for r in rows], pa.binary()), pa.array([held[r].tobytes() for r in rows], pa.binary())], names=["doc", "whole", "bands", "short", "counts"])
 
     return run
 
@@ -199,13 +215,13 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     shares most buckets with others, summed over its bands, and with one drawn by hash; where a bucket still holds several classes after that, texts outside the class of the bucket's
     first are compared, in tiles of chunks, with the members of other classes. So pairs within one class are not
     enumerated, and no two texts of a bucket stay apart untested; signatures that agree in fewer than AGREE coordinates
-    count as tested. Joins don't broadcast, as all tables here grow with the documents.
+    count as tested, and so do texts whose counts of shingles by hash rule the similarity out. Joins don't broadcast, as all tables here grow with the documents.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
-    signed = saved(docs.where("doc is not null and text is not null").mapInArrow(_signed(), "doc long, whole long, bands array<long>, short binary"), "signatures")
+    signed = saved(docs.where("doc is not null and text is not null").mapInArrow(_signed(), "doc long, whole long, bands array<long>, short binary, counts binary"), "signatures")
     firsts = saved(signed.groupBy("whole").agg(F.min("doc").alias("rep")), "firsts")
-    reps = saved(signed.join(firsts.withColumnRenamed("whole", "w"), (F.col("whole") == F.col("w")) & (F.col("doc") == F.col("rep"))).dropDuplicates(["whole"]).select("rep", "whole", "bands", "short"), "reps")
+    reps = saved(signed.join(firsts.withColumnRenamed("whole", "w"), (F.col("whole") == F.col("w")) & (F.col("doc") == F.col("rep"))).dropDuplicates(["whole"]).select("rep", "whole", "bands", "short", "counts"), "reps")
     members = reps.select("rep", F.explode("bands").alias("band"))
     sizes = saved(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = saved(members.join(sizes.hint("merge"), "band"), "shared")
@@ -220,15 +236,15 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     labels = components(links)
 
     # buckets that hold several classes: chunks of texts outside the first's class meet chunks of the bucket
-    short = reps.select("rep", "short")
+    short = reps.select("rep", "short", "counts")
     label = lambda name, out: labels.select(F.col("node").alias(name), F.col("label").alias(out))
     placed = saved(buckets.join(label("rep", "l").hint("merge"), "rep", "left").join(label("leader", "m").hint("merge"), "leader", "left").select("band", "rep", "leader", "n", F.coalesce("l", "rep").alias("class"), F.coalesce("m", "leader").alias("first")), "placed")
     mixed = saved(placed.where("class <> first").select("band").distinct(), "mixed")
     inside = saved(placed.where("rep <> leader").join(mixed.hint("merge"), "band", "left_semi").join(short.hint("merge"), "rep"), "inside")
     chunks = inside.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CHUNK))).withColumn("home", F.col("class") == F.col("first"))
-    chunks = saved(chunks.groupBy("band", "home", "chunk").agg(F.collect_list(F.struct("rep", "class", "short")).alias("texts")), "chunks")
+    chunks = saved(chunks.groupBy("band", "home", "chunk").agg(F.collect_list(F.struct("rep", "class", "short", "counts")).alias("texts")), "chunks")
     rest = chunks.where("not home").select("band", F.col("texts").alias("left"))
-    near = rest.join(chunks.select("band", "home", F.col("texts").alias("right")).hint("merge"), "band").select("home", "left", "right").mapInArrow(_agreeing, "a long, b long").distinct()
+    near = rest.join(chunks.select("band", "home", F.col("texts").alias("right")).hint("merge"), "band").select("home", "left", "right").mapInArrow(_agreeing(least), "a long, b long").distinct()
     more = saved(_links(saved(near, "more"), texts, least), "more-links")
     every = links if more.isEmpty() else saved(links.union(more).distinct(), "all-links")
     labels = labels if more.isEmpty() else components(every)
@@ -239,21 +255,27 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     return docs.select("doc").join(saved(classed, "classes").withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"), "left").select(F.col("doc").alias("doc_id"), F.coalesce("label", "doc").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes, once each, whose signatures agree in AGREE coordinates or more; by tiles of chunks."""
+def _agreeing(least: float) -> Callable:
+    """Pairs of different classes, once each, whose signatures agree in AGREE coordinates or more and whose counts allow
+    a similarity of least; by tiles of chunks."""
 
-    def side(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def side(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         short = np.frombuffer(b"".join(r["short"] for r in rows), np.uint16).reshape(-1, COORDINATES)
-        return np.array([r["rep"] for r in rows], np.int64), np.array([r["class"] for r in rows], np.int64), short
-
-    for batch in batches:
-        for tile in batch.to_pylist():
-            (a, class_a, short_a), (b, class_b, short_b) = side(tile["left"]), side(tile["right"])
-            for k in range(len(a)):
-                some = (class_b != class_a[k]) & (tile["home"] | (a[k] < b))
-                good = b[some][(short_b[some] == short_a[k]).sum(axis=1) >= AGREE]
-                if len(good):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), a[k])), pa.array(good)], names=["a", "b"])
+        held = np.frombuffer(b"".join(r["counts"] for r in rows), np.uint8).reshape(-1, COUNTS)
+        return np.array([r["rep"] for r in rows], np.int64), np.array([r["class"] for r in rows], np.int64), short, held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile in batch.to_pylist():
+                (a, class_a, short_a, held_a), (b, class_b, short_b, held_b) = side(tile["left"]), side(tile["right"])
+                for k in range(len(a)):
+                    some = np.flatnonzero((class_b != class_a[k]) & (tile["home"] | (a[k] < b)))
+                    some = some[(short_b[some] == short_a[k]).sum(axis=1) >= AGREE]
+                    good = b[some[may_reach(held_a[k], held_b[some], least)]]
+                    if len(good):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), a[k])), pa.array(good)], names=["a", "b"])
+
+    return run
 
 
 def one_of_each(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,11 +7,13 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from provlake.llm import bpe, chat, html_text, minhash, mixing, quality_model, quality_rules, queries, suffix_dedup, token_counts, topk
+from provlake.llm._shared import Words, packed
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -105,6 +107,21 @@ def test_near_duplicates(spark, docs, odd):
         assert all(r["class_id"] is None for r in got if r["doc_id"] is None)
 
 
+def test_counts_never_rule_out_a_link():
+    draw = random.Random(6)
+    texts = []
+    for n in (3, 30, 150, 900, 40000):
+        base = [draw.choice("abcdefghij") * draw.randint(1, 9) for _ in range(n)]
+        texts += [" ".join(w if draw.random() > p else "x" for w in base) for p in (0, 0.001, 0.01, 0.02, 0.05, 0.3)]
+    data, at = packed(pa.array(texts))
+    text, ids = minhash.shingles(Words(data, at))
+    held = minhash.counts(text, minhash.units(text, ids), len(texts))
+    for k, one in enumerate(texts):
+        true = minhash.similarities(pa.array([one] * len(texts)), pa.array(texts)) >= 0.8
+        assert minhash.may_reach(held[k], held, 0.8)[true].all()
+    assert not minhash.may_reach(held[12], held[12:18], 0.8)[-1]
+
+
 def removed_by_force(rows):
     first = {}
     last = 2**63
