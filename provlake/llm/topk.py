@@ -83,13 +83,29 @@ def _tile(k: int) -> Callable:
                 rid, r = rid[order], r[order]
                 for a in range(0, len(qid), 256):
                     score = scores(q[a : a + 256], r)
-                    own = qid[a : a + 256, None] == rid[None, :]
-                    score[own] = np.iinfo(np.int64).min
-                    yield from _best(qid[a : a + 256], rid, score, ~own, k, tile["part"])
+                    allowed = qid[a : a + 256, None] != rid[None, :]
+                    score[~allowed] = np.iinfo(np.int64).min
+                    _once(rid, score, allowed)
+                    yield from _best(qid[a : a + 256], rid, score, allowed, k, tile["part"])
 
     return run
 
 
+def _once(rid: np.ndarray, score: np.ndarray, allowed: np.ndarray) -> None:
+    """Take out all but one of each query's equal (id, score), so that copies use no places of others; rid ascends."""
+    again = np.flatnonzero(rid[1:] == rid[:-1])
+    if not len(again):
+        return
+    col = np.union1d(again, again + 1)
+    held = score[:, col]
+    order = np.lexsort((held, np.broadcast_to(rid[col], held.shape)), axis=-1)
+    held = np.take_along_axis(held, order, 1)
+    row, at = np.nonzero((held[:, 1:] == held[:, :-1]) & (rid[col][1:] == rid[col][:-1]))
+    copy = col[order[row, at + 1]]
+    score[row, copy] = np.iinfo(np.int64).min
+    allowed[row, copy] = False
+
+
 def _best(qid: np.ndarray, rid: np.ndarray, score: np.ndarray, allowed: np.ndarray, k: int, part: int) -> Iterator[pa.RecordBatch]:
     n = score.shape[1]
     if n > k:

@@ -202,6 +202,20 @@ def test_topk_against_sql_and_odd_vectors(spark):
     assert topk.topk(frame.limit(0), frame.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("copies", [5, 40])
+def test_topk_counts_copies_of_a_shard_once(spark, copies):
+    draw = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in draw.normal(size=4)]) for i in range(60)]
+    query, near = rows[0][1], [9 * x for x in rows[0][1]]
+    # copies of the best row, and an id with two vectors, all in one shard
+    rows += [(60, near)] * copies + [(61, [8 * x for x in query])] * copies + [(61, [7 * x for x in query])] * copies
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.topk(frame, frame.where("vec_id = 0"), 5).orderBy("rank").collect()]
+    whole = lambda v: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)
+    best = sorted({(-int(whole(query) @ whole(v)), i) for i, v in rows if i})[:5]
+    assert got == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_mixing(spark, docs, odd):
     made = mixing.mixed(docs).cache()
     total = made.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability"))).first()
