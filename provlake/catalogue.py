@@ -165,6 +165,11 @@ _filtered("query_aspect", query.Filter(aspect="operational.health"), "aspect = '
 _filtered("query_limit", query.Filter(limit=7), "true", 7)
 
 
+@_query(_with("select least(count(distinct subject), 8) as scanned_subjects, least(count(distinct subject), 7) as matched_subjects, count(*) filter (subject in (select distinct subject from asp order by subject limit 7)) as matched_aspects, count(distinct subject) > 7 as truncated from asp"))
+def query_limit_header(spark, d):
+    return query.header(_snapshot(spark, d).aspects, query.Filter(limit=7))
+
+
 @_query(f"with {_OBS} select event_id, source, sequence from obs order by event_id desc limit 25")
 def retained_records(spark, d):
     return query.last_records(events.load(spark, d), 25).select("event_id", "source", "sequence")
@@ -193,6 +198,11 @@ def hierarchy_depth_limited(spark, d):
     return hierarchy.walk(events.forest(spark, d, True), depth=1)
 
 
+@_query(_walked(True, _ROOT, 2).replace("select node, kind, cast(depth as int) as depth, path from w", "select count(*) filter (depth < 2) as nodes, cast(max(depth) filter (depth < 2) as int) as max_depth_reached, count(*) filter (depth = 2) as depth_limited, count(*) filter (depth = 2) > 0 as truncated from w"))
+def hierarchy_depth_limited_header(spark, d):
+    return hierarchy.header(events.forest(spark, d, True), depth=1)
+
+
 @_query(_walked(True, f"({_ROOT}) and kind = 'device'", 16))
 def hierarchy_root_kind(spark, d):
     return hierarchy.walk(events.forest(spark, d, True), "device")

@@ -26,3 +26,15 @@ def walk(nodes: DataFrame, kind: str | None = None, depth: int = DEPTH) -> DataF
             break
         out = out.unionByName(level)
     return out
+
+
+def header(nodes: DataFrame, kind: str | None = None, depth: int = DEPTH) -> DataFrame:
+    """One row of walk: nodes, max_depth_reached, depth_limited (children just past the depth), truncated."""
+    walked = walk(nodes, kind, depth)
+    return walked.agg(F.count("*").alias("nodes"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth_reached")).crossJoin(limited(nodes, walked, min(depth, DEPTH)))
+
+
+def limited(nodes: DataFrame, walked: DataFrame, depth: int) -> DataFrame:
+    """One row: depth_limited and truncated of nodes (node, depth) that were walked down to the depth."""
+    beyond = nodes.join(walked.where(F.col("depth") == depth).select(F.col("node").alias("parent")), "parent", "left_semi")
+    return beyond.agg(F.count("*").alias("depth_limited"), (F.count("*") > 0).alias("truncated"))

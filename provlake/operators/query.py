@@ -1,13 +1,13 @@
-"""Filters over a snapshot: kinds, domains, truths, aspect, subtree; the bound and its flag."""
+"""Filters over a snapshot: kinds, domains, truths, aspect, subtree; the bound, its flag and counts."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provlake.model import DEPTH, ROWS_PER_QUERY
+from provlake.model import DEPTH
 
 
 @dataclass(frozen=True)
@@ -16,26 +16,47 @@ class Filter:
     domains: tuple[str, ...] = field(default=())
     truths: tuple[str, ...] = field(default=())
     aspect: str | None = None
-    limit: int = ROWS_PER_QUERY
+    limit: int | None = None
+
+    def of_kind(self) -> Column:
+        return F.col("subject").startswith(self.kind + "/") if self.kind else F.lit(True)
+
+    def selects(self) -> Column:
+        out = F.lit(True)
+        if self.domains:
+            out &= F.substring_index("aspect", ".", 1).isin(*self.domains)
+        if self.truths:
+            out &= F.col("truth").isin(*self.truths)
+        if self.aspect:
+            out &= F.col("aspect") == self.aspect
+        return out
 
 
 def run(aspects: DataFrame, wanted: Filter) -> DataFrame:
-    """Aspects that pass, of the first subjects up to the limit that have any; empty sets are no filter.
+    """Aspects that pass, of all subjects, or of the first subjects that have any where a limit is given; empty sets
+    are no filter. What a limit left out is told by header."""
+    out = aspects.where(wanted.of_kind() & wanted.selects())
+    if wanted.limit is None:
+        return out
+    first = out.select("subject").distinct().orderBy("subject").limit(wanted.limit)
+    return out.join(first, "subject", "left_semi")
+
+
+def header(aspects: DataFrame, wanted: Filter) -> DataFrame:
+    """One row of run: scanned_subjects, matched_subjects, matched_aspects, truncated.
 
-    The numbers of subjects come from a rank over matching subjects alone.
+    truncated: a subject of the kind comes after the last one within the limit, even if none of its aspects passes;
+    scanned counts subjects up to and including that one.
     """
-    out = aspects
-    if wanted.kind:
-        out = out.where(F.col("subject").startswith(wanted.kind + "/"))
-    if wanted.domains:
-        out = out.where(F.substring_index("aspect", ".", 1).isin(*wanted.domains))
-    if wanted.truths:
-        out = out.where(F.col("truth").isin(*wanted.truths))
-    if wanted.aspect:
-        out = out.where(F.col("aspect") == wanted.aspect)
-    limit = min(wanted.limit, ROWS_PER_QUERY)
-    first = out.select("subject").distinct().orderBy("subject").limit(limit)
-    return out.join(F.broadcast(first), "subject", "left_semi")
+    subjects = aspects.groupBy("subject").agg(F.count_if(wanted.selects()).alias("n")).withColumn("n", F.when(wanted.of_kind(), F.col("n")).otherwise(0))
+    counts = lambda: (F.count("*").alias("scanned_subjects"), F.count_if(F.col("n") > 0).alias("matched_subjects"), F.coalesce(F.sum("n"), F.lit(0)).alias("matched_aspects"))
+    if wanted.limit is None:
+        return subjects.agg(*counts()).withColumn("truncated", F.lit(False))
+    last = subjects.where("n > 0").orderBy("subject").limit(wanted.limit).agg(F.coalesce(F.max("subject"), F.lit("")).alias("last"), (F.count("*") >= wanted.limit).alias("full"))
+    stop = subjects.where(wanted.of_kind()).crossJoin(F.broadcast(last)).where("full and subject > last").agg(F.min("subject").alias("stop"))
+    # the subject that stops the scan is counted as scanned, not as matched
+    seen = subjects.crossJoin(F.broadcast(stop)).where("stop is null or subject <= stop").withColumn("n", F.when(F.col("subject") == F.col("stop"), 0).otherwise(F.col("n")))
+    return seen.agg(*counts(), F.coalesce(F.bool_or(F.col("stop").isNotNull()), F.lit(False)).alias("truncated"))
 
 
 def subtree(nodes: DataFrame, root: str, depth: int = DEPTH) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provlake.functions import expressions as x
 from provlake.model import Policy
-from provlake.operators import compose, ingest
+from provlake.operators import compose, hierarchy, ingest, query
 from provlake.plans.snapshots import Snapshot
 from provlake.sources import events, ndjson
 from provlake.streaming import fences
@@ -126,3 +126,42 @@ def test_lines_of_json(spark, tmp_path):
     row = read.where("status = 'Ok'").first()
     assert (row["epoch"], row["claims"][0]["supported"], row["claims"][0]["revision"]) == (0, True, 0)
     ndjson.lines(read.where("status = 'Ok'").drop("status")).write.text(str(tmp_path / "back"))
+
+
+def test_filters_without_a_limit_return_all_subjects(spark):
+    aspects = spark.range(5000).select(F.format_string("device/%05d", "id").alias("subject"), F.lit("link.state").alias("aspect"), F.lit("stale").alias("truth"))
+    for wanted in (query.Filter(kind="device"), query.Filter(domains=("link",)), query.Filter(truths=("stale",)), query.Filter(aspect="link.state")):
+        assert query.run(aspects, wanted).count() == 5000
+        assert tuple(query.header(aspects, wanted).first()) == (5000, 5000, 5000, False)
+    assert query.run(aspects, query.Filter(limit=4500)).count() == 4500
+    assert tuple(query.header(aspects, query.Filter(limit=4500)).first()) == (4501, 4500, 4500, True)
+
+
+@pytest.mark.parametrize("limit", [0, 1, 2, 3, 4, 5, None])
+def test_query_header_against_a_plain_scan(spark, limit):
+    rows = [("a/1", "p.x", "known"), ("a/2", "q.x", "known"), ("a/2", "p.x", "stale"), ("b/1", "p.x", "known"), ("b/2", "p.x", "known"), ("b/2", "p.y", "known"), ("b/3", "q.x", "known"), ("b/4", "p.z", "known"), ("b/5", "q.z", "known"), ("c/1", "p.x", "known")]
+    frame = spark.createDataFrame(rows, "subject string, aspect string, truth string").repartition(3)
+    for kind in (None, "b", "z"):
+        scanned = subjects = aspects = 0
+        truncated = False
+        for s in sorted({r[0] for r in rows}):
+            scanned += 1
+            if kind and not s.startswith(kind + "/"):
+                continue
+            if limit is not None and subjects >= limit:
+                truncated = True
+                break
+            n = sum(r[0] == s and r[1][0] == "p" for r in rows)
+            subjects, aspects = subjects + (n > 0), aspects + n
+        wanted = query.Filter(kind=kind, domains=("p",), limit=limit)
+        assert tuple(query.header(frame, wanted).first()) == (scanned, subjects, aspects, truncated)
+        assert query.run(frame, wanted).count() == aspects
+
+
+def test_walks_tell_what_is_below_their_depth(spark):
+    nodes = spark.createDataFrame([(f"n{k:02}", "device", f"n{k - 1:02}" if k else None) for k in range(20)] + [("n17b", "device", "n16")], "node string, kind string, parent string")
+    assert tuple(hierarchy.header(nodes, depth=1).first()) == (2, 1, 1, True)
+    assert tuple(hierarchy.header(nodes).first()) == (17, 16, 2, True)
+    assert tuple(hierarchy.header(nodes.where("node < 'n05'")).first()) == (5, 4, 0, False)
+    found = query.subtree(nodes, "n10", 3)
+    assert found.count() == 4 and tuple(hierarchy.limited(nodes, found, 3).first()) == (1, True)
