@@ -181,8 +181,16 @@ _FOREST = """nodes as (select 'site/' || lpad(cast(r_regionkey as varchar), 10,
 _ORDERS = " union all select 'device/' || lpad(cast(o_orderkey as varchar), 10, '0'), 'device', 'rack/' || lpad(cast(o_custkey as varchar), 10, '0') from orders"
 
 
-def _walked(orders: bool, start: str, depth: int) -> str:
-    return f"with recursive {_FOREST.format(orders=_ORDERS if orders else '')}, w as (select node, kind, 0 as depth, node as path from nodes n where ({start}) union all select n.node, n.kind, depth + 1, path || '>' || n.node from w join nodes n on n.parent = w.node where depth < {depth}) select node, kind, cast(depth as int) as depth, path from w"
+_WHOLE = _FOREST.format(orders=_ORDERS + " union all select distinct 'port/' || lpad(cast(l_orderkey as varchar), 10, '0') || '/' || l_linenumber, 'port', 'device/' || lpad(cast(l_orderkey as varchar), 10, '0') from lineitem").replace(" where c_custkey % 50 <> 0", "")
+
+
+def _trimmed(spark: SparkSession, d: str) -> DataFrame:
+    """The forest that the oracle of the older queries describes; the queries named whole_ have all of it."""
+    return events.forest(spark, d, fiftieths=False, ports=False)
+
+
+def _walked(orders: bool, start: str, depth: int, forest: str = "") -> str:
+    return f"with recursive {forest or _FOREST.format(orders=_ORDERS if orders else '')}, w as (select node, kind, 0 as depth, node as path from nodes n where ({start}) union all select n.node, n.kind, depth + 1, path || '>' || n.node from w join nodes n on n.parent = w.node where depth < {depth}) select node, kind, cast(depth as int) as depth, path from w"
 
 
 _ROOT = "parent is null or parent not in (select node from nodes)"
@@ -190,32 +198,57 @@ _ROOT = "parent is null or parent not in (select node from nodes)"
 
 @_query(_walked(True, _ROOT, 16))
 def hierarchy_walk(spark, d):
-    return hierarchy.walk(events.forest(spark, d, True))
+    return hierarchy.walk(_trimmed(spark, d))
 
 
 @_query(_walked(True, _ROOT, 1))
 def hierarchy_depth_limited(spark, d):
-    return hierarchy.walk(events.forest(spark, d, True), depth=1)
+    return hierarchy.walk(_trimmed(spark, d), depth=1)
 
 
 @_query(_walked(True, _ROOT, 2).replace("select node, kind, cast(depth as int) as depth, path from w", "select count(*) filter (depth < 2) as nodes, cast(max(depth) filter (depth < 2) as int) as max_depth_reached, count(*) filter (depth = 2) as depth_limited, count(*) filter (depth = 2) > 0 as truncated from w"))
 def hierarchy_depth_limited_header(spark, d):
-    return hierarchy.header(events.forest(spark, d, True), depth=1)
+    return hierarchy.header(_trimmed(spark, d), depth=1)
 
 
 @_query(_walked(True, f"({_ROOT}) and kind = 'device'", 16))
 def hierarchy_root_kind(spark, d):
-    return hierarchy.walk(events.forest(spark, d, True), "device")
+    return hierarchy.walk(_trimmed(spark, d), "device")
 
 
 @_query(f"with {_FOREST.format(orders=_ORDERS)} select node, kind, parent is not null as absent from nodes where {_ROOT}")
 def hierarchy_unattached(spark, d):
-    return hierarchy.roots(events.forest(spark, d, True))
+    return hierarchy.roots(_trimmed(spark, d))
 
 
 @_query(_walked(True, "node = 'pod/0000000003'", 16).replace("select node, kind, cast(depth as int) as depth, path from w", "select node, cast(depth as int) as depth from w"))
 def query_subtree(spark, d):
-    return query.subtree(events.forest(spark, d, True), "pod/0000000003")
+    return query.subtree(_trimmed(spark, d), "pod/0000000003")
+
+
+@_query(_walked(True, _ROOT, 16, _WHOLE))
+def whole_hierarchy_walk(spark, d):
+    return hierarchy.walk(events.forest(spark, d))
+
+
+@_query(_walked(True, _ROOT, 1, _WHOLE))
+def whole_hierarchy_depth_limited(spark, d):
+    return hierarchy.walk(events.forest(spark, d), depth=1)
+
+
+@_query(_walked(True, f"({_ROOT}) and kind = 'site'", 16, _WHOLE))
+def whole_hierarchy_root_kind(spark, d):
+    return hierarchy.walk(events.forest(spark, d), "site")
+
+
+@_query(f"with {_WHOLE} select node, kind, parent is not null as absent from nodes where {_ROOT}")
+def whole_hierarchy_unattached(spark, d):
+    return hierarchy.roots(events.forest(spark, d))
+
+
+@_query(_walked(True, "node = 'pod/0000000003'", 16, _WHOLE).replace("select node, kind, cast(depth as int) as depth, path from w", "select node, cast(depth as int) as depth from w"))
+def whole_query_subtree(spark, d):
+    return query.subtree(events.forest(spark, d), "pod/0000000003")
 
 
 @_query(_with("select b.subject, b.aspect, coalesce(a.truth, 'unknown') as truth_before, b.truth, a.agreed as agreed_before, b.agreed from b_asp b join b_sig using (subject, aspect) left join (select * from asp join sig using (subject, aspect)) a on a.subject = b.subject and a.aspect = b.aspect where a.truth is distinct from b.truth or a.agreed is distinct from b.agreed or a.signature is distinct from b_sig.signature", True))

@@ -165,3 +165,17 @@ def test_walks_tell_what_is_below_their_depth(spark):
     assert tuple(hierarchy.header(nodes.where("node < 'n05'")).first()) == (5, 4, 0, False)
     found = query.subtree(nodes, "n10", 3)
     assert found.count() == 4 and tuple(hierarchy.limited(nodes, found, 3).first()) == (1, True)
+
+
+def test_forest_has_every_rack_and_port(spark):
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    want = {"site": read("region").count(), "pod": read("nation").count(), "rack": read("customer").count(), "device": read("orders").count(), "port": read("lineitem").select("l_orderkey", "l_linenumber").distinct().count()}
+    nodes = events.forest(spark, SF).cache()
+    assert {r["kind"]: r["count"] for r in nodes.groupBy("kind").count().collect()} == want
+    assert nodes.select("node").distinct().count() == sum(want.values()) == hierarchy.walk(nodes).count()
+
+
+def test_absent_parents(spark):
+    nodes = spark.createDataFrame([("rack/1", "rack", None), ("device/1", "device", "rack/1"), ("device/2", "device", "rack/2"), ("port/2/1", "port", "device/2")], "node string, kind string, parent string")
+    assert {tuple(r) for r in hierarchy.roots(nodes).collect()} == {("rack/1", "rack", False), ("device/2", "device", True)}
+    assert {(r["node"], r["depth"]) for r in hierarchy.walk(nodes, "device").collect()} == {("device/2", 0), ("port/2/1", 1)}
