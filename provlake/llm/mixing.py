@@ -2,7 +2,9 @@
 
 Token weights are raked to shares of source, language and topic. The cells are rows of one Spark table, one for each
 source; the factors of languages and topics are small vectors of checked size. A round is one aggregation: each
-source's factor follows from the others in closed form, and the sums by language and topic give theirs.
+source's factor follows from the others in closed form, and the sums by language and topic give theirs. Where there are
+more pairs of language and topic than that, all factors are written tables, joined to the cells, and the rounds are the
+same.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ TEMPERATURE = 0.8
 FRACTION = 0.8
 #: Rounds stop when no share is off by more than this part of itself, or at their number.
 CLOSE, ROUNDS = 1e-4, 40
-#: Most pairs of language and topic, and most cells that are broadcast; beyond these cells the join is salted.
-MOST_PAIRS, MOST_BROADCAST, SALTS = 10_000, 100_000, 64
+#: Most pairs of language and topic whose factors are vectors; beyond these they are tables. Most cells or factors that
+#: are broadcast; beyond these the join is salted. Cells of one value that meet in a task of such a join of factors.
+MOST_PAIRS, MOST_BROADCAST, SALTS, TOGETHER = 10_000, 100_000, 64, 100_000
 SEED = 20_240_501
 
 
@@ -41,28 +44,22 @@ def _shares(tokens: np.ndarray, wanted: dict | None, names: list) -> np.ndarray:
     return share / share.sum()
 
 
-def calibrate(cells: DataFrame, sources: DataFrame | None = None, langs: dict | None = None, topics: dict | None = None, fraction: float = FRACTION) -> DataFrame:
-    """source, lang, topic, weight, probability of each cell (source, lang, topic, tokens).
-
-    weight is the calibrated weight of a token: tokens times weight has the target shares of every source, language
-    and topic, as far as the cells allow. probability is weight times one constant, at most 1, such that the mean
-    sample has the wanted fraction of all tokens. sources: source, share; langs, topics: shares by value. Values
-    without a target share get probability 0; null is a value of its own. Cells without tokens get weight 1.
-    """
-    pairs = cells.where("tokens > 0").groupBy("lang", "topic").agg(F.sum("tokens").cast("double").alias("tokens")).limit(MOST_PAIRS + 1).collect()
-    if len(pairs) > MOST_PAIRS:
-        raise ValueError(f"more than {MOST_PAIRS} pairs of language and topic: join rare values first")
+def _by_vectors(cells: DataFrame, pairs: list, sources: DataFrame | None, langs: dict | None, topics: dict | None) -> DataFrame:
+    """source, lang, topic, w (share of all tokens) and weight of the cells with tokens."""
     key = lambda x: (x is not None, x)
     lang_names, topic_names = sorted({p["lang"] for p in pairs}, key=key), sorted({p["topic"] for p in pairs}, key=key)
-    if not pairs:
-        return cells.select("source", "lang", "topic", F.lit(1.0).alias("weight"), F.lit(1.0).alias("probability"))
     total = sum(p["tokens"] for p in pairs)
     sums = np.zeros((len(lang_names), len(topic_names)))
     for p in pairs:
         sums[lang_names.index(p["lang"]), topic_names.index(p["topic"])] += p["tokens"]
     want_l, want_t = _shares(sums.sum(1), langs, lang_names), _shares(sums.sum(0), topics, topic_names)
 
-    index = lambda c, names: F.coalesce(*[F.when(F.col(c).eqNullSafe(F.lit(n)), i) for i, n in enumerate(names)]).cast("int")
+    def index(c: str, names: list) -> Column:
+        # null is the first of the names
+        known = [n for n in names if n is not None]
+        place = F.array_position(F.lit(known), F.col(c)) + (len(names) - len(known) - 1) if known else F.lit(0)
+        return F.when(F.col(c).isNull(), 0).otherwise(place).cast("int")
+
     entry = F.struct(index("lang", lang_names).alias("l"), index("topic", topic_names).alias("t"), (F.col("tokens") / total).alias("w"))
     by_source = cells.where("tokens > 0").groupBy("source").agg(F.collect_list(entry).alias("cells"), (F.sum("tokens") / total).alias("own"))
     if sources is None:
@@ -97,7 +94,90 @@ def calibrate(cells: DataFrame, sources: DataFrame | None = None, langs: dict |
     a, _ = factors()
     weight = F.col("a") * F.get(F.lit([float(x) for x in b]), F.col("e.l")) * F.get(F.lit([float(x) for x in c]), F.col("e.t"))
     name = lambda names, i: F.get(F.array(*[F.lit(n) for n in names]), i)
-    fitted = saved(by_source.select("source", a.alias("a"), F.explode("cells").alias("e")).select("source", name(lang_names, F.col("e.l")).alias("lang"), name(topic_names, F.col("e.t")).alias("topic"), F.col("e.w").alias("w"), weight.alias("weight")), "mix-cells")
+    return saved(by_source.select("source", a.alias("a"), F.explode("cells").alias("e")).select("source", name(lang_names, F.col("e.l")).alias("lang"), name(topic_names, F.col("e.t")).alias("topic"), F.col("e.w").alias("w"), weight.alias("weight")), "mix-cells")
+
+
+def _by_tables(cells: DataFrame, sources: DataFrame | None, langs: dict | None, topics: dict | None) -> DataFrame:
+    """What _by_vectors gives, for any number of values: the factors of each axis are a written table."""
+    spark, axes = cells.sparkSession, ("source", "lang", "topic")
+    counted = cells.where("tokens > 0")
+    total = float(counted.agg(F.sum("tokens")).first()[0])
+    rows = counted.select(*axes, (F.col("tokens") / total).alias("w"))
+    asked = {"source": None if sources is None else sources.select("source", F.col("share").cast("double").alias("wanted"))}
+    for c, wanted in (("lang", langs), ("topic", topics)):
+        kind = cells.schema[c].dataType.simpleString()
+        asked[c] = None if wanted is None else spark.createDataFrame([(k, float(v)) for k, v in wanted.items()], f"{c} {kind}, wanted double")
+
+    target, small = {}, {}
+    for c in axes:
+        own = rows.groupBy(F.col(c).alias("k")).agg(F.sum("w").alias("own"), F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
+        if asked[c] is None:
+            own = own.withColumn("target", F.pow("own", F.lit(TEMPERATURE)))
+        else:
+            own = own.join(asked[c], F.col("k").eqNullSafe(F.col(c)), "left").withColumn("target", F.coalesce("wanted", F.lit(0.0)))
+        own = saved(own.select("k", "salts", "target"), "mix-target")
+        if c != "source" or sources is None:
+            own = own.withColumn("target", F.col("target") / F.lit(float(own.agg(F.sum("target")).first()[0])))
+        target[c], small[c] = own, own.count() <= MOST_BROADCAST
+        if not small[c]:
+            # values with many cells are few, however many cells there are
+            hot = own.where("salts > 1").select("k", "salts")
+            rows = rows.join(F.broadcast(hot), F.col(c).eqNullSafe(F.col("k")), "left").withColumn(f"salt_{c}", F.pmod(F.xxhash64(*axes), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")).drop("k", "salts")
+    rows = saved(rows, "mix-cells")
+
+    def times(frame: DataFrame, c: str, factor: DataFrame) -> DataFrame:
+        """m of the cells times their factor of the axis."""
+        side = factor.select("k", "salts", "f")
+        if small[c]:
+            joined = frame.join(F.broadcast(side), F.col(c).eqNullSafe(F.col("k")), "left")
+        else:
+            side = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            joined = frame.join(side, F.col(c).eqNullSafe(F.col("k")) & (F.col(f"salt_{c}") == F.col("salt")), "left")
+        return joined.withColumn("m", F.col("m") * F.col("f")).select(*frame.columns)
+
+    def sums(frame: DataFrame, c: str) -> DataFrame:
+        """k, reached: sums of m by the values of the axis, which has few or many."""
+        return frame.groupBy(F.col(c).alias("k")).agg(F.sum("m").alias("reached"))
+
+    def updated(factor: DataFrame, frame: DataFrame, c: str) -> DataFrame:
+        by = sums(frame, c).withColumnRenamed("k", "at")
+        up = F.when(F.col("reached") > 0, F.col("target") / F.col("reached")).otherwise(0.0)
+        return saved(factor.join(by, F.col("k").eqNullSafe(F.col("at")), "left").select("k", "salts", "target", (F.col("f") * up).alias("f")), "mix-factor")
+
+    one = {c: target[c].withColumn("f", F.lit(1.0)) for c in axes}
+    b, c = one["lang"], one["topic"]
+    start = rows.withColumn("m", F.col("w"))
+    within = lambda: times(times(start, "lang", b), "topic", c)
+    for _ in range(ROUNDS):
+        a = updated(one["source"], within(), "source")
+        fit = times(within(), "source", a)
+        off = 0.0
+        for axis in ("lang", "topic"):
+            by = saved(target[axis].join(sums(fit, axis).withColumnRenamed("k", "at"), F.col("k").eqNullSafe(F.col("at")), "left").select("target", "reached"), "mix-reached")
+            mass = float(by.agg(F.sum("reached")).first()[0])
+            off = max(off, float(by.agg(F.max(F.abs(F.col("reached") - F.col("target") * mass))).first()[0]) / max(mass, 1e-300))
+        if off < CLOSE:
+            break
+        b = updated(b, fit, "lang")
+        c = updated(c, times(within(), "source", a), "topic")
+    a = updated(one["source"], within(), "source")
+    fit = times(within(), "source", a)
+    return saved(fit.select(*axes, "w", (F.col("m") / F.col("w")).alias("weight")), "mix-fitted-cells")
+
+
+def calibrate(cells: DataFrame, sources: DataFrame | None = None, langs: dict | None = None, topics: dict | None = None, fraction: float = FRACTION) -> DataFrame:
+    """source, lang, topic, weight, probability of each cell (source, lang, topic, tokens).
+
+    weight is the calibrated weight of a token: tokens times weight has the target shares of every source, language
+    and topic, as far as the cells allow. probability is weight times one constant, at most 1, such that the mean
+    sample has the wanted fraction of all tokens. sources: source, share; langs, topics: shares by value. Values
+    without a target share get probability 0; null is a value of its own. Cells without tokens get weight 1. There may be
+    any number of sources, languages and topics.
+    """
+    pairs = cells.where("tokens > 0").groupBy("lang", "topic").agg(F.sum("tokens").cast("double").alias("tokens")).limit(MOST_PAIRS + 1).collect()
+    if not pairs:
+        return cells.select("source", "lang", "topic", F.lit(1.0).alias("weight"), F.lit(1.0).alias("probability"))
+    fitted = _by_tables(cells, sources, langs, topics) if len(pairs) > MOST_PAIRS else _by_vectors(cells, pairs, sources, langs, topics)
     # the constant, from sums by logarithm of the weight: at most some thousand bins
     bins = fitted.where("weight > 0").groupBy(F.floor(F.log2("weight") * 64).alias("bin")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("weight")).alias("m")).orderBy(F.desc("bin")).collect()
     w, m = np.array([r["w"] for r in bins]), np.array([r["m"] for r in bins])

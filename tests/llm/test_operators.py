@@ -230,6 +230,35 @@ def test_mixing(spark, docs, odd):
     assert abs(sum(t * fitted[s, l]["weight"] for s, l, _, t in ((r[0], r[1], r[2], r[3]) for r in cells.collect()) if l == "x") / 100 - 0.5) < 0.01
 
 
+CELL = "source string, lang string, topic string, tokens long"
+
+
+def fitted_rows(frame):
+    return {(r["source"], r["lang"], r["topic"]): (r["weight"], r["probability"]) for r in frame.collect()}
+
+
+@pytest.mark.parametrize("salted", [False, True])
+def test_mixing_by_tables_is_mixing_by_vectors(spark, monkeypatch, salted):
+    draw = random.Random(6)
+    names = lambda letter, n: [None, *[f"{letter}{i}" for i in range(n)]]
+    cells = spark.createDataFrame([(s, l, t, draw.randint(0, 90)) for s in names("s", 3) for l in names("l", 7) for t in names("t", 2) if draw.random() < 0.8], CELL)
+    asked = {"sources": spark.createDataFrame([("s0", 0.4), ("s1", 0.3), (None, 0.3)], "source string, share double"), "langs": {None: 0.3, "l1": 0.5, "l2": 0.2}}
+    want = [fitted_rows(mixing.calibrate(cells, **k)) for k in ({}, asked)[: 1 if salted else 2]]
+    monkeypatch.setattr(mixing, "MOST_PAIRS", 5)
+    if salted:
+        monkeypatch.setattr(mixing, "MOST_BROADCAST", 2)
+        monkeypatch.setattr(mixing, "TOGETHER", 4)
+    for w, k in zip(want, ({}, asked)):
+        got = fitted_rows(mixing.calibrate(cells, **k))
+        assert got.keys() == w.keys() and np.allclose([got[c] for c in w], [w[c] for c in w], rtol=1e-9, atol=1e-12)
+
+
+def test_mixing_takes_any_number_of_languages(spark):
+    documents = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.concat(F.lit("l"), "id").alias("lang"), F.lit("one two three").alias("text"))
+    made = mixing.mixed(documents).agg(F.count("*"), F.min("weight"), F.max("weight"), F.min("probability"), F.max("probability")).first()
+    assert made[0] == 12_000 and np.allclose(made[1:3], 1, rtol=1e-6) and np.allclose(made[3:], mixing.FRACTION, rtol=1e-6)
+
+
 def test_quality_model(spark):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_model.quality_scores(documents, labels).join(labels, "doc_id").where("held_out").collect()
