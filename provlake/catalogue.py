@@ -350,6 +350,25 @@ def disposition_counts(spark, d):
     return ingest.fold(_stressed(spark, d)).groupBy("disposition", "code").agg(F.count("*").alias("n"))
 
 
+def _fenced(spark: SparkSession, d: str) -> DataFrame:
+    """Arrivals with falling revisions of every seventh event, and the source's first boot again two boots later."""
+    base = events.load(spark, d)
+    boots = base.groupBy("source").agg(F.min_by("incarnation", "event_id").alias("boot"))
+    number = lambda c: F.substring_index(c, "-", -1).cast("long")
+    again = (F.col("event_id") % 101 == 0) & (number("incarnation") >= number("boot") + 2)
+    return base.join(boots, "source").withColumn("incarnation", F.when(again, F.col("boot")).otherwise(F.col("incarnation"))).withColumn("revision", F.when(F.col("event_id") % 7 == 0, F.lit(10**12) - F.col("event_id")).otherwise(F.col("revision"))).drop("boot")
+
+
+_FENCED = f"""with {_OBS}, g as (select *, event_id % 101 = 0 and cast(split_part(incarnation, '-', 2) as bigint) >= cast(split_part(first_value(incarnation) over (partition by source order by event_id), '-', 2) as bigint) + 2 as again, source = 'source/s5' and aspect <> 'link.state' as beyond from obs),
+ h as (select *, event_id % 7 = 0 and count(*) filter (event_id % 7 = 0 and not again and not beyond) over (partition by source, subject, aspect order by event_id rows between unbounded preceding and 1 preceding) > 0 as older from g),
+ o as (select source, event_id + 1 as arrival_seq, case when again then 'rejected' when beyond or older then 'fenced' else 'accepted' end as disposition, case when again then 'FencedIncarnation' when beyond then 'FencedAuthority' when older then 'FencedRevision' else 'Ok' end as code from h)"""
+
+
+@_query(_FENCED + " select * from o")
+def authority_outcomes(spark, d):
+    return ingest.fold(_fenced(spark, d), scopes=spark.createDataFrame([("source/s5", ["link.state"])], "source string, aspects array<string>"))
+
+
 @_query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(cast(epoch_us(ts) % 1000000 as varchar), 6, '0') || '000Z' as utc, epoch_us(ts) * 1000 as parsed from events")
 def utc_text(spark, d):
     text = events.load(spark, d).select("event_id", x.format_utc(F.col("observed_at")).alias("utc"))

@@ -65,13 +65,26 @@ def with_content(observations: DataFrame) -> DataFrame:
     return observations.withColumn("content", F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*said, "value", "supported"]]), 256)).select(*COLUMNS)
 
 
-def fold(observations: DataFrame, max_skew: int = 5 * SECOND) -> DataFrame:
-    """Outcome of every observation, in order of arrival per source.
+def with_scope(contents: DataFrame, scopes: DataFrame | None) -> DataFrame:
+    """scope: the aspects that the source declared (source, aspects); null or empty where it declared none."""
+    if scopes is None:
+        return contents.withColumn("scope", F.lit(None).cast("array<string>"))
+    declared = scopes.groupBy("source").agg(F.flatten(F.collect_list("aspects")).alias("scope"))
+    return contents.join(declared, "source", "left").select(*COLUMNS, "scope")
+
+
+def scope_of(o) -> frozenset[str]:
+    return frozenset() if o.scope is None else frozenset(o.scope)
+
+
+def fold(observations: DataFrame, max_skew: int = 5 * SECOND, scopes: DataFrame | None = None) -> DataFrame:
+    """Outcome of every observation, in order of arrival per source. scopes: source, aspects; claims of other aspects
+    of a source that is in it are fenced.
 
     A source's order cannot be split, but its rows need not be held: rows are sorted within partitions by source and
     arrival, and the fold runs over Arrow batches with one source's lineage in memory at a time.
     """
-    ordered = with_content(observations).repartition("source").sortWithinPartitions("source", "arrival_seq")
+    ordered = with_scope(with_content(observations), scopes).repartition("source").sortWithinPartitions("source", "arrival_seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source, state = None, Lineage()
@@ -80,7 +93,7 @@ def fold(observations: DataFrame, max_skew: int = 5 * SECOND) -> DataFrame:
             for o in batch.itertuples(index=False):
                 if o.source != source:
                     source, state = o.source, Lineage()
-                out.append((o.source, o.arrival_seq, *step(state, o, max_skew)))
+                out.append((o.source, o.arrival_seq, *step(state, o, max_skew, scope_of(o))))
             yield pd.DataFrame(out, columns=["source", "arrival_seq", "disposition", "code"])
 
     return ordered.mapInPandas(run, OUTCOME)

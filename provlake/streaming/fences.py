@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from provlake.operators.ingest import OUTCOME, Lineage, step, with_content
+from provlake.operators.ingest import OUTCOME, Lineage, scope_of, step, with_content, with_scope
 
 STATE = "incarnation string, sequence long, generation long, epoch long, content string, seen array<string>, keys array<string>, revisions array<long>"
 
@@ -19,12 +19,13 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         incarnation, sequence, generation, epoch, content, seen, keys, revisions = state.get
         lineage = Lineage(incarnation, sequence, generation, epoch, content, list(seen), {tuple(k.split("\u0001")): r for k, r in zip(keys, revisions)})
     rows = pd.concat(list(batches)).sort_values("arrival_seq")
-    out = [(o.source, o.arrival_seq, *step(lineage, o)) for o in rows.itertuples(index=False)]
+    out = [(o.source, o.arrival_seq, *step(lineage, o, scope=scope_of(o))) for o in rows.itertuples(index=False)]
     keys = ["\u0001".join(k) for k in lineage.revisions]
     state.update((lineage.incarnation, lineage.sequence, lineage.generation, lineage.epoch, lineage.content, lineage.seen, keys, [int(r) for r in lineage.revisions.values()]))
     yield pd.DataFrame(out, columns=["source", "arrival_seq", "disposition", "code"])
 
 
-def admit(observations: DataFrame) -> DataFrame:
-    """Outcomes of a stream of observations; rows of one micro-batch are taken in order of arrival."""
-    return with_content(observations).groupBy("source").applyInPandasWithState(_advance, OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout)
+def admit(observations: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
+    """Outcomes of a stream of observations; rows of one micro-batch are taken in order of arrival. scopes: a static
+    table as in the batch fold."""
+    return with_scope(with_content(observations), scopes).groupBy("source").applyInPandasWithState(_advance, OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout)

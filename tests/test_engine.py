@@ -179,3 +179,22 @@ def test_absent_parents(spark):
     nodes = spark.createDataFrame([("rack/1", "rack", None), ("device/1", "device", "rack/1"), ("device/2", "device", "rack/2"), ("port/2/1", "port", "device/2")], "node string, kind string, parent string")
     assert {tuple(r) for r in hierarchy.roots(nodes).collect()} == {("rack/1", "rack", False), ("device/2", "device", True)}
     assert {(r["node"], r["depth"]) for r in hierarchy.walk(nodes, "device").collect()} == {("device/2", 0), ("port/2/1", 1)}
+
+
+def test_declared_scopes_reach_the_fold_and_the_stream(spark, tmp_path):
+    frame = spark.createDataFrame([claim(s, "up", sequence=n, aspect=a, n=n) for s in ("a", "b", "c") for n, a in enumerate(("link.state", "port.state", "path.state"), 1)], CLAIM)
+    scopes = spark.createDataFrame([("a", ["link.state"]), ("a", ["port.state"]), ("b", [])], "source string, aspects array<string>")
+    want = {(s, n, "fenced", "FencedAuthority") if (s, n) == ("a", 3) else (s, n, "accepted", "Ok") for s in "abc" for n in (1, 2, 3)}
+    assert {tuple(r) for r in ingest.fold(frame, scopes=scopes).collect()} == want
+    frame.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    fences.admit(stream, scopes).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert {tuple(r) for r in spark.read.parquet(out).collect()} == want
+
+
+def test_registered_query_meets_every_fence(spark):
+    from provlake import catalogue
+
+    codes = {r["code"] for r in catalogue.queries()["authority_outcomes"](spark, SF).select("code").distinct().collect()}
+    assert codes == {"Ok", "FencedAuthority", "FencedIncarnation", "FencedRevision"}
