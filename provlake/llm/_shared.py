@@ -111,9 +111,12 @@ def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors share; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share. Where that is unset a local
+    master takes a temporary one; on a cluster it is an error, as executors would write to their own disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.gettempdir() + "/provlake"

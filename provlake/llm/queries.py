@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +51,7 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = chat.preferences(chat.neighbours(table(spark, sf_dir, "conversations")))
+    made = chat.preferences(chat.alternatives(table(spark, sf_dir, "conversations")))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",").alias(c)
     return made.select(*[spans(c) if c.endswith("_mask") else F.col(c) for c in made.columns])
 
@@ -64,22 +63,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (op1_bpe, op2_token_counts, op3_near_duplicates, op4_html_text, op5_topk, op6_suffix_dedup, op7_mixing, op8_quality_model, op9_preferences, op10_quality_rules)
-    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in named}
 
 
 _OP5 = """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
   where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, r.vec_id, cast(list_inner_product(cast(q.e as double[]), cast(r.e as double[])) as bigint) as score
-  from (select * from v where vec_id % 50 = 0) q join v r on q.vec_id <> r.vec_id)
+s as (select q.vec_id as query_id, r.vec_id, max(cast(list_inner_product(cast(q.e as double[]), cast(r.e as double[])) as bigint)) as score
+  from (select * from v where vec_id % 50 = 0) q join v r on q.vec_id <> r.vec_id and len(q.e) = len(r.e) group by 1, 2)
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
 from s qualify rank <= 5
 """
 
-_OP9 = """
-with t as (select cast(floor(conv_id / 2.0) as bigint) as pair_id, conv_id % 2 = 0 as side, turn, coalesce(role, '') as role, coalesce(text, '') as text
-  from conversations where conv_id is not null),
-k as (select *, row_number() over (partition by pair_id, side order by turn nulls first, role, text) as k from t),
+_OP9 = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from c),
+l as (select conv_id, max(k) as n from o where role = 'assistant' group by 1),
+r as (select o.conv_id, text as reply from o join l on o.conv_id = l.conv_id and k = n),
+t as (select conv_id as pair_id, true as side, k, role, text from o
+  union all select o.conv_id, false, k, role, text from o join l on o.conv_id = l.conv_id and k < n
+  union all select l.conv_id, false, n, 'assistant', reply from l join r on r.conv_id = xor(l.conv_id, 1)),
+k as (select pair_id, side, k, regexp_replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), '\|(\\*)>', '|\1\\>', 'g') as role,
+  regexp_replace(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'), '\|(\\*)>', '|\1\\>', 'g') as text from t),
 p as (select pair_id, count(*) filter (side) as nc, count(*) filter (not side) as nr from k group by 1),
 d as (select c.pair_id, min(c.k) - 1 as n from k c join k r on c.pair_id = r.pair_id and c.k = r.k and c.side and not r.side and (c.role <> r.role or c.text <> r.text) group by 1),
 n as (select p.pair_id, coalesce(d.n, least(nc, nr)) as n, nc, nr from p left join d using (pair_id)),

@@ -2,6 +2,10 @@
 
 Query blocks meet row shards in tiles. A tile is one matrix product; each query keeps its best rows of the tile, and
 the top lists are merged up a tree of shards until one list per query is left.
+
+Blocks and shards are dealt to groups by their numbers, and every pair of a block group and a shard group is one key
+of the join. So a key holds some PAIRED blocks and PAIRED shards, however many there are, and no block gathers all
+shards in one task.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from provlake.llm._shared import saved
 
 #: Queries of a block, rows of a shard, and lists that one step of the merge tree takes together.
 BLOCK, SHARD, FAN_IN = 4096, 8192, 16
+#: Blocks and shards of a group, about; most partitions of the join; least groups of shards, where there are as many.
+PAIRED, MOST_TASKS, LEAST_GROUPS = 16, 20_000, 64
 _PACKED = "dim int, part long, ids binary, vectors binary"
 
 
@@ -30,9 +36,12 @@ def _pack(size: int, floor: bool) -> Callable:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def flush(dim: int) -> pa.RecordBatch:
+            """The first rows of those held, size of them at most."""
             nonlocal part
-            ids = np.concatenate([i for i, _ in held[dim]])
-            vectors = np.concatenate([v for _, v in held.pop(dim)])
+            ids, vectors = (np.concatenate(x) for x in zip(*held.pop(dim)))
+            if len(ids) > size:
+                held[dim] = [(ids[size:], vectors[size:])]
+            ids, vectors = ids[:size], vectors[:size]
             part += 1
             return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([part], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=["dim", "part", "ids", "vectors"])
 
@@ -56,71 +65,104 @@ def _pack(size: int, floor: bool) -> Callable:
                 while sum(len(i) for i, _ in held.get(dim, [])) >= size:
                     yield flush(dim)
         for dim in list(held):
-            yield flush(dim)
+            while dim in held:
+                yield flush(dim)
 
     return run
 
 
 def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Integer inner products; by floats only where those are exact."""
-    bound = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * queries.shape[1]
+    """Integer inner products; by floats only where those are exact. Products beyond 64 bits are refused."""
+    bound = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1]
     if bound < 2**53:
         return (queries @ rows.T).astype(np.int64)
-    return queries.astype(np.int64) @ rows.T.astype(np.int64)
+    if bound < 2**63:
+        return queries.astype(np.int64) @ rows.T.astype(np.int64)
+    whole = np.array([[int(x) for x in v] for v in queries.tolist()], object) @ np.array([[int(x) for x in v] for v in rows.tolist()], object).T
+    if max(map(abs, whole.ravel().tolist()), default=0) >= 2**63 - 1:
+        raise ValueError("an inner product needs more than 64 bits")
+    return whole.astype(np.int64)
+
+
+_NONE = np.iinfo(np.int64).min
+
+
+def _cut(qid: np.ndarray, rid: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query's (id, score), an id once with its highest score: higher scores, then smaller ids."""
+    order = np.lexsort((-score, rid, qid))
+    qid, rid, score = qid[order], rid[order], score[order]
+    new = np.ones(len(qid), bool)
+    new[1:] = (qid[1:] != qid[:-1]) | (rid[1:] != rid[:-1])
+    qid, rid, score = qid[new], rid[new], score[new]
+    order = np.lexsort((rid, -score, qid))
+    qid, rid, score = qid[order], rid[order], score[order]
+    keep = np.arange(len(qid)) - np.searchsorted(qid, qid) < k
+    return qid[keep], rid[keep], score[keep]
+
+
+def _partial(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best rows of each query of a tile; rid ascends. A query's own id is no answer."""
+    first = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
+    ids = rid[first]
+    found = []
+    for a in range(0, len(qid), 256):
+        mine = qid[a : a + 256]
+        score = scores(q[a : a + 256], r)
+        if len(first) < len(rid):
+            score = np.maximum.reduceat(score, first, axis=1)
+        score[mine[:, None] == ids[None, :]] = _NONE
+        n = len(ids)
+        # all that reach the k-th score, so that ties are decided by the id
+        least = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(mine), _NONE)
+        row, col = np.nonzero((score >= least[:, None]) & (score != _NONE))
+        found.append(_cut(mine[row], ids[col], score[row, col], k))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _tile(k: int) -> Callable:
-    """The k best rows of each query of a tile: higher scores first, then smaller ids; a query's own id is no answer."""
+    """Top lists of the blocks; tiles of one block that follow each other are merged here already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group, lists = None, 0, []
+
+        def flush() -> pa.RecordBatch:
+            qid, rid, score = _cut(*(np.concatenate(x) for x in zip(*lists)), k)
+            return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(rid), pa.array(score), pa.array(np.full(len(qid), group, np.int64))], names=["query_id", "vec_id", "score", "part"])
+
         for batch in batches:
-            for tile in batch.to_pylist():
+            for n in range(batch.num_rows):
+                tile = batch.slice(n, 1).to_pylist()[0]
+                if at != (tile["block"], tile["part_group"]):
+                    if lists:
+                        yield flush()
+                    at, group, lists = (tile["block"], tile["part_group"]), tile["part_group"], []
                 dim = tile["dim"]
                 qid, rid = np.frombuffer(tile["q_ids"], np.int64), np.frombuffer(tile["r_ids"], np.int64)
                 q = np.frombuffer(tile["q_vectors"], np.float64).reshape(len(qid), dim)
                 r = np.frombuffer(tile["r_vectors"], np.float64).reshape(len(rid), dim)
                 order = np.argsort(rid, kind="stable")
-                rid, r = rid[order], r[order]
-                for a in range(0, len(qid), 256):
-                    score = scores(q[a : a + 256], r)
-                    allowed = qid[a : a + 256, None] != rid[None, :]
-                    score[~allowed] = np.iinfo(np.int64).min
-                    _once(rid, score, allowed)
-                    yield from _best(qid[a : a + 256], rid, score, allowed, k, tile["part"])
+                lists.append(_partial(qid, q, rid[order], r[order], k))
+        if lists:
+            yield flush()
 
     return run
 
 
-def _once(rid: np.ndarray, score: np.ndarray, allowed: np.ndarray) -> None:
-    """Take out all but one of each query's equal (id, score), so that copies use no places of others; rid ascends."""
-    again = np.flatnonzero(rid[1:] == rid[:-1])
-    if not len(again):
-        return
-    col = np.union1d(again, again + 1)
-    held = score[:, col]
-    order = np.lexsort((held, np.broadcast_to(rid[col], held.shape)), axis=-1)
-    held = np.take_along_axis(held, order, 1)
-    row, at = np.nonzero((held[:, 1:] == held[:, :-1]) & (rid[col][1:] == rid[col][:-1]))
-    copy = col[order[row, at + 1]]
-    score[row, copy] = np.iinfo(np.int64).min
-    allowed[row, copy] = False
-
-
-def _best(qid: np.ndarray, rid: np.ndarray, score: np.ndarray, allowed: np.ndarray, k: int, part: int) -> Iterator[pa.RecordBatch]:
-    n = score.shape[1]
-    if n > k:
-        # all that reach the k-th score, so that ties are decided by the id
-        least = np.partition(score, n - k, axis=1)[:, n - k]
-        row, col = np.nonzero((score >= least[:, None]) & allowed)
-    else:
-        row, col = np.nonzero(allowed)
-    value = score[row, col]
-    order = np.lexsort((rid[col], -value, row))
-    row, col, value = row[order], col[order], value[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = place < k
-    row, col, value = row[keep], col[keep], value[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(rid[col]), pa.array(value), pa.array(np.full(len(row), part, np.int64))], names=["query_id", "vec_id", "score", "part"])
+def _groups(blocks: int, shards: int) -> tuple[int, int]:
+    """Number of groups of blocks and of shards."""
+    return max(1, -(-blocks // PAIRED)), max(1, -(-shards // PAIRED), min(shards, LEAST_GROUPS))
+
+
+def tiles(q: DataFrame, r: DataFrame) -> tuple[DataFrame, int]:
+    """Every block with every shard of its dimension, and the number of groups of shards."""
+    block_groups, part_groups = _groups(q.count(), r.count())
+    group = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = q.withColumnsRenamed({"part": "block", "ids": "q_ids", "vectors": "q_vectors"}).withColumn("block_group", group("block", block_groups)).withColumn("part_group", every(part_groups))
+    r = r.withColumnsRenamed({"ids": "r_ids", "vectors": "r_vectors"}).withColumn("part_group", group("part", part_groups)).withColumn("block_group", every(block_groups))
+    key, n = ["dim", "block_group", "part_group"], min(block_groups * part_groups, MOST_TASKS)
+    met = q.repartition(n, *key).join(r.repartition(n, *key).hint("merge"), key)
+    return met.select("dim", "block", "part_group", "q_ids", "q_vectors", "r_ids", "r_vectors"), part_groups
 
 
 def topk(rows: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", quantised: bool = True) -> DataFrame:
@@ -128,25 +170,20 @@ def topk(rows: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector
 
     Rows and queries with a null id, or a vector that is null or holds null or non-finite values, take no part;
     vectors of different lengths are not compared. A row with the query's own id is no answer. Ties go to the smaller
-    id; repeated rows of an id count once. Fewer rows than k are all returned; an empty table gives an empty one.
-    quantised: components are floor(256 * x) of doubles. Scores are 64-bit integers.
+    id. An id counts once: where several rows or queries have one id, equal or not, its score is the highest of theirs.
+    Fewer rows than k are all returned; an empty table gives an empty one. quantised: components are floor(256 * x) of
+    doubles. Scores are 64-bit integers; an inner product beyond them is an error.
     """
     column = [F.col(id).cast("long").alias("id"), F.col(vector).alias("vector")]
-    q = saved(queries.select(*column).mapInArrow(_pack(BLOCK, quantised), _PACKED), "topk-queries").withColumnsRenamed({"part": "block", "ids": "q_ids", "vectors": "q_vectors"})
-    r = saved(rows.select(*column).mapInArrow(_pack(SHARD, quantised), _PACKED), "topk-rows").withColumnsRenamed({"ids": "r_ids", "vectors": "r_vectors"})
-    shards = r.count()
-    # every block meets every shard of its dimension: the blocks' numbers go to the shards, then an equal join
-    numbers = q.groupBy("dim").agg(F.collect_set("block").alias("blocks"))
-    tiles = r.join(F.broadcast(numbers) if q.count() <= 10_000 else numbers, "dim").withColumn("block", F.explode("blocks")).drop("blocks")
-    met = tiles.repartition(max(1, min(shards * q.count(), 20_000)), "block", "part").join(q.drop("dim"), "block")
-    best = met.select("dim", "part", "q_ids", "q_vectors", "r_ids", "r_vectors").mapInArrow(_tile(k), "query_id long, vec_id long, score long, part long")
+    q = saved(queries.select(*column).mapInArrow(_pack(BLOCK, quantised), _PACKED), "topk-queries")
+    r = saved(rows.select(*column).mapInArrow(_pack(SHARD, quantised), _PACKED), "topk-rows")
+    met, left = tiles(q, r)
+    best = met.mapInArrow(_tile(k), "query_id long, vec_id long, score long, part long")
     ranked = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "vec_id")
-    # places of shards are spread over the tree by their number
-    best = best.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(max(1, shards))))
     while True:
-        shards = -(-shards // FAN_IN)
-        best = best.withColumn("part", F.floor(F.col("part") / FAN_IN))
-        best = best.dropDuplicates(["query_id", "part", "vec_id", "score"]).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-        if shards <= 1:
+        left = -(-left // FAN_IN)
+        best = best.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("query_id", "part", "vec_id").agg(F.max("score").alias("score"))
+        best = best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+        if left <= 1:
             break
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
