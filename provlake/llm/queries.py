@@ -43,7 +43,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+    return mixing.mixed(table(spark, sf_dir, "documents"), columns=["doc_id", "source", "lang"])
 
 
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,20 +251,62 @@ def test_topk_deals_one_block_to_many_tasks(spark, monkeypatch):
     assert best == {(100, k + 1, 1999 - k, 65536 * (100 * (1999 - k) + 1)) for k in range(3)}
 
 
+def filled_by_force(own, share, wanted):
+    """Water filling by bisection."""
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        x = (low + high) / 2
+        low, high = (x, high) if np.minimum(own, x * share).sum() < wanted else (low, x)
+    return np.minimum(own, high * share)
+
+
 def test_mixing(spark, docs, odd):
-    made = mixing.mixed(docs).cache()
-    total = made.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability"))).first()
-    assert abs(total[1] / total[0] - mixing.FRACTION) < 0.02
-    for c in ("source", "lang", "topic"):
-        rows = made.where("n_tokens > 0").groupBy(c).agg(F.sum("n_tokens").alias("t"), F.sum(F.col("n_tokens") * F.col("weight")).alias("w")).collect()
-        share = np.array([r["t"] for r in rows], float) ** mixing.TEMPERATURE
-        assert np.allclose(share / share.sum(), np.array([r["w"] for r in rows]) / total[0], atol=2e-3)
+    for frame in (docs, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
+        made = mixing.mixed(frame).cache()
+        total = made.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability")), F.max("off"), F.max("probability")).first()
+        assert abs(total[1] / total[0] - mixing.FRACTION) < 1e-3 and total[2] < mixing.CLOSE and total[3] <= 1
+        for c in ("source", "lang", "topic"):
+            rows = made.where("n_tokens > 0").groupBy(c).agg(F.sum("n_tokens").alias("t"), F.sum(F.col("n_tokens") * F.col("probability")).alias("p")).collect()
+            own = np.array([r["t"] for r in rows], float) / total[0]
+            assert np.allclose(np.array([r["p"] for r in rows]) / total[0], filled_by_force(own, own**mixing.TEMPERATURE, mixing.FRACTION), rtol=3e-3)
     assert mixing.mixed(odd).count() == odd.count() and mixing.mixed(odd.limit(0)).count() == 0
+    assert mixing.mixed(odd, columns=["doc_id", "band"]).columns == ["doc_id", "band", "topic", "n_tokens", "weight", "probability", "off", "kept"]
     cells = spark.createDataFrame([("a", "x", "p", 10), ("a", "y", "p", 30), ("b", "x", "p", 40), (None, "y", "q", 20)], "source string, lang string, topic string, tokens long")
-    fitted = {(r["source"], r["lang"]): r for r in mixing.calibrate(cells, langs={"x": 0.5, "y": 0.5}, topics={"p": 0.7, "q": 0.3}, sources=spark.createDataFrame([("a", 0.4), ("b", 0.3), (None, 0.3)], "source string, share double")).collect()}
+    fitted = {(r["source"], r["lang"]): r for r in mixing.calibrate(cells, langs={"x": 0.5, "y": 0.5}, topics={"p": 0.7, "q": 0.3}, sources=spark.createDataFrame([("a", 0.4), ("b", 0.3), (None, 0.3)], "source string, share double"), fraction=0.5).collect()}
     assert abs(sum(t * fitted[s, l]["weight"] for s, l, _, t in ((r[0], r[1], r[2], r[3]) for r in cells.collect()) if l == "x") / 100 - 0.5) < 0.01
 
 
+def test_what_is_kept_has_the_target_shares(spark):
+    """The kept tokens, not only the probabilities; a source that has less than its share is kept whole."""
+    n = F.col("id") % 97 + 5
+    frame = spark.range(120_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"), F.when(F.col("id") % 11 < 9, "en").otherwise("de").alias("lang"),
+        F.when(F.col("id") % 5 == 0, F.repeat(F.lit("a | b "), n.cast("int"))).otherwise(F.repeat(F.lit("some words here "), (2 * n).cast("int"))).alias("text"),
+    )
+    wanted = {"hot": 0.2, **{f"s{k}": 0.1 for k in range(6)}, "s6": 0.3}
+    made = mixing.mixed(frame, spark.createDataFrame(list(wanted.items()), "source string, share double"), {"en": 0.75, "de": 0.25}, {"tabular": 0.12, "short": 0.4, "prose": 0.48}, fraction=0.45, columns=["doc_id", "source", "lang"]).cache()
+    by = {(r["axis"], r["value"]): r for r in mixing.shares(made).collect()}
+    kept = made.where("kept").agg(F.sum("n_tokens")).first()[0] / made.agg(F.sum("n_tokens")).first()[0]
+    names = sorted(wanted)
+    own = np.array([by["source", s]["tokens"] for s in names])
+    target = filled_by_force(own, np.array([wanted[s] for s in names]), kept) / kept
+    assert abs(kept - 0.45) < 0.005
+    assert np.allclose([by["source", s]["kept"] for s in names], target, rtol=0.01)
+    langs = filled_by_force(np.array([by["lang", x]["tokens"] for x in ("de", "en")]), np.array([0.25, 0.75]), kept) / kept
+    assert np.allclose([by["lang", x]["kept"] for x in ("de", "en")], langs, rtol=0.01)
+    topics = [k[1] for k in by if k[0] == "topic"]
+    asked = {"tabular": 0.12, "short": 0.4, "prose": 0.48}
+    filled = filled_by_force(np.array([by["topic", t]["tokens"] for t in topics]), np.array([asked[t] for t in topics]), kept) / kept
+    assert np.allclose([by["topic", t]["kept"] for t in topics], filled, rtol=0.01)
+
+
+def test_targets_that_contradict_each_other_are_reported(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 50), ("b", "y", "p", 50)], CELL)
+    with pytest.warns(UserWarning, match="can't all be met"):
+        rows = mixing.calibrate(cells, spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, share double"), {"x": 0.1, "y": 0.9}, fraction=0.2).collect()
+    assert all(r["off"] > 0.1 for r in rows)
+
+
 CELL = "source string, lang string, topic string, tokens long"
 
 
@@ -277,7 +319,8 @@ def test_mixing_by_tables_is_mixing_by_vectors(spark, monkeypatch, salted):
     draw = random.Random(6)
     names = lambda letter, n: [None, *[f"{letter}{i}" for i in range(n)]]
     cells = spark.createDataFrame([(s, l, t, draw.randint(0, 90)) for s in names("s", 3) for l in names("l", 7) for t in names("t", 2) if draw.random() < 0.8], CELL)
-    asked = {"sources": spark.createDataFrame([("s0", 0.4), ("s1", 0.3), (None, 0.3)], "source string, share double"), "langs": {None: 0.3, "l1": 0.5, "l2": 0.2}}
+    asked = {"sources": spark.createDataFrame([("s0", 0.4), ("s1", 0.3), (None, 0.3)], "source string, share double"), "langs": {None: 0.3, "l1": 0.5, "l2": 0.2}, "fraction": 0.1}
+    monkeypatch.setattr(mixing, "CLOSE", 1e-6)
     want = [fitted_rows(mixing.calibrate(cells, **k)) for k in ({}, asked)[: 1 if salted else 2]]
     monkeypatch.setattr(mixing, "MOST_PAIRS", 5)
     if salted:
@@ -285,13 +328,13 @@ def test_mixing_by_tables_is_mixing_by_vectors(spark, monkeypatch, salted):
         monkeypatch.setattr(mixing, "TOGETHER", 4)
     for w, k in zip(want, ({}, asked)):
         got = fitted_rows(mixing.calibrate(cells, **k))
-        assert got.keys() == w.keys() and np.allclose([got[c] for c in w], [w[c] for c in w], rtol=1e-9, atol=1e-12)
+        assert got.keys() == w.keys() and np.allclose([got[c] for c in w], [w[c] for c in w], rtol=1e-4, atol=1e-9)
 
 
 def test_mixing_takes_any_number_of_languages(spark):
     documents = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.concat(F.lit("l"), "id").alias("lang"), F.lit("one two three").alias("text"))
     made = mixing.mixed(documents).agg(F.count("*"), F.min("weight"), F.max("weight"), F.min("probability"), F.max("probability")).first()
-    assert made[0] == 12_000 and np.allclose(made[1:3], 1, rtol=1e-6) and np.allclose(made[3:], mixing.FRACTION, rtol=1e-6)
+    assert made[0] == 12_000 and np.allclose(made[1:3], 1, rtol=1e-3) and np.allclose(made[3:], mixing.FRACTION, rtol=1e-3)
 
 
 def test_quality_model(spark):
