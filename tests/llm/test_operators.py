@@ -143,8 +143,8 @@ def removed_by_force(rows):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_suffix_dedup(spark, docs, odd, small, monkeypatch):
-    if small:  # many blocks, shards, batches and levels
-        for name, value in (("BLOCK", 1 << 14), ("SHARD", 1 << 12), ("BATCH", 1 << 11)):
+    if small:  # many blocks, shards, batches and levels, and hot windows
+        for name, value in (("BLOCK", 1 << 14), ("SHARD", 1 << 12), ("BATCH", 1 << 11), ("HOT", 3)):
             monkeypatch.setattr(suffix_dedup, name, value)
     for frame in (docs.select("doc_id", "text"), odd):
         got = collections.Counter(tuple(r) for r in suffix_dedup.suffix_digest(frame).collect())
@@ -155,16 +155,38 @@ def test_suffix_dedup(spark, docs, odd, small, monkeypatch):
 
 def test_levels_grow_geometrically():
     draw = np.random.default_rng(1)
-    family = suffix_dedup.Family()
+    family, first, all_ = suffix_dedup.Family(), {}, []
     for k in range(9):
-        text = draw.integers(0, 3, 400).astype(np.uint8)
+        text = draw.integers(0, 2 if k % 2 else 3, 400).astype(np.uint8)
+        if k:
+            text[100:300] = all_[k // 2][0][50:250]
         start = np.arange(351)
-        batch, rank = family.add(text, start, np.full(351, 100 - k))
         keys = [text[s : s + 50].tobytes() for s in start]
-        assert [bytes(batch.keys[r]).ljust(50, b"\0") for r in rank] == keys
+        for key in keys:
+            first[key] = min(first.get(key, 999), (100 - k) ** 2 % 37)
+        batch, rank = family.add(text, start, np.full(351, (100 - k) ** 2 % 37))
+        all_.append((text, keys, batch, rank))
+        assert [batch.text[p : p + 50].tobytes() for p in batch.order[rank]] == keys
+    for level in family.levels:
+        held = [level.text[p : p + 50].tobytes() for p in level.order]
+        assert held == sorted(set(held))
+    for _, keys, batch, rank in all_:
+        assert family.least(batch)[rank].tolist() == [first[k] for k in keys]
     assert len(family.levels) <= 5
 
 
+def test_two_batches_are_one(spark, docs, tmp_path, monkeypatch):
+    for name, value in (("BLOCK", 1 << 16), ("SHARD", 1 << 14), ("BATCH", 1 << 12)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    whole = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(docs).collect()}
+    middle = sorted(whole)[len(whole) // 2]
+    got = {}
+    for part in ("doc_id < {}", "doc_id >= {}"):
+        index = suffix_dedup.SuffixIndex(spark, f"file://{tmp_path}/index")
+        got |= {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in index.add(docs.where(part.format(middle))).collect()}
+    assert got == whole and suffix_dedup.SuffixIndex(spark, f"file://{tmp_path}/index").batches == 2
+
+
 def test_html_text_on_generated_pages():
     draw, wrong = random.Random(12345), 0
     for _ in range(150):
