@@ -1,10 +1,12 @@
 """Near-duplicate classes by DartMinHash.
 
-A document is the weighted set of its five-word shingles; the weight is the number of times it has the shingle. Every
-unit of weight of a shingle has a Poisson process of darts, the same in every document: each dart has an arrival time
-and one of K coordinates. Only darts that arrive before a cut, which is set by the total weight, are thrown; the
-earliest dart of each coordinate is the signature. Two documents agree in a coordinate with a probability of their
-weighted Jaccard similarity, the sum of minima over the sum of maxima of the weights.
+A document is the weighted set of its five-word shingles; the weight is the number of times it has the shingle, but
+any real weights work. For each shingle darts fall on the plane of weight and rank, one per unit of area on average, the
+same in every document. The plane is cut into regions that double in weight and in rank, these into cells of an area of
+one at most, and a cell's darts follow from a hash: how many, where, and which of K coordinates each belongs to. Of the
+darts below a document's weight of the shingle, those below a rank that is set by its total weight are thrown; the one
+of the smallest rank in each coordinate is the signature. Two documents agree in a coordinate with a probability of
+their weighted Jaccard similarity, the sum of minima over the sum of maxima of the weights.
 
 Bands of the signature give candidates. Links are exact: a candidate pair counts where its similarity, computed from
 the whole texts, reaches the threshold. Classes are the connected components of links.
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm._shared import Words, dense, mix, packed, pieces, saved, spans_id
+from provlake.llm._shared import Words, mix, packed, pieces, saved
 
 #: Words of a shingle; least similarity of a link.
 SHINGLE, SIMILAR = 5, 0.8
@@ -34,6 +36,8 @@ AGREE = int(COORDINATES * (SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / COORDINATES)
 COUNTS = 512
 #: Texts of one side of a tile, about.
 CHUNK = 256
+#: The lowest region of rank ends here, and that of weight at 1; each further one is as wide as all below it.
+LOWEST = 0.25
 #: Bytes of text of one step.
 STEP = 1 << 19
 
@@ -58,35 +62,82 @@ def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return words.text[full], mix(ids[full])
 
 
-def units(text: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Ids of the units of weight: a shingle's second occurrence in a text is another unit, and so on."""
+def _same(text: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which the occurrences of a shingle in a text are together, and where each shingle begins."""
     key = mix(ids ^ mix(text.astype(np.uint64)))
     order = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+    return order, np.append(True, key[order[1:]] != key[order[:-1]])[: len(ids)]
+
+
+def units(text: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Ids of the units of weight: a shingle's second occurrence in a text is another unit, and so on."""
+    order, new = _same(text, ids)
     nth = np.empty(len(ids), np.uint64)
     nth[order] = (np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))).astype(np.uint64)
     return mix(ids + nth * np.uint64(0xD1342543DE82EF95))
 
 
-def signatures(text: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
-    """n rows of COORDINATES arrival times; a text without shingles has infinities. unit is ordered by text."""
+def weighted(text: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, id and number of occurrences of each different shingle of a text."""
+    order, new = _same(text, ids)
+    first = np.flatnonzero(new)
+    return text[order[first]], ids[order[first]], np.diff(np.append(first, len(ids))).astype(np.float64)
+
+
+def _poisson(mean: float) -> np.ndarray:
+    """Probabilities of at most 0, 1, ... darts in a cell."""
+    k = np.arange(24)
+    return np.cumsum(np.exp(-mean) * mean**k / np.append(1.0, np.cumprod(k[1:].astype(np.float64))))
+
+
+def _part(x: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) from hashes."""
+    return (x >> np.uint64(11)).astype(np.float64) / (1 << 53)
+
+
+def darts(ids: np.ndarray, weight: np.ndarray, cut: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Element, coordinate and rank of the darts below each element's weight and cut, region by region."""
+    heavy, wide, v = 0.0, 1.0, 0
+    while len(some_v := np.flatnonzero(weight > heavy)):
+        low, high, j = 0.0, LOWEST, 0
+        while len(some := some_v[cut[some_v] > low]):
+            cells = max(1, int(wide * (high - low)))
+            step = (high - low) / cells
+            need = np.minimum(np.ceil((cut[some] - low) / step).astype(np.int64), cells) if cells > 1 else np.ones(len(some), np.int64)
+            element = np.repeat(some, need)
+            cell = np.arange(len(element)) - np.repeat(np.cumsum(need) - need, need)
+            seed = mix(ids[element] + np.uint64((v * 4096 + j * 64 + 1) * int(_C) % 2**64) + cell.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+            number = np.searchsorted(_poisson(wide * step), _part(seed), "right")
+            hit = np.flatnonzero(number)
+            number = number[hit]
+            at = np.repeat(hit, number)
+            nth = (np.arange(len(at)) - np.repeat(np.cumsum(number) - number, number) + 1).astype(np.uint64)
+            dart = mix(seed[at] + nth * _C)
+            rank = low + (cell[at] + _part(dart)) * step
+            mine = element[at]
+            other = mix(dart ^ _C)
+            inside = rank < cut[mine]
+            if (weight[some] < heavy + wide).any():
+                inside &= heavy + wide * _part(other) < weight[mine]
+            yield mine[inside], (mix(other[inside]) % np.uint64(COORDINATES)).astype(np.int64), rank[inside]
+            low, high, j = high, 2 * high, j + 1
+        heavy, wide, v = heavy + wide, wide if v == 0 else 2 * wide, v + 1
+
+
+def signatures(text: np.ndarray, ids: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """n rows of COORDINATES ranks; a text without weight has infinities. Each shingle of a text is there once, with a
+    weight above 0; weights well below 1 cost more darts."""
     out = np.full(n * COORDINATES, np.inf)
-    weight = np.bincount(text, minlength=n).astype(np.float64)
-    cut = DARTS / np.maximum(weight, 1)
-    todo = np.flatnonzero(weight > 0)
+    total = np.bincount(text, weight, n)
+    cut = DARTS / np.maximum(total, 1e-300)
+    todo = np.flatnonzero(total > 0)
     while len(todo):
         left = np.zeros(n, bool)
         left[todo] = True
         some = left[text]
-        owner, state = text[some], unit[some]
-        time = np.zeros(len(owner))
-        while len(owner):
-            state = mix(state + _C)
-            time = time - np.log1p(-(state >> np.uint64(11)).astype(np.float64) / (1 << 53))
-            thrown = time < cut[owner]
-            owner, state, time = owner[thrown], state[thrown], time[thrown]
-            place = (mix(state ^ _C) % np.uint64(COORDINATES)).astype(np.int64)
-            np.minimum.at(out, owner * COORDINATES + place, time)
+        owner = text[some]
+        for mine, place, rank in darts(ids[some], weight[some], cut[owner]):
+            np.minimum.at(out, owner[mine] * COORDINATES + place, rank)
         todo = todo[np.isinf(out.reshape(n, COORDINATES)[todo]).any(axis=1)]
         cut[todo] *= 2
     return out.reshape(n, COORDINATES)
@@ -108,28 +159,21 @@ def may_reach(one: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
 def _signed() -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = packed(batch.column(1))
+            data, at = packed(batch.column(2))
             for a, b in pieces(at, STEP):
-                part, ends = data[at[a] : at[b]], at[a : b + 1] - at[a]
-                words = Words(part, ends)
+                words = Words(data[at[a] : at[b]], at[a : b + 1] - at[a])
                 text, ids = shingles(words)
-                unit = units(text, ids)
-                sig, held = signatures(text, unit, b - a), counts(text, unit, b - a)
-                some = np.isfinite(sig[:, 0])
+                sig, held = signatures(*weighted(text, ids), b - a), counts(text, units(text, ids), b - a)
                 bits = mix(sig.view(np.uint64))
                 bands = np.zeros((b - a, BANDS), np.uint64)
                 for k in range(ROWS):
                     bands = mix(bands + bits[:, k::ROWS] * np.uint64(2 * k + 1))
                 bands = mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * _C).view(np.int64)
                 short = (bits & np.uint64(0xFFFF)).astype(np.uint16)
-                # a second id of the whole text tells exact copies apart from the rest
-                rows = np.flatnonzero(some)
-                whole = np.zeros(b - a, np.uint64)
-                full = np.flatnonzero(np.diff(ends) > 0)
-                whole[full] = spans_id(part, ends[full], ends[full + 1])
-                flat = pa.array(bands[rows].ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(rows)), pa.array(whole[rows].view(np.int64)), lists, pa.array([short[r].tobytes() for r in rows], pa.binary()), pa.array([held[r].tobytes() for r in rows], pa.binary())], names=["doc", "whole", "bands", "short", "counts"])
+                rows = np.flatnonzero(np.isfinite(sig[:, 0]))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(bands[rows].ravel()))
+                known = [batch.column(k).slice(a, b - a).take(pa.array(rows)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*known, lists, pa.array([short[r].tobytes() for r in rows], pa.binary()), pa.array([held[r].tobytes() for r in rows], pa.binary())], names=["doc", "whole", "bands", "short", "counts"])
 
     return run
 
@@ -182,12 +226,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels of each round are a written table.
     """
     edges = saved(contracted(edges), "contracted")
-    both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = saved(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        least = labels.join(saved(near, "near"), F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("next"), "label")
-        least = saved(least, "least")
+        least = saved(labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("next"), "label"), "least")
         # the label's own label is at least as small
         jumped = least.join(least.select(F.col("node").alias("n"), F.col("next").alias("far")), F.col("next") == F.col("n")).select("node", F.least("next", "far").alias("next"), "label")
         jumped = saved(jumped, "jumped")
@@ -207,52 +250,58 @@ def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text"
     """doc_id, class_id, n_links: for every row of documents its class, named by the smallest id in it, and how many
     different texts its text was linked to while classes were found.
 
-    Rows with equal ids are one document. A text without words is like no other, and so is a row with a null id; such
-    a row's class is its own id (null for null). Texts of fewer than five words are alike only if their words are
-    equal. An empty table gives an empty one; other columns are left out.
-
-    Equal texts stand for each other from the start. In each bucket of a band every text is compared with the one that
-    shares most buckets with others, summed over its bands, and with one drawn by hash; where a bucket still holds several classes after that, texts outside the class of the bucket's
-    first are compared, in tiles of chunks, with the members of other classes. So pairs within one class are not
-    enumerated, and no two texts of a bucket stay apart untested; signatures that agree in fewer than AGREE coordinates
-    count as tested, and so do texts whose counts of shingles by hash rule the similarity out. Joins don't broadcast, as all tables here grow with the documents.
+    Rows with equal ids are one document: it is in the class of each of its texts, and its links are judged by the first
+    of them in byte order. A text without words is like no other, and so is a row with a null id; such a row's class is
+    its own id (null for null). Texts of fewer than five words are alike only if their words are equal. An empty table
+    gives an empty one; other columns are left out.
+
+    Equal texts (by a 64-bit hash) stand for each other from the start. In each bucket of a band every text is compared
+    with the one that shares most buckets with others, summed over its bands, and with one drawn by hash. Where a
+    bucket still holds several classes after that, texts outside the class of the bucket's first are compared, in tiles
+    of two chunks, with the members of other classes; a chunk of the bucket is a key, so a large bucket is many. So pairs
+    within one class are not enumerated, and no two texts of a bucket stay apart untested; signatures that agree in
+    fewer than AGREE coordinates count as tested, and so do texts whose counts of shingles by hash rule the similarity
+    out. Joins don't broadcast, as all tables here grow with the documents.
     """
-    spark = documents.sparkSession
-    docs = documents.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs = documents.select(F.col(id).cast("long").alias("doc"), F.xxhash64(text).alias("whole"), F.col(text).alias("text"))
     signed = saved(docs.where("doc is not null and text is not null").mapInArrow(_signed(), "doc long, whole long, bands array<long>, short binary, counts binary"), "signatures")
     firsts = saved(signed.groupBy("whole").agg(F.min("doc").alias("rep")), "firsts")
-    reps = saved(signed.join(firsts.withColumnRenamed("whole", "w"), (F.col("whole") == F.col("w")) & (F.col("doc") == F.col("rep"))).dropDuplicates(["whole"]).select("rep", "whole", "bands", "short", "counts"), "reps")
-    members = reps.select("rep", F.explode("bands").alias("band"))
-    sizes = saved(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    first = signed.join(firsts.withColumnRenamed("whole", "w"), (F.col("whole") == F.col("w")) & (F.col("doc") == F.col("rep"))).dropDuplicates(["whole"])
+    reps = saved(first.select("rep", "whole", "bands", "short", "counts"), "reps")
+    members = reps.select("rep", "whole", F.explode("bands").alias("band"))
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = saved(members.join(sizes.hint("merge"), "band"), "shared")
     # a text whose buckets are the fullest is near the middle of its class
-    ranked = saved(shared.join(shared.groupBy("rep").agg(F.sum("n").alias("rank")).hint("merge"), "rep"), "ranked")
-    leaders = saved(ranked.groupBy("band").agg(F.max_by("rep", F.struct("rank", -F.col("rep"))).alias("leader"), F.min_by("rep", F.xxhash64("rep", "band")).alias("other")), "leaders")
+    ranked = shared.join(shared.groupBy("rep").agg(F.sum("n").alias("rank")).hint("merge"), "rep")
+    leaders = ranked.groupBy("band").agg(F.max_by("rep", F.struct("rank", -F.col("rep"))).alias("leader"), F.min_by("rep", F.xxhash64("rep", "band")).alias("other"))
     buckets = saved(shared.join(leaders.hint("merge"), "band"), "buckets")
     pairs = buckets.select(F.col("rep").alias("a"), F.explode(F.array("leader", "other")).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    needed = buckets.select(F.col("rep").alias("doc")).distinct()
-    texts = saved(docs.join(needed.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-    links = saved(_links(saved(pairs, "pairs"), texts, least), "links")
+    needed = buckets.select(F.col("rep").alias("doc"), "whole").distinct()
+    texts = saved(docs.join(needed.hint("merge"), ["doc", "whole"], "left_semi").groupBy("doc").agg(F.min("text").alias("text")), "texts")
+    links = saved(_links(pairs, texts, least), "links")
     labels = components(links)
 
     # buckets that hold several classes: chunks of texts outside the first's class meet chunks of the bucket
     short = reps.select("rep", "short", "counts")
     label = lambda name, out: labels.select(F.col("node").alias(name), F.col("label").alias(out))
-    placed = saved(buckets.join(label("rep", "l").hint("merge"), "rep", "left").join(label("leader", "m").hint("merge"), "leader", "left").select("band", "rep", "leader", "n", F.coalesce("l", "rep").alias("class"), F.coalesce("m", "leader").alias("first")), "placed")
-    mixed = saved(placed.where("class <> first").select("band").distinct(), "mixed")
-    inside = saved(placed.where("rep <> leader").join(mixed.hint("merge"), "band", "left_semi").join(short.hint("merge"), "rep"), "inside")
-    chunks = inside.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CHUNK))).withColumn("home", F.col("class") == F.col("first"))
-    chunks = saved(chunks.groupBy("band", "home", "chunk").agg(F.collect_list(F.struct("rep", "class", "short", "counts")).alias("texts")), "chunks")
-    rest = chunks.where("not home").select("band", F.col("texts").alias("left"))
-    near = rest.join(chunks.select("band", "home", F.col("texts").alias("right")).hint("merge"), "band").select("home", "left", "right").mapInArrow(_agreeing(least), "a long, b long").distinct()
-    more = saved(_links(saved(near, "more"), texts, least), "more-links")
-    every = links if more.isEmpty() else saved(links.union(more).distinct(), "all-links")
-    labels = labels if more.isEmpty() else components(every)
+    placed = saved(buckets.join(label("rep", "l").hint("merge"), "rep", "left").join(label("leader", "m").hint("merge"), "leader", "left").select("band", "rep", "leader", F.ceil(F.col("n") / CHUNK).alias("parts"), F.coalesce("l", "rep").alias("class"), F.coalesce("m", "leader").alias("first")), "placed")
+    mixed = placed.where("class <> first").select("band").distinct()
+    inside = placed.where("rep <> leader").join(mixed.hint("merge"), "band", "left_semi").join(short.hint("merge"), "rep")
+    chunks = inside.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts"))).withColumn("home", F.col("class") == F.col("first"))
+    chunks = saved(chunks.groupBy("band", "home", "chunk").agg(F.max("parts").alias("parts"), F.collect_list(F.struct("rep", "class", "short", "counts")).alias("texts")), "chunks")
+    # a chunk goes to each chunk of its bucket, so the bucket is as many keys as it has chunks
+    rest = chunks.where("not home").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("chunk"), F.col("texts").alias("left"))
+    near = rest.join(chunks.select("band", "chunk", "home", F.col("texts").alias("right")).hint("merge"), ["band", "chunk"]).select("home", "left", "right").mapInArrow(_agreeing(least), "a long, b long").distinct()
+    more = saved(_links(near, texts, least), "more-links")
+    every, found = links, not more.isEmpty()
+    if found:
+        every = saved(links.union(more).distinct(), "all-links")
+        labels = components(every)
 
     degree = every.select("a").union(every.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n"))
-    known = saved(firsts.join(labels, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("a"), "left").select("whole", F.coalesce("label", "rep").alias("label"), F.coalesce("n", F.lit(0)).alias("n")), "known")
-    classed = signed.select("doc", "whole").join(known, "whole").groupBy("doc").agg(F.min("label").alias("label"), F.max("n").alias("n"))
-    return docs.select("doc").join(saved(classed, "classes").withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"), "left").select(F.col("doc").alias("doc_id"), F.coalesce("label", "doc").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    known = firsts.join(labels, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("a"), "left").select("whole", F.coalesce("label", "rep").alias("label"), F.coalesce("n", F.lit(0)).alias("n"))
+    classed = saved(signed.select("doc", "whole").join(known, "whole").groupBy("doc").agg(F.min("label").alias("label"), F.max("n").alias("n")), "classes")
+    return docs.select("doc").join(classed.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"), "left").select(F.col("doc").alias("doc_id"), F.coalesce("label", "doc").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _agreeing(least: float) -> Callable:
@@ -279,7 +328,10 @@ def _agreeing(least: float) -> Callable:
 
 
 def one_of_each(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are the first of their class, one row for each id; rows with a null id all stay."""
+    """The documents that are the first of their class, one row for each id; rows with a null id all stay. Of rows of one
+    id the first by text stays, then by the JSON of the other columns."""
     classes = near_duplicates(documents, id, text).where("doc_id = class_id").select(F.col("doc_id").alias(id)).distinct()
-    kept = documents.join(saved(classes, "kept"), id, "left_semi").dropDuplicates([id])
+    other = F.to_json(F.struct(*[F.col(c) for c in documents.columns if c not in (id, text)], F.lit(1).alias("_")))
+    kept = documents.join(saved(classes, "kept"), id, "left_semi").select(*documents.columns)
+    kept = kept.groupBy(F.col(id).alias("_id")).agg(F.min_by(F.struct(*documents.columns), F.struct(F.coalesce(text, F.lit("")), other)).alias("_row")).select("_row.*")
     return kept.unionByName(documents.where(F.col(id).isNull()))

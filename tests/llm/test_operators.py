@@ -122,6 +122,54 @@ def test_counts_never_rule_out_a_link():
     assert not minhash.may_reach(held[12], held[12:18], 0.8)[-1]
 
 
+def test_signatures_of_real_weights():
+    """Agreement estimates the weighted Jaccard similarity; a multiple of both sides agrees as often."""
+    draw = np.random.default_rng(8)
+    ids = minhash.mix(np.arange(400, dtype=np.uint64))
+    for scale in (0.3, 1.0, 7.5):
+        found, true = [], []
+        for _ in range(30):
+            one = draw.gamma(1.0, 1.0, 400) * scale
+            two = np.where(draw.random(400) < 0.3, draw.gamma(1.0, 1.0, 400) * scale, one)
+            sig = minhash.signatures(np.repeat([0, 1], 400), np.concatenate([ids, ids]), np.concatenate([one, two]), 2)
+            assert np.isfinite(sig).all()
+            found.append((sig[0] == sig[1]).mean())
+            true.append(np.minimum(one, two).sum() / np.maximum(one, two).sum())
+        # 30 * 156 coordinates
+        assert abs(np.mean(found) - np.mean(true)) < 0.025
+
+
+def test_darts_are_of_unit_density():
+    """Ranks and places are uniform below the cut, and a heavier element keeps the darts of a lighter one."""
+    n = 3000
+    ids = minhash.mix(np.arange(n, dtype=np.uint64) + np.uint64(99))
+    thrown = lambda w, c: [np.concatenate(x) for x in zip(*minhash.darts(ids, np.full(n, w), np.full(n, c)))]
+    light, heavy = thrown(0.7, 3.3), thrown(5.2, 3.3)
+    for (element, place, rank), area in ((light, 0.7 * 3.3), (heavy, 5.2 * 3.3)):
+        assert abs(len(rank) / n / area - 1) < 0.05 and abs(rank.mean() / 1.65 - 1) < 0.05
+        assert abs(np.bincount(place, minlength=minhash.COORDINATES).std() / (len(rank) / minhash.COORDINATES) ** 0.5 - 1) < 0.2
+    assert set(zip(*(x.tolist() for x in light))) <= set(zip(*(x.tolist() for x in heavy)))
+
+
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_a_bucket_of_two_classes(spark, monkeypatch, chunk):
+    """Two large classes whose members share buckets; with small chunks a bucket is many keys."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    draw = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    base = [draw.choice(words) for _ in range(150)]
+    other = [draw.choice(words) if 40 <= k < 46 else w for k, w in enumerate(base)]
+    rows = []
+    for n in range(60):
+        side = list(base if n % 2 else other)
+        for _ in range(2):
+            side[draw.randrange(150)] = "x"
+        rows.append((n, " ".join(side)))
+    want = classes_by_force(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
 def removed_by_force(rows):
     first = {}
     last = 2**63
