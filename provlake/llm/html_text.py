@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -41,11 +42,15 @@ KINDS = ("nav", "header", "footer", "aside", "form", "article", "main", "section
 HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 DROPPED = frozenset("script style head title noscript template iframe svg textarea select option button input object noembed noframes xmp".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# a quote that nothing closes ends with its tag
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z|[\"'][^>]*+(?:>|\Z))", re.S)
+_END = {name: re.compile(rf"</{name}(?![0-9a-z])[^>]*(?:>|\Z)", re.I) for name in RAW}
 _ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HINT_OF = {w: k for k, (_, words) in enumerate(HINTS.items()) for w in words.split()}
+#: Elements that speak for the same as words of attributes do.
+_HINT_OF_TAG = {t: 1 << list(HINTS).index(h) for t, h in (("nav", "menu"), ("header", "head"), ("footer", "foot"), ("aside", "side"), ("form", "form"), ("article", "content"), ("main", "content"))}
 _KIND_OF = {t: k for k, t in enumerate(KINDS)}
 
 
@@ -56,16 +61,28 @@ class Page:
         self.tag, self.parent, self.hints = ["html"], [-1], [0]
         self.pieces: list[tuple[int, str | None]] = []  # None is the border of a block
         stack = [0]
+        # where elements of a name are on the stack, and those that a new block doesn't close a paragraph across
+        places: dict[str, list[int]] = {"html": [0]}
+        walls: list[int] = []
         at, size = 0, len(source)
-        lower = None
 
         def close(k: int) -> None:
-            for i in stack[k:]:
-                if self.tag[i] in BLOCK:
-                    self.pieces.append((stack[k - 1], None))
-                    break
+            """Take the elements from place k on off the stack."""
+            border = False
+            for i in reversed(stack[k:]):
+                name = self.tag[i]
+                border = border or name in BLOCK
+                if walls and walls[-1] == places[name][-1]:
+                    walls.pop()
+                places[name].pop()
+            if border:
+                self.pieces.append((stack[k - 1], None))
             del stack[k:]
 
+        def last(names) -> int:
+            """The highest place of an element of these names; 0 if there is none."""
+            return max((places[n][-1] for n in names if places.get(n)), default=0)
+
         while at < size:
             found = _TOKEN.search(source, at)
             end = found.start() if found else size
@@ -79,32 +96,23 @@ class Page:
                 continue
             name = name.lower()
             if found[1]:
-                barrier = HOLDS.get(name, ())
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        close(k)
-                        break
-                    if self.tag[stack[k]] in barrier:
-                        break
+                k = last((name,))
+                if k and last(HOLDS.get(name, ())) <= k:
+                    close(k)
                 continue
-            if name in ("html", "body") and any(self.tag[i] == name for i in stack):
+            if name in ("html", "body") and places.get(name):
                 continue
-            if name == "body":
+            if name == "body" and len(stack) > 1:
                 close(1)
-            ending = CLOSES.get(name) or ({"p"} if name in CLOSES_P else None)
-            if ending:
-                barrier = HOLDS.get(name if name in CLOSES else "p", ())
-                least = None
-                for k in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[k]]
-                    if t in ending:
-                        least = k
-                    elif t in barrier or (name in CLOSES_P and t in BLOCK):
-                        break
-                if least is not None:
-                    close(least)
+            if name in CLOSES:
+                ending, wall = CLOSES[name], last(HOLDS.get(name, ()))
+            else:
+                ending, wall = {"p"} if name in CLOSES_P else (), walls[-1] if walls else 0
+            within = [held[bisect_right(held, wall)] for n in ending if (held := places.get(n)) and held[-1] > wall]
+            if within:
+                close(min(within))
             node = len(self.tag)
-            hints = 0
+            hints = _HINT_OF_TAG.get(name, 0)
             for a, b, c in _ATTR.findall(found[3]):
                 for word in _SPLIT.split(_CAMEL.sub(" ", a or b or c).lower()):
                     if (hint := _HINT_OF.get(word)) is not None:
@@ -118,14 +126,12 @@ class Page:
                 if name == "br":
                     self.pieces.append((stack[-1], " "))
             elif name in RAW:
-                lower = lower if lower is not None else source.lower()
-                stop = lower.find("</" + name, at)
-                while stop >= 0 and lower[stop + 2 + len(name) : stop + 3 + len(name)].isalnum():
-                    stop = lower.find("</" + name, stop + 2)
-                at = size if stop < 0 else stop
-                shut = source.find(">", at)
-                at = size if stop < 0 or shut < 0 else shut + 1
+                shut = _END[name].search(source, at)
+                at = shut.end() if shut else size
             else:
+                places.setdefault(name, []).append(len(stack))
+                if name != "p" and (name in BLOCK or name in HOLDS["p"]):
+                    walls.append(len(stack))
                 stack.append(node)
 
 
@@ -309,6 +315,78 @@ def _generated(draw: random.Random) -> tuple[str, set[int]]:
         if draw.random() < 0.8:
             end("p")
 
+    def filled(tag: str, low: int, high: int, stops: bool = False) -> None:
+        start(tag)
+        out.append(words(low, high, stops))
+        end(tag)
+
+    def linked(low: int, high: int) -> None:
+        start("a", f'href="https://{words(1, 1, False)}"')
+        out.append(words(low, high, False))
+        end("a")
+
+    def listing(deep: int = 0) -> None:
+        """A list of content: its items are long or short, some are links or hold another list."""
+        tag, long = draw.choice(("ul", "ol")), draw.random() < 0.5
+        start(tag)
+        for _ in range(draw.randint(1, 6)):
+            start("li")
+            if draw.random() < 0.15:
+                linked(1, 6)
+            else:
+                out.append(words(3, 20) if long else words(1, 4, False))
+            if deep < 2 and draw.random() < 0.08:
+                listing(deep + 1)
+            if draw.random() < 0.8:
+                end("li")
+        end(tag)
+
+    def figure() -> None:
+        start("figure")
+        number[0] += 1
+        out.append('<img src="x.png" alt="x">')
+        if draw.random() < 0.8:
+            filled("figcaption", 2, 14, draw.random() < 0.5)
+        end("figure")
+
+    def code() -> None:
+        start("pre")
+        inner = draw.random() < 0.5
+        if inner:
+            start("code")
+        for _ in range(draw.randint(1, 6)):
+            out.append(f"{'  ' * draw.randint(0, 2)}{words(1, 1, False)} = {words(1, 1, False)}({draw.randint(0, 99)})\n")
+        if inner:
+            end("code")
+        end("pre")
+
+    def grid() -> None:
+        start("table")
+        wide = draw.randint(2, 4)
+        if draw.random() < 0.2:
+            filled("caption", 1, 6)
+        for row in range(draw.randint(1, 6)):
+            start("tr")
+            for _ in range(wide):
+                cell = "th" if row == 0 else "td"
+                start(cell)
+                out.append(words(1, 3, False) if draw.random() < 0.6 else str(draw.randint(0, 9999)))
+                end(cell)
+            end("tr")
+        end("table")
+
+    def terms() -> None:
+        start("dl")
+        for _ in range(draw.randint(1, 4)):
+            filled("dt", 1, 3)
+            filled("dd", 1, draw.choice((3, 20)), draw.random() < 0.5)
+        end("dl")
+
+    def only_link() -> None:
+        start("p")
+        linked(1, 7)
+        end("p")
+
     def boilerplate(hint: str) -> None:
         tag = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form"}.get(hint)
         semantic = tag and draw.random() < 0.6
@@ -393,26 +471,15 @@ def _generated(draw: random.Random) -> tuple[str, set[int]]:
         start("h1")
         out.append(words(2, 9, False))
         end("h1")
+    plain = draw.random() < 0.5  # paragraphs above all
     for _ in range(draw.choice((1, 1, 1, 2, 2, 3, 4, 6, 9, 14, 30))):
         kind = draw.random()
-        if kind < 0.8:
+        if kind < (0.8 if plain else 0.3):
             paragraph()
-        elif kind < 0.86:
-            start(draw.choice(("h2", "h3")))
-            out.append(words(1, 7, False))
-            end(out[-2].split()[0].strip("<>"))
-        elif kind < 0.9:
-            start(draw.choice(("ul", "ol")))
-            listed = out[-1].strip("<>")
-            for _ in range(draw.randint(2, 5)):
-                start("li")
-                out.append(words(3, 20))
-                end("li")
-            end(listed)
+        elif kind < 0.86 and plain:
+            filled(draw.choice(("h2", "h3")), 1, 7)
         elif kind < 0.93:
-            start("blockquote")
-            out.append(words(8, 30))
-            end("blockquote")
+            draw.choice((listing, figure, code, grid, terms, only_link, only_link, listing, lambda: filled("blockquote", 8, 30, True), lambda: filled("div", 2, 40, True), lambda: filled("h2", 1, 7)))()
         else:
             block(draw.choice(("ad", "share", "form", "notice", "side")))
     if draw.random() < 0.25:
