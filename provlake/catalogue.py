@@ -21,7 +21,7 @@ _OBS = """obs as (select 'source/s' || (user_id % 6) as source, 'boot-' || (ns /
   1 + (ns - 1704067200000000000) // 1296000000000000 as generation, 1 + ((ns - 1704067200000000000) // 432000000000000) % 3 as epoch, 'device/d' || (event_id % 40) as subject,
   case event_type when 'click' then 'link.state' when 'view' then 'operational.health' when 'error' then 'failure.state' when 'purchase' then 'reachability.state' when 'signup' then 'congestion.level' end as aspect,
   case when value < 8 then 'low' when value < 20 then 'mid' else 'high' end as value, not ((event_id % 40) % 8 = 7 and event_type = 'signup') as supported, event_id % 23 = 0 as recovered,
-  ns as observed_at, ns + (event_id % 5) * 1000000000 as received_at, event_id from (select *, epoch_us(ts) * 1000 as ns from events))"""
+  ns as observed_at, ns + (event_id % 5) * 1000000000 as received_at, event_id, false as fenced, 2 as authority from (select *, epoch_us(ts) * 1000 as ns from events))"""
 
 
 def _composed(source: str = "obs", p: str = "", later: int = 0) -> str:
@@ -31,13 +31,13 @@ def _composed(source: str = "obs", p: str = "", later: int = 0) -> str:
 {p}ci as (select source, incarnation as current from {source} qualify row_number() over (partition by source order by received_at desc, incarnation desc) = 1),
 {p}r0 as (select o.*, high, high_epoch, current, generation < high as old_generation, generation = high and epoch < high_epoch as old_epoch, incarnation <> current as old_incarnation,
   row_number() over (partition by subject, aspect, o.source, incarnation order by sequence desc) > 1 as old_sequence, greatest(evaluated - least(observed_at, received_at), 0) as age from {source} o cross join {p}hw cross join {p}ep join {p}ci on o.source = {p}ci.source),
-{p}r1 as (select *, case when recovered then greatest(f, 1) else f end as freshness, not (old_generation or old_epoch or old_incarnation or old_sequence) as is_current from (select *, case when age <= {DAY} then 0 when age <= {3 * DAY} then 1 else 2 end as f from {p}r0)),
+{p}r1 as (select *, case when recovered then greatest(f, 1) else f end as freshness, not (old_generation or old_epoch or old_incarnation or old_sequence or fenced) as is_current from (select *, case when age <= {DAY} then 0 when age <= {3 * DAY} then 1 else 2 end as f from {p}r0)),
 {p}rec as (select *, supported and is_current and freshness = 0 as assertive from {p}r1),
 {p}kept as (select * from {p}rec qualify row_number() over (partition by subject, aspect order by is_current desc, freshness, sequence desc, source, incarnation) <= 32),
 {p}need as (select * from (values ('link.state', 1, 2), ('operational.health', 1, 0), ('failure.state', 1, 2), ('reachability.state', 2, 3), ('congestion.level', 1, 2)) t(aspect, ns, na)),
 {p}ag as (select subject, aspect, count(*) as claims, bool_or(supported) as any_supported, count(*) filter (assertive) as assertions, count(*) filter (not supported) as unsupported, count(*) filter (is_current and supported) as current,
-  count(distinct value) filter (assertive) as nvalues, count(distinct source) filter (assertive) as fresh, max(value) filter (assertive) as agreed0 from {p}kept group by 1, 2),
-{p}asp as (select a.*, ns, na, case when not any_supported then 1 when assertions = 0 then 3 when nvalues > 1 then 2 when fresh < ns or 2 < na then 4 else 5 end as code, case when code = 5 then agreed0 end as agreed,
+  count(distinct value) filter (assertive) as nvalues, count(distinct source) filter (assertive) as fresh, max(value) filter (assertive) as agreed0, max(authority) filter (assertive) as best from {p}kept group by 1, 2),
+{p}asp as (select a.*, ns, na, case when not any_supported then 1 when assertions = 0 then 3 when nvalues > 1 then 2 when fresh < ns or best < na then 4 else 5 end as code, case when code = 5 then agreed0 end as agreed,
   case code when 1 then 'unsupported' when 2 then 'conflicting' when 3 then 'stale' when 4 then 'incomplete' when 5 then 'known' end as truth from {p}ag a join {p}need using (aspect)),
 {p}sig as (select subject, aspect, string_agg(s, ',' order by s) as signature from (select distinct subject, aspect, source || ':' || freshness as s from {p}kept) group by 1, 2)"""
 
@@ -64,11 +64,7 @@ def _snapshot(spark: SparkSession, d: str) -> Snapshot:
     return Snapshot(events.load(spark, d), POLICY)
 
 
-def _later(spark: SparkSession, d: str) -> Snapshot:
-    return Snapshot(events.load(spark, d), POLICY, F.col("received_max") + TWO_DAYS)
-
-
-_ASPECT = "subject, aspect, truth, agreed, cast(case when code in (2, 4, 5) then fresh else 0 end as bigint) as fresh_sources, case when code in (2, 4, 5) then 'reported' else 'none' end as best_authority, cast(nvalues as bigint) as n_values"
+_ASPECT = "subject, aspect, truth, agreed, cast(case when code in (2, 4, 5) then fresh else 0 end as bigint) as fresh_sources, case when code not in (2, 4, 5) then 'none' when best = 4 then 'authoritative' when best = 3 then 'corroborated' else 'reported' end as best_authority, cast(nvalues as bigint) as n_values"
 
 
 @_query(_with(f"select {_ASPECT} from asp"))
@@ -117,9 +113,9 @@ def coverage(spark, d):
     return POLICY.table(spark)
 
 
-@_query(_with("select g.subject, g.aspect, value, sources, n_sources, cast(n as bigint) as n_values from (select subject, aspect, value, string_agg(distinct source, ',' order by source) as sources, count(distinct source) as n_sources, count(*) over (partition by subject, aspect) as n from rec where assertive group by 1, 2, 3) g where n > 1"))
+@_query(_with("select g.subject, g.aspect, value, sources, n_sources, cast(n as bigint) as n_values from (select subject, aspect, value, string_agg(distinct source, ',' order by source) as sources, count(distinct source) as n_sources, count(*) over (partition by subject, aspect) as n from kept where assertive group by 1, 2, 3) g where n > 1"))
 def conflict_groups(spark, d):
-    return compose.conflict_groups(_snapshot(spark, d).records)
+    return compose.conflict_groups(_snapshot(spark, d).retained)
 
 
 @_query(_with("select subject, case min(code) when 1 then 'unsupported' when 2 then 'conflicting' when 3 then 'stale' when 4 then 'incomplete' else 'known' end as worst_truth, count(*) as aspects, 'unknown' as topology_truth from asp group by 1"))
@@ -253,7 +249,8 @@ def whole_query_subtree(spark, d):
 
 @_query(_with("select b.subject, b.aspect, coalesce(a.truth, 'unknown') as truth_before, b.truth, a.agreed as agreed_before, b.agreed from b_asp b join b_sig using (subject, aspect) left join (select * from asp join sig using (subject, aspect)) a on a.subject = b.subject and a.aspect = b.aspect where a.truth is distinct from b.truth or a.agreed is distinct from b.agreed or a.signature is distinct from b_sig.signature", True))
 def diff_aspects(spark, d):
-    return diff.aspect_changes(_snapshot(spark, d).signed, _later(spark, d).signed)
+    now = F.col("received_max")
+    return diff.refresh_changes(_snapshot(spark, d).refreshed(now, now + TWO_DAYS))
 
 
 _PREFIX = f"with {_OBS}, early as (select * from obs where event_id < 30)"
@@ -339,13 +336,13 @@ _STRESS = f"""with {_OBS}, g as (select *, event_id % 97 = 0 and event_id > (sel
 
 
 @_query(_STRESS + """, o as (select source, (event_id + 1) * 2 as arrival_seq, case when bad then 'rejected' else 'accepted' end as disposition, case when bad then 'FencedStaleGeneration' else 'Ok' end as code from g
- union all select source, (event_id + 1) * 2 + 1, case when bad then 'rejected' else 'duplicate' end, case when bad then 'FencedStaleGeneration' else 'Ok' end from g where event_id % 50 = 0) select * from o""")
+ union all select source, (event_id + 1) * 2 + 1, case when bad then 'rejected' else 'duplicate' end, case when bad then 'FencedStaleGeneration' else 'FencedDuplicateContent' end from g where event_id % 50 = 0) select * from o""")
 def fence_outcomes(spark, d):
     return ingest.fold(_stressed(spark, d))
 
 
 @_query(_STRESS + """, o as (select case when bad then 'rejected' else 'accepted' end as disposition, case when bad then 'FencedStaleGeneration' else 'Ok' end as code from g
- union all select case when bad then 'rejected' else 'duplicate' end, case when bad then 'FencedStaleGeneration' else 'Ok' end from g where event_id % 50 = 0) select disposition, code, count(*) as n from o group by 1, 2""")
+ union all select case when bad then 'rejected' else 'duplicate' end, case when bad then 'FencedStaleGeneration' else 'FencedDuplicateContent' end from g where event_id % 50 = 0) select disposition, code, count(*) as n from o group by 1, 2""")
 def disposition_counts(spark, d):
     return ingest.fold(_stressed(spark, d)).groupBy("disposition", "code").agg(F.count("*").alias("n"))
 
@@ -386,16 +383,183 @@ def value_canonical(spark, d):
     return e.select("event_id", x.canon(F.lit("text"), F.col("event_type")).alias("text_value"), x.canon(F.lit("int"), (F.col("event_id") - 500).cast("string")).alias("int_value"))
 
 
-@_query()
+_NEED = "case na when 0 then 'none' when 2 then 'reported' when 3 then 'corroborated' else 'authoritative' end"
+_DIGEST = """keys as (select part, key, sha256(string_agg(line, chr(10) order by line)) as d from content group by 1, 2),
+ rowz as (select substr(sha256(key), 1, 4) as prefix, part || '|' || key || '|' || d as r from keys), pre as (select prefix || '|' || sha256(string_agg(r, chr(10) order by r)) as d from rowz group by prefix),
+ digest as (select sha256(string_agg(d, chr(10) order by d)) as digest from pre)"""
+
+
+@_query(_with("").rstrip() + f""", st as (select {_ASPECT}, ns, {_NEED} as need from asp),
+ content as (select 'aspect' as part, subject as key, concat_ws('|', aspect, truth, coalesce(agreed, '~'), fresh_sources, ns, best_authority, need) as line from st
+  union all select 'claim', subject, concat_ws('|', aspect, source, incarnation, sequence, value, supported, is_current, freshness, observed_at, received_at) from kept
+  union all select 'source', source, concat_ws('|', count(*), max(sequence), any_value(current), count(distinct incarnation)) from (select obs.*, ci.current from obs join ci using (source)) group by source), {_DIGEST}
+ select 'snap:' || sha256(concat_ws('|', high, high_epoch, (select evaluated from hw), (select max(observed_at) from obs), (select max(received_at) from obs), (select min(received_at) from obs), digest)) as snapshot_id from digest, (select high from hw), ep""")
 def snapshot_id(spark, d):
     return _snapshot(spark, d).digest()
 
 
+@_query(_with("").rstrip() + f""", content as (select 'aspect' as part, subject as key, concat_ws('|', aspect, truth, coalesce(agreed, '~')) as line from asp where split_part(aspect, '.', 1) in ('link', 'failure')), {_DIGEST} select digest from digest""")
+def query_digest(spark, d):
+    return query.result_digest(query.run(_snapshot(spark, d).aspects, query.Filter(domains=("link", "failure"))))
+
+
 @_query()
 def checksums(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", x.crc32c(F.encode("c_name", "UTF-8")).alias("crc"))
 
 
+_BATCHED = f"""with {_OBS}, g as (select *, event_id // 30 as n, source = 'source/s5' and aspect not in ('link.state', 'failure.state') as beyond from obs),
+ m as (select source, n, max(event_id) + 1 as arrival_seq, count(*) as size, count(distinct subject || ' ' || aspect) as keys, cast(count(*) filter (beyond) as int) as fenced, arg_max(incarnation, event_id) as incarnation,
+  arg_max(generation, event_id) as generation, arg_max(epoch, event_id) as epoch, arg_max(recovered, event_id) as recovered, arg_max(observed_at, event_id) as observed_at, arg_max(received_at, event_id) as received_at from g group by 1, 2),
+ c as (select *, case when keys < size then 'InvalidArgument' when n % 40 = 9 then 'Unsupported' when n % 40 = 7 then 'FabricMismatch' when n % 40 = 11 then 'ClockInconsistent' when fenced = size then 'FencedAuthority' else 'Ok' end as code from m),
+ o as (select *, case code when 'Ok' then 'accepted' when 'FencedAuthority' then 'fenced' else 'rejected' end as disposition from c),
+ mobs as (select g.source, o.incarnation, o.n + 1 as sequence, o.generation, o.epoch, subject, aspect, value, supported, o.recovered, o.observed_at, o.received_at, event_id, beyond as fenced,
+  case g.source when 'source/s0' then 4 when 'source/s1' then 3 else 2 end as authority, o.arrival_seq from g join o on g.source = o.source and g.n = o.n where code = 'Ok')"""
+
+
+def _admitted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Observations with several claims, their outcomes, and the registry of sources."""
+    registry = ingest.register(events.declarations(spark))
+    observations = events.batched(events.load(spark, d))
+    return observations, ingest.admit(observations, registry.where("current"), "observation/1", "fabric/one"), registry
+
+
+def _evidence(spark: SparkSession, d: str) -> Snapshot:
+    observations, outcomes, registry = _admitted(spark, d)
+    return Snapshot(ingest.evidence(observations, outcomes), POLICY, authority=ingest.authorities(registry))
+
+
+@_query(_BATCHED + " select source, arrival_seq, disposition, code, cast(case disposition when 'rejected' then 0 else fenced end as int) as claims_fenced from o")
+def batch_outcomes(spark, d):
+    return _admitted(spark, d)[1].select("source", "arrival_seq", "disposition", "code", F.size(F.filter("fences", lambda f: f != "")).alias("claims_fenced"))
+
+
+@_query(_BATCHED + " select count(*) filter (disposition = 'accepted') as accepted, count(*) filter (disposition = 'duplicate') as duplicate, count(*) filter (disposition = 'fenced') as fenced, count(*) filter (disposition = 'rejected') as rejected, cast(sum(case disposition when 'rejected' then 0 else fenced end) as bigint) as claims_fenced from (select code, disposition, fenced from o)".replace("sum(case disposition when 'rejected' then 0 else fenced end)", "sum(case disposition when 'rejected' then 0 else fenced end)"))
+def batch_counters(spark, d):
+    return ingest.counters(_admitted(spark, d)[1])
+
+
+@_query(_BATCHED + " select source, incarnation, sequence, generation, epoch, subject, aspect, value, supported, observed_at, received_at, fenced, case when fenced then 'FencedAuthority' end as fence from mobs")
+def batch_evidence(spark, d):
+    observations, outcomes, _ = _admitted(spark, d)
+    return ingest.evidence(observations, outcomes).select("source", "incarnation", "sequence", "generation", "epoch", "subject", "aspect", "value", "supported", "observed_at", "received_at", "fenced", "fence")
+
+
+@_query(_BATCHED + f", {_composed('mobs')} select {_ASPECT} from asp")
+def batch_truth(spark, d):
+    return _evidence(spark, d).aspects.select("subject", "aspect", "truth", "agreed", "fresh_sources", "best_authority", F.col("values").alias("n_values"))
+
+
+@_query(_BATCHED + " select source, n + 1 as sequence, generation, epoch, received_at, arrival_seq, code as fence from o where code <> 'Ok' order by arrival_seq desc limit 256")
+def rejections(spark, d):
+    observations, outcomes, _ = _admitted(spark, d)
+    return ingest.rejections(observations, outcomes).select("source", "sequence", "generation", "epoch", "received_at", "arrival_seq", "fence")
+
+
+@_query(_BATCHED + " select g.source, g.n + 1 as sequence, subject, aspect, 'FencedAuthority' as fence from g join o on g.source = o.source and g.n = o.n where beyond and disposition <> 'rejected'")
+def fenced_claims(spark, d):
+    observations, outcomes, _ = _admitted(spark, d)
+    return ingest.fenced_claims(observations, outcomes, None).select("source", "sequence", "subject", "aspect", "fence")
+
+
+@_query("select * from (values ('source/s0', 1, 'Ok', false), ('source/s0', 2, 'Ok', true), ('source/s1', 3, 'Ok', true), ('source/s2', 4, 'TooLarge', false), ('source/s3', 5, 'InvalidArgument', false), ('source/s5', 6, 'Ok', true), ('', 7, 'InvalidArgument', false), ('source/s7', 8, 'Ok', true)) t(source, declared_seq, status, current)")
+def registry(spark, d):
+    return ingest.register(events.declarations(spark)).select("source", "declared_seq", "status", "current")
+
+
+@_query(f"with {_OBS} select coalesce(s.source, k.source) as source, coalesce(n, 0) as records, coalesce(m, 0) as last_sequence from (values ('source/s0'), ('source/s1'), ('source/s5'), ('source/s7')) s(source) full join (select source, count(*) as n, max(sequence) as m from obs group by 1) k on s.source = k.source")
+def registered_sources(spark, d):
+    known = ingest.register(events.declarations(spark)).where("current")
+    return compose.source_summary(events.load(spark, d), POLICY, F.lit(0), known).select("source", "records", F.coalesce("last_sequence", F.lit(0)).alias("last_sequence"))
+
+
+def _lagging(spark: SparkSession, d: str) -> DataFrame:
+    """Arrivals of which one source is a generation behind."""
+    return events.load(spark, d).withColumn("generation", F.col("generation") - (F.col("source") == "source/s3").cast("long"))
+
+
+@_query(f"""with {_OBS}, g as (select source, event_id, generation - cast(source = 'source/s3' as int) as generation from obs),
+ h as (select *, max(case when source <> 'source/s3' then generation end) over (order by event_id rows between unbounded preceding and 1 preceding) as high from g), r as (select *, source = 'source/s3' and high > generation as behind from h)
+ select source, event_id + 1 as arrival_seq, case when behind then 'rejected' else 'accepted' end as disposition, case when behind then 'FencedStaleGeneration' else 'Ok' end as code from r""")
+def strict_outcomes(spark, d):
+    return ingest.admit_strictly(_lagging(spark, d)).drop("fences")
+
+
+@_query(f"with {_OBS} select source, case when source in ('source/s0', 'source/s1', 'source/s5') then 'accepted' else 'rejected' end as disposition, case when source in ('source/s0', 'source/s1', 'source/s5') then 'Ok' else 'SourceUnknown' end as code, count(*) as n from obs group by 1, 2, 3")
+def unknown_sources(spark, d):
+    known = ingest.register(events.declarations(spark)).where("current")
+    return ingest.admit(events.load(spark, d), registered=known).groupBy("source", "disposition", "code").agg(F.count("*").alias("n"))
+
+
+_AT = "strftime(make_timestamp({0} // 1000), '%Y-%m-%dT%H:%M:%S.%f') || lpad(cast({0} % 1000 as varchar), 3, '0') || 'Z'"
+_LINE = f"""aspect || ': source ' || source || ' incarnation ' || substr(incarnation, 1, 16) || ' sequence ' || sequence || ' authority reported freshness ' || (case freshness when 0 then 'fresh' when 1 then 'aging' else 'stale' end)
+ || ' observed ' || {_AT.format("observed_at")} || ' received ' || {_AT.format("received_at")} || ' value "' || value || '"' || (case when not supported then ' [declared unsupported]' else '' end) || (case when old_generation then ' [superseded by a later generation]' else '' end)
+ || (case when old_epoch then ' [superseded by a later epoch of the same generation]' else '' end) || (case when old_incarnation then ' [superseded by a later incarnation of the same source]' else '' end)
+ || (case when old_sequence then ' [superseded by a later sequence from the same source incarnation]' else '' end) || (case when recovered then ' [recovered from persistence]' else '' end)"""
+
+
+@_query(_with(f"select subject, aspect, {_LINE} as line from kept"))
+def evidence_lines(spark, d):
+    return explain.evidence_lines(_snapshot(spark, d).retained).select("subject", "aspect", "line")
+
+
+@_query(_with(f"select 'evidence' as kind, cast(row_number() over (order by aspect, source || ' ' || incarnation, sequence, line) as int) as n, line from (select *, {_LINE} as line from kept where subject = 'device/d3') qualify n <= 128 union all select 'truth', 1, case min(code) when 1 then 'unsupported' when 2 then 'conflicting' when 3 then 'stale' when 4 then 'incomplete' else 'known' end from asp where subject = 'device/d3'"))
+def explain_subject(spark, d):
+    s = _snapshot(spark, d)
+    return explain.subject(s.aspects, s.retained, "device/d3").where("kind <> 'reason'")
+
+
+@_query(_with("select generation_before, generation_after, epoch_before, epoch_after, 0 as subjects_added, 0 as subjects_removed, generation_before <> generation_after as generation_changed, epoch_before <> epoch_after as epoch_changed, least(n, 20) as changes, n > 20 as truncated from (select high as generation_before, high as generation_after from hw), (select high_epoch as epoch_before, high_epoch as epoch_after from ep), (select count(*) as n from b_asp b join b_sig using (subject, aspect) left join (select * from asp join sig using (subject, aspect)) a on a.subject = b.subject and a.aspect = b.aspect where a.truth is distinct from b.truth or a.agreed is distinct from b.agreed or a.signature is distinct from b_sig.signature)", True))
+def diff_header(spark, d):
+    s, now = _snapshot(spark, d), F.col("received_max")
+    changes, none = diff.refresh_changes(s.refreshed(now, now + TWO_DAYS)), spark.createDataFrame([], "subject string")
+    return diff.header(s.header(), s.header(), changes, none, none, 20)
+
+
+@_query(f"with {_OBS}, {_composed()}, l as (select * from obs where source <> 'source/s4'), {_composed('l', 'l_')}, x as (select subject, aspect, source from kept group by 1, 2, 3), y as (select subject, aspect, source from l_kept group by 1, 2, 3) select k.subject, k.aspect, coalesce(string_agg(y.source, ',' order by y.source) filter (x.source is null), '') as sources_added, coalesce(string_agg(x.source, ',' order by x.source) filter (y.source is null), '') as sources_removed from (select subject, aspect from y group by 1, 2) k left join (x full join y on x.subject = y.subject and x.aspect = y.aspect and x.source = y.source) on coalesce(x.subject, y.subject) = k.subject and coalesce(x.aspect, y.aspect) = k.aspect group by 1, 2")
+def diff_source_sets(spark, d):
+    claims = events.load(spark, d)
+    before, after = Snapshot(claims, POLICY).aspects, Snapshot(claims.where("source <> 'source/s4'"), POLICY).aspects
+    return diff.sources_changed(after.select("subject", "aspect"), before, after)
+
+
+_PLACED = """pc as (select 'rack/' || c_custkey as subject, 'pod/' || c_nationkey as value, c_custkey from customer),
+ obs as (select 'source/a' as source, subject, value, c_custkey, true as supported from pc union all select 'source/b', subject, case when c_custkey % 10 = 3 then 'pod/elsewhere' else value end, c_custkey, true from pc where c_custkey % 2 = 1
+  union all select 'source/c', 'pod/' || n_nationkey, 'site/' || n_regionkey, 0, true from nation union all select 'source/c', 'site/' || r_regionkey, '', 0, false from region)"""
+
+
+def _placements(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of topology.parent: racks by two sources that differ on some, pods by one, and sites that have none."""
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    text = lambda kind, c: F.concat(F.lit(f"{kind}/"), F.col(c).cast("string"))
+    racks = read("customer").select(text("rack", "c_custkey").alias("subject"), text("pod", "c_nationkey").alias("value"), "c_custkey")
+    second = racks.where("c_custkey % 2 = 1").withColumn("value", F.when(F.col("c_custkey") % 10 == 3, "pod/elsewhere").otherwise(F.col("value")))
+    side = lambda frame, source, supported=True: frame.select(F.lit(source).alias("source"), "subject", "value", F.lit(supported).alias("supported"))
+    pods = read("nation").select(text("pod", "n_nationkey").alias("subject"), text("site", "n_regionkey").alias("value"))
+    sites = read("region").select(text("site", "r_regionkey").alias("subject"), F.lit("").alias("value"))
+    every = side(racks, "source/a").unionByName(side(second, "source/b")).unionByName(side(pods, "source/c")).unionByName(side(sites, "source/c", False))
+    fixed = {"incarnation": F.lit("boot"), "sequence": F.lit(1).cast("long"), "generation": F.lit(1).cast("long"), "epoch": F.lit(1).cast("long"), "observed_at": F.lit(100).cast("long"), "received_at": F.lit(100).cast("long"), "recovered": F.lit(False), "aspect": F.lit("topology.parent")}
+    return every.withColumns(fixed)
+
+
+_PARENTS = f"with {_PLACED}, p as (select subject as node, split_part(subject, '/', 1) as kind, case when bool_or(supported) and count(distinct value) = 1 then max(value) end as parent from obs group by 1)"
+
+
+@_query(_PARENTS + " select * from p")
+def observed_parents(spark, d):
+    return Snapshot(_placements(spark, d), Policy()).parents
+
+
+@_query(_PARENTS.replace("with ", "with recursive ", 1) + ", w as (select node, kind, 0 as depth, node as path from p where parent is null or parent not in (select node from p) union all select p.node, p.kind, depth + 1, path || '>' || p.node from w join p on p.parent = w.node where depth < 16) select node, kind, cast(depth as int) as depth, path from w")
+def observed_hierarchy(spark, d):
+    return hierarchy.walk(Snapshot(_placements(spark, d), Policy()).parents)
+
+
+@_query(_walked(True, "node = 'site/0000000002'", 16, _WHOLE).replace("select node, kind, cast(depth as int) as depth, path from w", "select node, kind, cast(depth as int) as depth, path from w order by path limit 500"))
+def hierarchy_root_limit(spark, d):
+    return hierarchy.walk(events.forest(spark, d), root="site/0000000002", limit=500)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

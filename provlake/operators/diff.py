@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def signatures(records: DataFrame) -> DataFrame:
-    """For each aspect the set of (source, freshness) of its claims, as text."""
-    return records.groupBy("subject", "aspect").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", "source", "freshness"))), ",").alias("signature"))
+from provlake.model import CHANGES_PER_DIFF
 
 
 def aspect_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -21,6 +18,15 @@ def aspect_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.where(differs).select("subject", "aspect", "truth_before", "truth", "agreed_before", "agreed")
 
 
+def refresh_changes(aspects: DataFrame) -> DataFrame:
+    """aspect_changes of the same claims at two times (at 0 and 1), from one aggregation: both have all subjects."""
+    pick = lambda c, at, name: F.max(F.when(F.col("at") == at, F.col(c))).alias(name)
+    both = [pick(c, at, f"{c}_{at}") for c in ("truth", "agreed", "signature") for at in (0, 1)]
+    joined = aspects.groupBy("subject", "aspect").agg(*both)
+    differs = ~F.col("truth_0").eqNullSafe(F.col("truth_1")) | ~F.col("agreed_0").eqNullSafe(F.col("agreed_1")) | ~F.col("signature_0").eqNullSafe(F.col("signature_1"))
+    return joined.where(differs).select("subject", "aspect", F.coalesce("truth_0", F.lit("unknown")).alias("truth_before"), F.col("truth_1").alias("truth"), F.col("agreed_0").alias("agreed_before"), F.col("agreed_1").alias("agreed"))
+
+
 def subjects_added(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.select("subject").distinct().join(before.select("subject").distinct(), "subject", "left_anti")
 
@@ -31,3 +37,26 @@ def source_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     joined = after.select("source", "current", "freshness").join(old, "source", "full_outer")
     change = F.when(F.col("was").isNull(), "added").when(F.col("current").isNull(), "removed").when((F.col("was") != F.col("current")) | (F.col("freshness_was") != F.col("freshness")), "changed")
     return joined.withColumn("change", change).where("change is not null").select("source", "change", "was", "current", "freshness_was", "freshness")
+
+
+def sources_changed(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """changes with sources_added and sources_removed, by the signatures of both sides."""
+    names = lambda c: F.array_distinct(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda p: F.regexp_replace(p, ":[^:]*$", "")))
+    side = lambda frame, name: frame.select("subject", "aspect", F.col("signature").alias(name))
+    joined = changes.join(side(before, "_b"), ["subject", "aspect"], "left").join(side(after, "_a"), ["subject", "aspect"], "left")
+    minus = lambda one, two: F.array_join(F.array_sort(F.array_except(names(F.col(one)), F.concat(names(F.col(two)), F.array(F.lit(""))))), ",")
+    return joined.select(*changes.columns, minus("_a", "_b").alias("sources_added"), minus("_b", "_a").alias("sources_removed"))
+
+
+def header(before: DataFrame, after: DataFrame, changes: DataFrame, added: DataFrame, removed: DataFrame, most: int = CHANGES_PER_DIFF) -> DataFrame:
+    """One row: generations and epochs of both sides (headers of snapshots), whether they changed, numbers of subjects
+    added and removed and of changes within the bound, truncated."""
+    pick = lambda frame, end: frame.select(F.col("generation").alias(f"generation_{end}"), F.col("epoch").alias(f"epoch_{end}"))
+    n = lambda frame, name: frame.agg(F.count("*").alias(name))
+    row = pick(before, "before").crossJoin(pick(after, "after")).crossJoin(n(added, "subjects_added")).crossJoin(n(removed, "subjects_removed")).crossJoin(n(changes, "n"))
+    return row.select("*", (F.col("generation_before") != F.col("generation_after")).alias("generation_changed"), (F.col("epoch_before") != F.col("epoch_after")).alias("epoch_changed"), F.least("n", F.lit(most)).alias("changes"), (F.col("n") > most).alias("truncated")).drop("n")
+
+
+def first(changes: DataFrame, most: int = CHANGES_PER_DIFF) -> DataFrame:
+    """The changes within the bound, by subject and aspect; header tells whether there are more."""
+    return changes.orderBy("subject", "aspect").limit(most)

@@ -1,10 +1,21 @@
-"""Reasons for truth states."""
+"""Reasons for truth states, with the evidence and the fences behind them. Texts are fixed values."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from provlake.functions.expressions import format_utc, named
+from provlake.model import AUTHORITY, FRESHNESS, TRUTH
+
+#: Most lines of each kind in an explanation.
+LINES = 128
+#: Fixed texts: what a claim's flags say.
+FLAGS = (
+    ("not supported", " [declared unsupported]"), ("old_generation", " [superseded by a later generation]"), ("old_epoch", " [superseded by a later epoch of the same generation]"),
+    ("old_incarnation", " [superseded by a later incarnation of the same source]"), ("old_sequence", " [superseded by a later sequence from the same source incarnation]"),
+)
+
 
 def reasons(aspects: DataFrame, conflicts: DataFrame) -> DataFrame:
     """subject, aspect, reason: one sentence for each aspect. Fixed texts."""
@@ -20,3 +31,41 @@ def reasons(aspects: DataFrame, conflicts: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("unknown: no evidence for aspect "), name, F.lit(" has been accepted; absence of evidence is not positive evidence")))
     )
     return a.select("subject", "aspect", text.alias("reason"))
+
+
+def evidence_lines(records: DataFrame) -> DataFrame:
+    """subject, aspect, line: one for each retained claim."""
+    flags = [F.when(F.expr(c), text).otherwise("") for c, text in FLAGS] + [F.when(F.col("recovered"), " [recovered from persistence]").otherwise("")]
+    said = [
+        F.col("aspect"), F.lit(": source "), F.col("source"), F.lit(" incarnation "), F.substring("incarnation", 1, 16), F.lit(" sequence "), F.col("sequence"),
+        F.lit(" authority "), named(AUTHORITY, F.col("authority")), F.lit(" freshness "), named(FRESHNESS, F.col("freshness")),
+        F.lit(" observed "), format_utc(F.col("observed_at")), F.lit(" received "), format_utc(F.col("received_at")), F.lit(' value "'), F.coalesce("value", F.lit("")), F.lit('"'), *flags,
+    ]
+    return records.select("subject", "aspect", "source", "incarnation", "sequence", F.concat(*said).alias("line"))
+
+
+def subject(aspects: DataFrame, retained: DataFrame, name: str, aspect: str | None = None, rejected: DataFrame | None = None, fenced: DataFrame | None = None, most: int = LINES) -> DataFrame:
+    """kind (truth, reason, evidence, fence), n, line: why a subject, or one aspect of it, is in its state.
+
+    truth is the worst of the selected aspects. Rejections have no subject: those of sources with evidence on the
+    selected aspects are listed. A subject or aspect without evidence is unknown. Each kind has most lines at most.
+    """
+    mine = F.col("subject") == name
+    mine = mine & (F.col("aspect") == aspect) if aspect else mine
+    some, claims = aspects.where(mine), retained.where(mine)
+    groups = claims.where("assertive").groupBy("subject", "aspect", "value").agg(F.count_distinct("source").alias("n_sources"))
+    said = reasons(some, groups.join(groups.groupBy("subject", "aspect").agg(F.count("*").alias("n")).where("n > 1"), ["subject", "aspect"]))
+    rows = said.select(F.lit("reason").alias("kind"), F.col("aspect").alias("o1"), F.lit("").alias("o2"), F.lit(0).cast("long").alias("o3"), F.concat("aspect", F.lit(": "), "reason").alias("line"))
+    rows = rows.unionByName(evidence_lines(claims).select(F.lit("evidence").alias("kind"), F.col("aspect").alias("o1"), F.concat_ws(" ", "source", "incarnation").alias("o2"), F.col("sequence").alias("o3"), "line"))
+    if rejected is not None:
+        text = F.concat(F.lit("rejected observation "), F.substring("observation_id", 1, 12), F.lit(" from source "), "source", F.lit(" sequence "), "sequence", F.lit(": "), "fence")
+        rows = rows.unionByName(rejected.join(claims.select("source").distinct(), "source", "left_semi").select(F.lit("fence").alias("kind"), F.lit("0").alias("o1"), F.col("source").alias("o2"), F.col("sequence").alias("o3"), text.alias("line")))
+    if fenced is not None:
+        text = F.concat(F.lit("fenced claim for "), "subject", F.lit(" "), "aspect", F.lit(" from source "), "source", F.lit(" sequence "), "sequence", F.lit(": "), "fence")
+        rows = rows.unionByName(fenced.where(mine).select(F.lit("fence").alias("kind"), F.lit("1").alias("o1"), F.col("source").alias("o2"), F.col("sequence").alias("o3"), text.alias("line")))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("o1", "o2", "o3", "line"))).where(F.col("n") <= most).select("kind", "n", "line")
+    worst = some.agg(F.min("truth_code").alias("code"))
+    truth = worst.select(F.lit("truth").alias("kind"), F.lit(1).alias("n"), F.coalesce(named(TRUTH, F.col("code")), F.lit("unknown")).alias("line"))
+    nothing = f"unknown: no evidence has been accepted for the requested aspect of subject '{name}'" if aspect else f"unknown: subject '{name}' has no accepted evidence in this snapshot; absence of evidence is not positive evidence"
+    absent = worst.where("code is null").select(F.lit("reason").alias("kind"), F.lit(1).alias("n"), F.lit(nothing).alias("line"))
+    return truth.unionByName(absent).unionByName(rows)

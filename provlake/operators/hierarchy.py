@@ -14,24 +14,52 @@ def roots(nodes: DataFrame) -> DataFrame:
     return nodes.join(known, "parent", "left_anti").select("node", "kind", F.col("parent").isNotNull().alias("absent"))
 
 
-def walk(nodes: DataFrame, kind: str | None = None, depth: int = DEPTH) -> DataFrame:
-    """node, kind, depth, path from forest roots (of one kind, on request) down to the depth; order by path is the
-    depth-first order. Each level is one equal join; a node has one parent, so no node repeats."""
-    level = roots(nodes).where(F.col("kind") == kind if kind else F.lit(True)).select("node", "kind", F.lit(0).alias("depth"), F.col("node").alias("path"))
-    out = level
-    for d in range(1, min(depth, DEPTH) + 1):
-        up = level.select(F.col("node").alias("parent"), F.col("path").alias("above"))
-        level = nodes.join(up, "parent").select("node", "kind", F.lit(d).alias("depth"), F.concat_ws(">", "above", "node").alias("path"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
-
-
-def header(nodes: DataFrame, kind: str | None = None, depth: int = DEPTH) -> DataFrame:
-    """One row of walk: nodes, max_depth_reached, depth_limited (children just past the depth), truncated."""
-    walked = walk(nodes, kind, depth)
-    return walked.agg(F.count("*").alias("nodes"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth_reached")).crossJoin(limited(nodes, walked, min(depth, DEPTH)))
+def unattached(nodes: DataFrame) -> DataFrame:
+    """Roots that can't be placed: all but those of kind fabric."""
+    return roots(nodes).where("kind <> 'fabric'")
+
+
+_WALK = """
+with recursive walk(node, kind, depth, path) as (
+  select node, kind, 0, node from {start}
+  union all
+  select n.node, n.kind, w.depth + 1, concat(w.path, '>', n.node) from walk w join {nodes} n on n.parent = w.node where w.depth < {depth}
+)
+select node, kind, depth, path from walk limit all
+"""
+
+
+def down(nodes: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """node, kind, depth, path of start (node, kind) and what is below, as one recursive query: a join for each level
+    that has nodes, run when the result is asked for."""
+    return nodes.sparkSession.sql(_WALK, nodes=nodes, start=start, depth=depth)
+
+
+def walk(nodes: DataFrame, kind: str | None = None, depth: int = DEPTH, root: str | None = None, limit: int | None = None) -> DataFrame:
+    """node, kind, depth, path from forest roots (of one kind, or the one named, on request) down to the depth; order by
+    path is the depth-first order. A node has one parent, so no node repeats; nodes of a cycle have no root above them.
+    root: a node that isn't a forest root selects nothing. limit: the first nodes in depth-first order."""
+    start = roots(nodes).where(F.col("node") == root if root else F.col("kind") == kind if kind else F.lit(True)).select("node", "kind")
+    walked = down(nodes, start, min(depth, DEPTH))
+    return walked.orderBy("path").limit(limit) if limit else walked
+
+
+def header(nodes: DataFrame, kind: str | None = None, depth: int = DEPTH, root: str | None = None, limit: int | None = None) -> DataFrame:
+    """One row of walk: nodes, max_depth_reached, depth_limited (children just past the depth), truncated.
+
+    One walk to one level more. With a limit, the scan ends where it would go beyond it; only what it met before counts.
+    """
+    bound = min(depth, DEPTH)
+    start = roots(nodes).where(F.col("node") == root if root else F.col("kind") == kind if kind else F.lit(True)).select("node", "kind")
+    seen = down(nodes, start, bound + 1)
+    inside = F.col("depth") <= bound
+    cut = F.lit(False)
+    if limit:
+        first = seen.where(inside).orderBy("path").limit(limit + 1).agg(F.count("*").alias("n"), F.max("path").alias("stop"))
+        seen = seen.crossJoin(F.broadcast(first)).where((F.col("n") <= limit) | (F.col("path") < F.col("stop")))
+        cut = F.coalesce(F.max("n") > limit, F.lit(False))
+    beyond = F.count_if(~inside)
+    return seen.agg(F.count_if(inside).alias("nodes"), F.coalesce(F.max(F.when(inside, F.col("depth"))), F.lit(0)).alias("max_depth_reached"), beyond.alias("depth_limited"), ((beyond > 0) | cut).alias("truncated"))
 
 
 def limited(nodes: DataFrame, walked: DataFrame, depth: int) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Admission: an ordered fold per source, the same step in batch and stream."""
+"""Admission: observations with any number of claims against the fences, the same step in batch and stream.
+
+What doesn't depend on order is checked in columns; only observations that pass enter the ordered fold of their source.
+A fence takes a claim or a whole observation; what it takes stays visible as a rejection or a fenced claim.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provlake.model import SECOND
+from provlake.functions.expressions import sized
+from provlake.model import ASPECTS, AUTHORITY, SECOND
 
 OUTCOME = "source string, arrival_seq long, disposition string, code string"
+ADMITTED = OUTCOME + ", fences array<string>"
 SEEN, LEAP = 8, 1_000_000
-COLUMNS = ["source", "incarnation", "sequence", "generation", "epoch", "observed_at", "received_at", "arrival_seq", "subject", "aspect", "revision", "content"]
+CLAIMS, SCOPE, NAME_BYTES = 512, 64, 128
+#: Rejections and fenced claims that are kept.
+RETAINED = 256
+ENVELOPE = ["source", "incarnation", "sequence", "generation", "epoch", "observed_at", "received_at", "arrival_seq"]
+SAID = ["subject", "aspect", "value", "supported", "revision"]
+FOLDED = [*ENVELOPE, "content", "subjects", "aspects", "revisions", "checked", "scope", "high"]
 
 
 @dataclass
@@ -29,71 +40,233 @@ class Lineage:
     revisions: dict[tuple[str, str], int] = field(default_factory=dict)
 
 
-def step(state: Lineage, o, max_skew: int = 5 * SECOND, scope: frozenset[str] = frozenset()) -> tuple[str, str]:
-    """Disposition and code of one observation with one claim; accepted ones advance the state."""
-    if o.sequence < 1:
-        return "rejected", "InvalidArgument"
-    if o.observed_at - o.received_at > max_skew:
-        return "rejected", "ClockInconsistent"
+def step(state: Lineage, o, known: frozenset[str] = frozenset()) -> tuple[str, str, list[str]]:
+    """Disposition and code of one observation and the fence of each claim ('' for none); accepted ones advance the
+    state. known: aspects that may be claimed, if not empty."""
+    none = [""] * len(o.subjects)
     if state.incarnation is not None:
         if o.incarnation != state.incarnation:
             if o.incarnation in state.seen:
-                return "rejected", "FencedIncarnation"
+                return "rejected", "FencedIncarnation", none
         elif o.sequence <= state.sequence:
-            return ("duplicate", "Ok") if o.sequence == state.sequence and o.content == state.content else ("rejected", "FencedSequence")
+            if o.sequence == state.sequence and o.content == state.content:
+                return "duplicate", "FencedDuplicateContent", none
+            return "rejected", "FencedSequence", none
         if o.generation < state.generation:
-            return "rejected", "FencedStaleGeneration"
+            return "rejected", "FencedStaleGeneration", none
     if o.generation > state.generation + LEAP:
-        return "rejected", "OutOfRange"
+        return "rejected", "OutOfRange", none
+    if o.high is not None and o.generation < o.high:
+        return "rejected", "FencedStaleGeneration", none
     if state.incarnation is not None and o.generation == state.generation and o.epoch < state.epoch:
-        return "rejected", "FencedStaleEpoch"
-    if scope and o.aspect not in scope:
-        return "fenced", "FencedAuthority"
-    last = state.revisions.get((o.subject, o.aspect), 0)
-    if o.revision and last and o.revision < last:
-        return "fenced", "FencedRevision"
-    state.revisions[o.subject, o.aspect] = max(last, o.revision)
+        return "rejected", "FencedStaleEpoch", none
+    scope = frozenset() if o.scope is None else frozenset(o.scope)
+    fences = []
+    for subject, aspect, revision in zip(o.subjects, o.aspects, o.revisions):
+        last = state.revisions.get((subject, aspect), 0)
+        if known and aspect not in known:
+            fences.append("Unsupported")
+        elif scope and aspect not in scope:
+            fences.append("FencedAuthority")
+        elif revision and last and revision < last:
+            fences.append("FencedRevision")
+        else:
+            fences.append("")
+            state.revisions[subject, aspect] = max(last, revision)
+    if fences and all(fences):
+        return "fenced", fences[0], fences
     if o.incarnation != state.incarnation:
         state.seen = [*state.seen, o.incarnation][-SEEN:]
     state.incarnation, state.sequence, state.generation, state.epoch, state.content = o.incarnation, o.sequence, o.generation, o.epoch, o.content
-    return "accepted", "Ok"
+    return "accepted", "Ok", fences
+
+
+def nested(claims: DataFrame) -> DataFrame:
+    """Observations of one claim each from flat claims; observations with claims stay as they are."""
+    if "claims" in claims.columns:
+        return claims
+    rest = [c for c in claims.columns if c not in SAID]
+    return claims.select(*rest, F.array(F.struct(*SAID)).alias("claims"))
+
+
+def content(observations: DataFrame) -> Column:
+    """SHA-256 of what an observation says, without its receive time: each part after its length, null apart from empty,
+    claims in order of subject and aspect."""
+    part = lambda c: F.when(c.isNull(), F.lit(b"-")).otherwise(F.concat(F.lit(b"+"), sized(c.cast("string"))))
+    said = [c for c in ENVELOPE if c not in ("received_at", "arrival_seq")] + [c for c in ("schema", "fabric") if c in observations.columns]
+    ordered = F.array_sort(F.transform("claims", lambda c: F.struct(*[c[k].alias(k) for k in SAID])))
+    claims = F.aggregate(ordered, F.lit(b""), lambda s, c: F.concat(s, *[part(c[k]) for k in SAID]))
+    return F.sha2(F.concat(*[part(F.col(c)) for c in said], sized(F.size("claims").cast("string")), claims), 256)
 
 
-def with_content(observations: DataFrame) -> DataFrame:
-    """A digest of what an observation says, without its receive time."""
-    said = [c for c in COLUMNS if c not in ("received_at", "arrival_seq", "content")]
-    return observations.withColumn("content", F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*said, "value", "supported"]]), 256)).select(*COLUMNS)
+def checked(observations: DataFrame, schema: str | None = None, fabric: str | None = None, max_skew: int = 5 * SECOND) -> Column:
+    """The code of the checks that need no order; Ok if all pass. schema, fabric: the only ones that are taken."""
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    keys = F.transform("claims", lambda c: F.struct(c["subject"], c["aspect"]))
+    broken = empty(F.col("source")) | empty(F.col("incarnation")) | F.coalesce(F.col("sequence") < 1, F.lit(True)) | F.col("generation").isNull() | F.col("observed_at").isNull()
+    code = F.when(broken, "InvalidArgument").when(F.size("claims") > CLAIMS, "TooLarge")
+    if "schema" in observations.columns:
+        code = code.when(empty(F.col("schema")), "InvalidArgument")
+    code = code.when(F.exists("claims", lambda c: empty(c["subject"]) | empty(c["aspect"])) | (F.size(F.array_distinct(keys)) < F.size(keys)), "InvalidArgument")
+    if schema is not None:
+        code = code.when(F.col("schema") != schema, "Unsupported")
+    if fabric is not None:
+        code = code.when(~F.col("fabric").eqNullSafe(F.lit(fabric)), "FabricMismatch")
+    return code.when(F.try_subtract("observed_at", "received_at") > max_skew, "ClockInconsistent").otherwise("Ok")
 
 
-def with_scope(contents: DataFrame, scopes: DataFrame | None) -> DataFrame:
-    """scope: the aspects that the source declared (source, aspects); null or empty where it declared none."""
+def prepared(observations: DataFrame, scopes: DataFrame | None) -> DataFrame:
+    """What the fold needs of each observation; checked is the code of the checks, where they were made. scopes: source, aspects; null or empty where a source declared none."""
+    each = lambda k: F.transform("claims", lambda c: c[k])
+    revisions = F.transform("claims", lambda c: F.coalesce(c["revision"], F.lit(0)).cast("long"))
+    frame = observations if "content" in observations.columns else observations.withColumn("content", content(observations))
+    frame = frame if "high" in observations.columns else frame.withColumn("high", F.lit(None).cast("long"))
+    frame = frame if "checked" in observations.columns else frame.withColumn("checked", F.lit("Ok"))
+    frame = frame.select(*ENVELOPE, "content", each("subject").alias("subjects"), each("aspect").alias("aspects"), revisions.alias("revisions"), "checked", "high")
     if scopes is None:
-        return contents.withColumn("scope", F.lit(None).cast("array<string>"))
+        return frame.withColumn("scope", F.lit(None).cast("array<string>")).select(*FOLDED)
     declared = scopes.groupBy("source").agg(F.flatten(F.collect_list("aspects")).alias("scope"))
-    return contents.join(declared, "source", "left").select(*COLUMNS, "scope")
+    return frame.join(declared, "source", "left").select(*FOLDED)
 
 
-def scope_of(o) -> frozenset[str]:
-    return frozenset() if o.scope is None else frozenset(o.scope)
+def admit(observations: DataFrame, scopes: DataFrame | None = None, schema: str | None = None, fabric: str | None = None, max_skew: int = 5 * SECOND, known_only: bool = False, registered: DataFrame | None = None) -> DataFrame:
+    """Outcome of every observation, in order of arrival per source: disposition, code, and the fence of each claim.
 
-
-def fold(observations: DataFrame, max_skew: int = 5 * SECOND, scopes: DataFrame | None = None) -> DataFrame:
-    """Outcome of every observation, in order of arrival per source. scopes: source, aspects; claims of other aspects
-    of a source that is in it are fenced.
+    scopes: source, aspects; claims of other aspects of a source that is in it are fenced. known_only: claims of aspects
+    that aren't well known are fenced. registered: sources (source) that alone are taken.
 
     A source's order cannot be split, but its rows need not be held: rows are sorted within partitions by source and
     arrival, and the fold runs over Arrow batches with one source's lineage in memory at a time.
     """
-    ordered = with_scope(with_content(observations), scopes).repartition("source").sortWithinPartitions("source", "arrival_seq")
+    known = frozenset(a for a, _, _ in ASPECTS) if known_only else frozenset()
+    frame = nested(observations)
+    frame = frame.withColumn("claims", F.coalesce("claims", F.array().cast(frame.schema["claims"].dataType)))
+    code = checked(frame, schema, fabric, max_skew)
+    if registered is not None:
+        frame = frame.join(registered.select("source").distinct().withColumn("_known", F.lit(True)), "source", "left")
+        code = F.when(code != "Ok", code).when(F.col("_known").isNull(), "SourceUnknown").otherwise("Ok")
+    frame = frame.withColumn("checked", code)
+    ordered = prepared(frame.where("checked = 'Ok'"), scopes).repartition("source").sortWithinPartitions("source", "arrival_seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source, state = None, Lineage()
         for batch in batches:
+            batch["high"] = batch["high"].astype(object).where(batch["high"].notna(), None)
             out = []
             for o in batch.itertuples(index=False):
                 if o.source != source:
                     source, state = o.source, Lineage()
-                out.append((o.source, o.arrival_seq, *step(state, o, max_skew, scope_of(o))))
-            yield pd.DataFrame(out, columns=["source", "arrival_seq", "disposition", "code"])
+                out.append((o.source, o.arrival_seq, *step(state, o, known)))
+            yield pd.DataFrame(out, columns=["source", "arrival_seq", "disposition", "code", "fences"])
+
+    folded = ordered.mapInPandas(run, ADMITTED)
+    refused = frame.where("checked <> 'Ok'").select("source", F.col("arrival_seq").cast("long").alias("arrival_seq"), F.lit("rejected").alias("disposition"), F.col("checked").alias("code"), F.transform("claims", lambda c: F.lit("")).alias("fences"))
+    return folded.unionByName(refused)
+
+
+def fold(observations: DataFrame, max_skew: int = 5 * SECOND, scopes: DataFrame | None = None) -> DataFrame:
+    """source, arrival_seq, disposition, code of every observation."""
+    return admit(observations, scopes, max_skew=max_skew).drop("fences")
+
+
+def _before(rows: DataFrame, parts: int = 1024) -> DataFrame:
+    """arrival_seq, high: the highest generation that was accepted before each arrival. The order of all arrivals is cut
+    into parts; the parts' highest are few rows, so no task holds the order whole."""
+    edge = rows.agg(F.min("arrival_seq").alias("low"), (F.max("arrival_seq") - F.min("arrival_seq") + 1).alias("span"))
+    cut = rows.crossJoin(F.broadcast(edge)).withColumn("part", F.floor((F.col("arrival_seq") - F.col("low")) * parts / F.col("span")))
+    taken = F.max(F.when(F.col("disposition") == "accepted", F.col("generation")))
+    tops = cut.groupBy("part").agg(taken.alias("top"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("part", F.max("top").over(earlier).alias("earlier"))
+    inside = Window.partitionBy("part").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.max(F.when(F.col("disposition") == "accepted", F.col("generation"))).over(inside)
+    return cut.join(F.broadcast(tops), "part").select("arrival_seq", F.greatest(within, F.col("earlier")).alias("high"))
+
+
+def admit_strictly(observations: DataFrame, rounds: int = 20, **options) -> DataFrame:
+    """admit, where an observation below the highest generation that any source had accepted before is refused too.
+
+    arrival_seq orders all arrivals. What is refused depends on what was accepted before, so the fold is repeated with
+    the highs of the last outcome until these stay; the first arrivals that differ move on with each round.
+    """
+    frame = nested(observations)
+    outcome = admit(frame, **options)
+    highs = None
+    for _ in range(rounds):
+        now = _before(frame.select("source", "arrival_seq", "generation").join(outcome.select("source", "arrival_seq", "disposition"), ["source", "arrival_seq"])).persist()
+        if highs is not None and now.join(highs.withColumnRenamed("high", "was"), "arrival_seq").where("not (high <=> was)").isEmpty():
+            return outcome
+        highs = now
+        outcome = admit(frame.join(highs, "arrival_seq", "left"), **options).persist()
+    raise RuntimeError("strict admission needs more rounds")
+
+
+def _outcome_of(observations: DataFrame, outcomes: DataFrame) -> DataFrame:
+    frame = nested(observations)
+    frame = frame.withColumn("observation_id", content(frame))
+    return frame.join(outcomes, ["source", "arrival_seq"])
+
+
+def evidence(observations: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The claims of accepted observations, one a row, with fenced, fence and observation_id. A fenced claim stays as
+    evidence of what was said but asserts nothing."""
+    rows = _outcome_of(observations, outcomes).where("disposition = 'accepted'")
+    rest = [c for c in rows.columns if c not in ("claims", "fences", "disposition", "code")]
+    each = rows.select(*rest, F.explode(F.arrays_zip("claims", F.col("fences").alias("fence"))).alias("z"))
+    return each.select(*rest, *[F.col(f"z.claims.{k}").alias(k) for k in SAID], (F.col("z.fence") != "").alias("fenced"), F.nullif(F.col("z.fence"), F.lit("")).alias("fence"))
+
+
+def _last(frame: DataFrame, most: int | None) -> DataFrame:
+    return frame if most is None else frame.orderBy(F.desc("arrival_seq")).limit(most)
+
+
+def rejections(observations: DataFrame, outcomes: DataFrame, most: int | None = RETAINED) -> DataFrame:
+    """Observations that were refused or lost all claims: the first refusal of each content, unless it had been accepted
+    before; the last ones."""
+    rows = _outcome_of(observations, outcomes)
+    by = Window.partitionBy("observation_id").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.coalesce(F.max(F.col("disposition").isin("accepted", "rejected", "fenced").cast("int")).over(by), F.lit(0))
+    first = rows.withColumn("known", known).where("disposition in ('rejected', 'fenced') and known = 0")
+    return _last(first.select("observation_id", "source", "incarnation", "sequence", "generation", "epoch", "received_at", "arrival_seq", F.col("code").alias("fence")), most)
+
+
+def fenced_claims(observations: DataFrame, outcomes: DataFrame, most: int | None = RETAINED) -> DataFrame:
+    """Claims that a fence took: the first of each content, subject and aspect; the last ones."""
+    rows = _outcome_of(observations, outcomes).where("disposition in ('accepted', 'fenced')")
+    rest = ["observation_id", "source", "incarnation", "sequence", "received_at", "arrival_seq"]
+    each = rows.select(*rest, F.explode(F.arrays_zip("claims", F.col("fences").alias("fence"))).alias("z")).where("z.fence <> ''")
+    named = each.select(*rest, F.col("z.claims.subject").alias("subject"), F.col("z.claims.aspect").alias("aspect"), F.col("z.fence").alias("fence"))
+    first = F.row_number().over(Window.partitionBy("observation_id", "subject", "aspect").orderBy("arrival_seq"))
+    return _last(named.withColumn("n", first).where("n = 1").drop("n"), most)
+
+
+def counters(outcomes: DataFrame) -> DataFrame:
+    """One row: observations by disposition, and fenced claims."""
+    by = [F.count_if(F.col("disposition") == d).alias(d) for d in ("accepted", "duplicate", "fenced", "rejected")]
+    return outcomes.agg(*by, F.coalesce(F.sum(F.size(F.filter("fences", lambda f: f != ""))), F.lit(0)).alias("claims_fenced"))
+
+
+def evicted(records: DataFrame, bound: int) -> DataFrame:
+    """Evidence within its bound: beyond it the oldest by receive time go, a sixteenth of the bound at least."""
+    n = records.count()
+    if n <= bound:
+        return records
+    drop = max(n - bound, min(n, bound // 16))
+    ties = [c for c in ("source", "sequence", "observation_id", "subject", "aspect") if c in records.columns]
+    return records.orderBy(F.desc("received_at"), *[F.desc(c) for c in ties]).limit(n - drop)
+
+
+def register(declarations: DataFrame) -> DataFrame:
+    """All declarations (source, name, authority, aspects, declared_seq) with status, and current: the last one of a
+    source that is in order, which replaces those before."""
+    aspects = F.coalesce("aspects", F.array().cast("array<string>"))
+    status = F.when(F.coalesce("source", F.lit("")) == "", "InvalidArgument").when(F.octet_length("name") > NAME_BYTES, "TooLarge").when(F.size(aspects) > SCOPE, "TooLarge").when(F.size(F.array_distinct(aspects)) < F.size(aspects), "InvalidArgument").otherwise("Ok")
+    judged = declarations.withColumn("aspects", F.array_sort(aspects)).withColumn("status", status)
+    last = F.max(F.when(F.col("status") == "Ok", F.col("declared_seq"))).over(Window.partitionBy("source"))
+    return judged.withColumn("current", F.coalesce((F.col("status") == "Ok") & (F.col("declared_seq") == last), F.lit(False)))
+
 
-    return ordered.mapInPandas(run, OUTCOME)
+def authorities(registry: DataFrame) -> DataFrame:
+    """source, authority (its number) of current declarations."""
+    number = F.array_position(F.array(*map(F.lit, AUTHORITY)), F.col("authority")).cast("int") - 1
+    return registry.where("current").select("source", number.alias("authority"))

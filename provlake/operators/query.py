@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provlake.functions.digests import digest_of
 from provlake.model import DEPTH
+from provlake.operators import hierarchy
 
 
 @dataclass(frozen=True)
@@ -34,9 +36,9 @@ class Filter:
 
 def run(aspects: DataFrame, wanted: Filter) -> DataFrame:
     """Aspects that pass, of all subjects, or of the first subjects that have any where a limit is given; empty sets
-    are no filter. What a limit left out is told by header."""
+    are no filter, and a limit of 0 is none. What a limit left out is told by header."""
     out = aspects.where(wanted.of_kind() & wanted.selects())
-    if wanted.limit is None:
+    if not wanted.limit:
         return out
     first = out.select("subject").distinct().orderBy("subject").limit(wanted.limit)
     return out.join(first, "subject", "left_semi")
@@ -50,7 +52,7 @@ def header(aspects: DataFrame, wanted: Filter) -> DataFrame:
     """
     subjects = aspects.groupBy("subject").agg(F.count_if(wanted.selects()).alias("n")).withColumn("n", F.when(wanted.of_kind(), F.col("n")).otherwise(0))
     counts = lambda: (F.count("*").alias("scanned_subjects"), F.count_if(F.col("n") > 0).alias("matched_subjects"), F.coalesce(F.sum("n"), F.lit(0)).alias("matched_aspects"))
-    if wanted.limit is None:
+    if not wanted.limit:
         return subjects.agg(*counts()).withColumn("truncated", F.lit(False))
     last = subjects.where("n > 0").orderBy("subject").limit(wanted.limit).agg(F.coalesce(F.max("subject"), F.lit("")).alias("last"), (F.count("*") >= wanted.limit).alias("full"))
     stop = subjects.where(wanted.of_kind()).crossJoin(F.broadcast(last)).where("full and subject > last").agg(F.min("subject").alias("stop"))
@@ -60,21 +62,21 @@ def header(aspects: DataFrame, wanted: Filter) -> DataFrame:
 
 
 def subtree(nodes: DataFrame, root: str, depth: int = DEPTH) -> DataFrame:
-    """node, depth of all at or below root, by a walk down; each step is a join with the last step's nodes."""
-    level = nodes.where(F.col("node") == root).select("node", F.lit(0).alias("depth"))
-    found = level
-    for d in range(1, depth + 1):
-        level = nodes.join(level.select(F.col("node").alias("parent")), "parent").select("node", F.lit(d).alias("depth"))
-        found = found.unionByName(level)
-        if level.isEmpty():
-            break
-    return found.groupBy("node").agg(F.min("depth").alias("depth"))
+    """node, depth of all at or below root, by a walk down."""
+    return hierarchy.down(nodes, nodes.where(F.col("node") == root).select("node", "kind"), depth).select("node", "depth")
 
 
-def last_records(claims: DataFrame, n: int) -> DataFrame:
-    """The last n records, in order of arrival."""
-    return claims.orderBy(F.desc("arrival_seq")).limit(n)
+def within(aspects: DataFrame, nodes: DataFrame, root: str, depth: int = DEPTH) -> DataFrame:
+    """The aspects of subjects at or below root; a filter like the others, before a limit counts."""
+    return aspects.join(subtree(nodes, root, depth + 1).select(F.col("node").alias("subject")), "subject", "left_semi")
+
 
+def result_digest(rows: DataFrame) -> DataFrame:
+    """digest: one row, SHA-256 of the result of run, whatever its order."""
+    line = F.concat_ws("|", "aspect", "truth", F.coalesce("agreed", F.lit("~")))
+    return digest_of(rows.select(F.lit("aspect").alias("part"), F.col("subject").alias("key"), line.alias("line")))
 
-def ranked(frame: DataFrame, *by: str) -> DataFrame:
-    return frame.withColumn("rank", F.row_number().over(Window.orderBy(*by)))
+
+def last_records(claims: DataFrame, n: int) -> DataFrame:
+    """The last n records, in order of arrival."""
+    return claims.orderBy(F.desc("arrival_seq")).limit(n).orderBy("arrival_seq")

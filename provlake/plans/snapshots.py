@@ -8,9 +8,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlake.functions.expressions import be64, sized
+from provlake.functions.digests import digest_of
 from provlake.model import Policy
-from provlake.operators import compose, diff
+from provlake.operators import compose
 
 
 @dataclass
@@ -20,10 +20,11 @@ class Snapshot:
     claims: DataFrame
     policy: Policy
     evaluated: Column | None = None
+    authority: DataFrame | None = None
 
     @cached_property
     def records(self) -> DataFrame:
-        return compose.claim_records(self.claims, self.policy, self.evaluated)
+        return compose.claim_records(self.claims, self.policy, self.evaluated, self.authority)
 
     @cached_property
     def retained(self) -> DataFrame:
@@ -33,14 +34,30 @@ class Snapshot:
     def aspects(self) -> DataFrame:
         return compose.aspect_states(self.retained, self.policy)
 
-    @cached_property
-    def signed(self) -> DataFrame:
-        return self.aspects.join(diff.signatures(self.retained), ["subject", "aspect"])
+    @property
+    def parents(self) -> DataFrame:
+        return compose.parents(self.aspects)
+
+    def refreshed(self, *times: Column) -> DataFrame:
+        """The aspects at several evaluation times, numbered by at."""
+        records = compose.claim_records(self.claims, self.policy, authority=self.authority, times=list(times))
+        return compose.aspect_states(compose.retained(records), self.policy)
+
+    def header(self) -> DataFrame:
+        """One row: generation, epoch, evaluated and the watermarks of time."""
+        at = F.col("received_max") if self.evaluated is None else self.evaluated
+        return compose.high_water(self.claims).select(F.col("high").alias("generation"), F.col("high_epoch").alias("epoch"), at.alias("evaluated"), "observed_max", "received_max", "received_min")
+
+    def content(self) -> DataFrame:
+        """part, key, line: what the digest covers, as text: the aspects of subjects, their retained claims, sources."""
+        text = lambda *c: F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("~")) if not isinstance(x, str) else F.coalesce(F.col(x).cast("string"), F.lit("~")) for x in c])
+        aspects = self.aspects.select(F.lit("aspect").alias("part"), F.col("subject").alias("key"), text("aspect", "truth", "agreed", "fresh_sources", "need_sources", "best_authority", "need_authority").alias("line"))
+        claims = self.retained.select(F.lit("claim").alias("part"), F.col("subject").alias("key"), text("aspect", "source", "incarnation", "sequence", "value", "supported", "is_current", "freshness", "observed_at", "received_at").alias("line"))
+        sources = compose.source_summary(self.claims, self.policy, F.lit(0)).select(F.lit("source").alias("part"), F.col("source").alias("key"), text("records", "last_sequence", "current", "boots").alias("line"))
+        return aspects.unionByName(claims).unionByName(sources)
 
     def digest(self) -> DataFrame:
-        """snapshot_id: SHA-256 over the subjects' digests in order. A subject is digested where its aspects meet, so
-        what comes together at last is one short row for each subject."""
-        line = F.concat(sized(F.col("aspect")), be64(F.col("truth_code")), sized(F.coalesce("agreed", F.lit(""))), be64(F.col("fresh_sources")))
-        subjects = self.aspects.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("aspect", line.alias("b")))).alias("lines"))
-        one = subjects.select("subject", F.sha2(F.aggregate("lines", F.encode("subject", "UTF-8"), lambda s, x: F.concat(s, x["b"])), 256).alias("d"))
-        return one.agg(F.concat(F.lit("snap:"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("subject", "d"))), lambda x: x["d"]), ""), 256)).alias("snapshot_id"))
+        """snapshot_id: SHA-256 over the header and the digests of what the snapshot holds (see digest_of)."""
+        head = self.header().select(F.concat_ws("|", *["generation", "epoch", "evaluated", "observed_max", "received_max", "received_min"]).alias("head"))
+        made = digest_of(self.content())
+        return made.crossJoin(F.broadcast(head)).select(F.concat(F.lit("snap:"), F.sha2(F.concat_ws("|", "head", "digest"), 256)).alias("snapshot_id"))

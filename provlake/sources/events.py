@@ -28,6 +28,30 @@ def load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def batched(claims: DataFrame) -> DataFrame:
+    """Observations with several claims: a source's events of each thirty, the envelope from the last one. Every fortieth
+    of them is of another schema, another fabric, or from the future; where an aspect of a device is claimed twice, the
+    observation is out of order too."""
+    every = F.expr("event_id div 30").alias("n")
+    last = lambda c: F.max_by(c, "event_id").alias(c)
+    said = F.struct("subject", "aspect", "value", "supported", "revision")
+    grouped = claims.groupBy("source", every).agg(*[last(c) for c in ("incarnation", "generation", "epoch", "recovered", "observed_at", "received_at")], F.max("arrival_seq").alias("arrival_seq"), F.collect_list(said).alias("claims"))
+    turn = F.col("n") % 40
+    return grouped.select(
+        "source", "incarnation", (F.col("n") + 1).alias("sequence"), "arrival_seq", "generation", "epoch", "recovered", F.when(turn == 11, F.col("received_at") + 10_000_000_000).otherwise(F.col("observed_at")).alias("observed_at"), "received_at",
+        F.when(turn == 9, "observation/9").otherwise("observation/1").alias("schema"), F.when(turn == 7, "fabric/other").otherwise("fabric/one").alias("fabric"), "claims",
+    )
+
+
+def declarations(spark: SparkSession) -> DataFrame:
+    """What sources declare: scopes, authorities, replacements, and declarations that are out of order."""
+    rows = [
+        ("source/s0", "zero", "reported", [], 1), ("source/s0", "zero", "authoritative", [], 2), ("source/s1", "one", "corroborated", None, 3), ("source/s2", "x" * 129, "authoritative", [], 4),
+        ("source/s3", "three", "authoritative", ["link.state", "link.state"], 5), ("source/s5", "five", "reported", ["link.state", "failure.state"], 6), ("", "none", "reported", [], 7), ("source/s7", "silent", "inferred", [], 8),
+    ]
+    return spark.createDataFrame(rows, "source string, name string, authority string, aspects array<string>, declared_seq long")
+
+
 def forest(spark: SparkSession, sf_dir: str, fiftieths: bool = True, ports: bool = True) -> DataFrame:
     """node, kind, parent: regions, nations, customers, orders, and the ports that line items name.
 
