@@ -408,6 +408,19 @@ def checksums(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", x.crc32c(F.encode("c_name", "UTF-8")).alias("crc"))
 
 
+@_query("""with p as (select n_nationkey, n_name, r_name, 'port:dev:' || lower(n_name) || '/' || n_nationkey as one, 'port:dev:' || lower(r_name) || '/' || (n_nationkey + 10) as other from nation join region on n_regionkey = r_regionkey),
+ l as (select *, 'link:' || (case when lower(n_name) < lower(r_name) or (lower(n_name) = lower(r_name) and n_nationkey < n_nationkey + 10) then one || '|' || other else other || '|' || one end) as link from p)
+ select n_nationkey, link, 'path:' || substr(sha256('\x04path'::blob || '\x00\x00\x00\x00\x00\x00\x00\x01'::blob || unhex(lpad(to_hex(strlen(link)), 2, '0')) || cast(link as blob)), 1, 32) as path,
+ 'l[' || strlen('s:' || strlen(n_name) || ':' || n_name) || ':s:' || strlen(n_name) || ':' || n_name || ',' || strlen('i:' || n_nationkey) || ':i:' || n_nationkey || ']' as listed from l""")
+def identities(spark, d):
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    n = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    device = lambda c: F.concat(F.lit("dev:"), F.lower(c))
+    made = n.withColumn("link", x.link(x.port(device("n_name"), F.col("n_nationkey")), x.port(device("r_name"), F.col("n_nationkey") + 10)))
+    values = F.array(x.canon(F.lit("text"), F.col("n_name")), x.canon(F.lit("int"), F.col("n_nationkey").cast("string")))
+    return made.select("n_nationkey", "link", x.path(F.array("link")).alias("path"), x.canon_list(values).alias("listed"))
+
+
 _BATCHED = f"""with {_OBS}, g as (select *, event_id // 30 as n, source = 'source/s5' and aspect not in ('link.state', 'failure.state') as beyond from obs),
  m as (select source, n, max(event_id) + 1 as arrival_seq, count(*) as size, count(distinct subject || ' ' || aspect) as keys, cast(count(*) filter (beyond) as int) as fenced, arg_max(incarnation, event_id) as incarnation,
   arg_max(generation, event_id) as generation, arg_max(epoch, event_id) as epoch, arg_max(recovered, event_id) as recovered, arg_max(observed_at, event_id) as observed_at, arg_max(received_at, event_id) as received_at from g group by 1, 2),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StringType
 
 MAX = 9_223_372_036_854_775_807
 
@@ -67,40 +68,99 @@ def format_utc(nanos: Column) -> Column:
 
 
 def parse_utc(text: Column) -> Column:
-    """Nanoseconds of such a text (T or space, up to nine digits of fraction) or of a plain integer; null if neither."""
+    """Nanoseconds of such a text (T or space, up to nine digits of fraction) or of a plain integer; null if neither, or
+    if they don't fit a long. A day of up to 31 counts on from the first of any month, and a second may be 60."""
     shape = r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))?Z$"
     part = lambda k: F.regexp_extract(text, shape, k)
-    days = F.datediff(F.try_to_date(F.concat_ws("-", part(1), part(2), part(3))), F.lit("1970-01-01").cast("date")).cast("long")
-    clock = part(4).try_cast("long") * 3600 + part(5).try_cast("long") * 60 + part(6).try_cast("long")
-    return F.when(text.rlike(shape), (days * 86_400 + clock) * 1_000_000_000 + F.rpad(part(7), 9, "0").try_cast("long")).otherwise(text.try_cast("long"))
+    number = lambda k: part(k).try_cast("long")
+    first = F.datediff(F.try_to_date(F.concat_ws("-", part(1), part(2), F.lit("01"))), F.lit("1970-01-01").cast("date")).cast("long")
+    seconds = (first + number(3) - 1) * 86_400 + number(4) * 3600 + number(5) * 60 + number(6)
+    nanos = F.try_add(F.try_multiply(seconds, F.lit(1_000_000_000).cast("long")), F.rpad(part(7), 9, "0").try_cast("long"))
+    fits = number(3).between(1, 31) & (number(4) <= 23) & (number(5) <= 59) & (number(6) <= 60)
+    return F.when(text.rlike(shape), F.when(fits, nanos)).otherwise(text.try_cast("long"))
+
+
+@F.pandas_udf(StringType())
+def real_bits(number: pd.Series) -> pd.Series:
+    """The 16 hexadecimal digits of a double, which tell -0.0 from 0.0; Spark has no function for them."""
+    bits = number.to_numpy("float64").view("uint64")
+    return pd.Series([f"{b:016x}" for b in bits.tolist()]).where(number.notna(), None)
 
 
 def canon(kind: Column, value: Column) -> Column:
-    """Injective text of a scalar value: n, b:1, i:-5, u:7, s:<bytes>:<text>, x:<hex>."""
-    return F.when(kind == "null", "n").when(kind == "bool", F.concat(F.lit("b:"), F.when(value == "true", "1").otherwise("0"))).when(kind.isin("int", "uint"), F.concat(F.substring(kind, 1, 1), F.lit(":"), value)).when(kind == "text", F.concat(F.lit("s:"), F.octet_length(value), F.lit(":"), value)).when(kind == "blob", F.concat(F.lit("x:"), F.lower(value)))
+    """Injective text of a scalar value: n, b:1, i:-5, u:7, r:<16 hex> (value is the 16 digits), s:<bytes>:<text>, x:<hex>."""
+    tag = F.concat(F.substring(kind, 1, 1), F.lit(":"), value)
+    text = F.concat(F.lit("s:"), F.octet_length(value), F.lit(":"), value)
+    scalar = F.when(kind == "null", "n").when(kind == "bool", F.concat(F.lit("b:"), F.when(value == "true", "1").otherwise("0")))
+    return scalar.when(kind.isin("int", "uint", "real"), tag).when(kind == "text", text).when(kind == "blob", F.concat(F.lit("x:"), F.lower(value)))
+
+
+def _counted(text: Column) -> Column:
+    return F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
+
+
+def canon_list(items: Column) -> Column:
+    """Canonical text of a list from those of its items: l[<bytes>:<item>,...]."""
+    return F.concat(F.lit("l["), F.array_join(F.transform(items, _counted), ","), F.lit("]"))
+
+
+def canon_map(entries: Column) -> Column:
+    """Canonical text of a map from its entries (key, value as canonical text), in order of keys; null if a key repeats."""
+    ordered = F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+    keys = F.transform(ordered, lambda e: e["key"])
+    text = F.array_join(F.transform(ordered, lambda e: F.concat(_counted(e["key"]), F.lit("="), _counted(e["value"]))), ",")
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.concat(F.lit("m{"), text, F.lit("}")))
+
+
+def port(device: Column, index: Column) -> Column:
+    """port:<device>/<index>, with the device's text form."""
+    return F.concat(F.lit("port:"), device, F.lit("/"), index.cast("string"))
+
+
+def port_parts(text: Column) -> Column:
+    """device and idx of a port's text (the prefix may be left out), null where it is none or idx has over 32 bits."""
+    shape = r"^(?:port:)?(.+)/([0-9]+)$"
+    index = F.regexp_extract(text, shape, 2).try_cast("decimal(38,0)")
+    fine = text.rlike(shape) & (index <= 4_294_967_295)
+    return F.when(fine, F.struct(F.regexp_extract(text, shape, 1).alias("device"), index.cast("long").alias("idx")))
+
+
+def link(one: Column, other: Column) -> Column:
+    """link:<port>|<port> of two ports' texts, the smaller by device and number first; null where they are equal."""
+    a, b = port_parts(one), port_parts(other)
+    low, high = F.least(a, b), F.greatest(a, b)
+    return F.when(a != b, F.concat(F.lit("link:"), port(low["device"], low["idx"]), F.lit("|"), port(high["device"], high["idx"])))
+
+
+def path(hops: Column) -> Column:
+    """path:<32 hex> of an array of links' texts, in their order."""
+    hop = lambda t: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(t) % 256), 2, "0")), F.encode(t, "UTF-8"))
+    raw = F.aggregate(hops, F.concat(F.lit(b"\x04path"), be64(F.size(hops))), lambda s, t: F.concat(s, hop(t)))
+    return F.concat(F.lit("path:"), F.substring(F.sha2(raw, 256), 1, 32))
 
 
 @lru_cache(1)
-def _crc_table() -> list[int]:
-    table = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-        table.append(n)
-    return table
+def _crc_table() -> np.ndarray:
+    n = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        n = np.where(n & 1, n >> 1 ^ np.uint32(0x82F63B78), n >> 1)
+    return n
 
 
 @F.pandas_udf(LongType())
 def crc32c(raw: pd.Series) -> pd.Series:
-    """CRC-32C (Castagnoli), which Spark lacks."""
-    table = _crc_table()
-
-    def one(data):
-        if data is None:
-            return None
-        c = 0xFFFFFFFF
-        for b in data:
-            c = table[(c ^ b) & 255] ^ c >> 8
-        return c ^ 0xFFFFFFFF
-
-    return raw.map(one)
+    """CRC-32C (Castagnoli), which Spark lacks: all rows of a batch at once, byte by byte; rows in order of length, so
+    that those that have ended are left out."""
+    table, known = _crc_table(), raw.notna().to_numpy()
+    texts = [bytes(x) if x is not None else b"" for x in raw]
+    size = np.array([len(t) for t in texts], np.int64)
+    order = np.argsort(-size, kind="stable")
+    start = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    left = np.searchsorted(-size[order], -np.arange(1, size.max(initial=0) + 1), "right")
+    crc = np.full(len(texts), 0xFFFFFFFF, np.uint32)
+    for k, n in enumerate(left.tolist()):
+        at = order[:n]
+        c = crc[at]
+        crc[at] = table[(c ^ data[start[at] + k]) & 255] ^ c >> 8
+    return pd.Series((crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64), dtype="Int64").where(known)

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Names by number.
 TRUTH = ("unknown", "unsupported", "conflicting", "stale", "incomplete", "known")
 FRESHNESS = ("fresh", "aging", "stale")
 AUTHORITY = ("none", "inferred", "reported", "corroborated", "authoritative")
@@ -13,17 +14,17 @@ KINDS = ("fabric", "site", "pod", "rack", "device", "port", "link", "path")
 DISPOSITIONS = ("accepted", "duplicate", "fenced", "rejected")
 #: Status codes, by number.
 STATUS = (
-    "Ok InvalidArgument OutOfRange NotFound AlreadyExists Unsupported NotPermittedByBoundary ResourceExhausted QueueFull TooLarge LimitExceeded "
-    "DepthExceeded MalformedInput IntegrityFailure VersionMismatch Corrupt FencedSequence FencedIncarnation FencedStaleGeneration FencedStaleEpoch "
-    "FencedAuthority FencedRevision FencedDuplicateContent ClockInconsistent FabricMismatch SourceUnknown IoError Cancelled ShuttingDown NotOpen Internal"
-).split()
+    "Ok", "InvalidArgument", "OutOfRange", "NotFound", "AlreadyExists", "Unsupported", "NotPermittedByBoundary", "ResourceExhausted", "QueueFull", "TooLarge", "LimitExceeded",
+    "DepthExceeded", "MalformedInput", "IntegrityFailure", "VersionMismatch", "Corrupt", "FencedSequence", "FencedIncarnation", "FencedStaleGeneration", "FencedStaleEpoch",
+    "FencedAuthority", "FencedRevision", "FencedDuplicateContent", "ClockInconsistent", "FabricMismatch", "SourceUnknown", "IoError", "Cancelled", "ShuttingDown", "NotOpen", "Internal",
+)
 #: Well-known aspects with the least number of sources and the least authority that make them known.
 ASPECTS = (
     ("identity.labels", 1, 0), ("topology.parent", 1, 0), ("link.state", 1, 2), ("device.model", 1, 0), ("port.state", 1, 2), ("path.state", 2, 2), ("capacity.bandwidth_bps", 1, 2),
     ("reachability.state", 2, 3), ("authority.owner", 1, 4), ("failure.state", 1, 2), ("partition.membership", 1, 2), ("congestion.level", 1, 2), ("operational.admin_state", 1, 2), ("operational.health", 1, 0),
 )
 SECOND = 1_000_000_000
-CLAIMS_PER_ASPECT, ROWS_PER_QUERY, CHANGES_PER_DIFF, NODES, DEPTH = 32, 4096, 8192, 4096, 16
+CLAIMS_PER_ASPECT, CHANGES_PER_DIFF, DEPTH = 32, 8192, 16
 
 
 @dataclass(frozen=True)

@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from provlake.functions import expressions as x
+from provlake.functions.digests import digest_of
 from provlake.model import Policy
-from provlake.operators import compose, hierarchy, ingest, query
+from provlake.operators import compose, diff, explain, hierarchy, ingest, query
+from provlake.plans.history import History, NotFound
 from provlake.plans.snapshots import Snapshot
 from provlake.sources import events, ndjson
-from provlake.streaming import fences
+from provlake.streaming import fences, view
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,6 +28,9 @@ def test_golden_vectors(spark):
     for nanos, text in ((0, "1970-01-01T00:00:00.000000000Z"), (-1, "1969-12-31T23:59:59.999999999Z"), (1767225600000000000, "2026-01-01T00:00:00.000000000Z")):
         assert one(spark, x.format_utc(F.lit(nanos))) == text
         assert one(spark, x.parse_utc(F.lit(text))) == nanos
+    assert one(spark, x.parse_utc(F.lit("9999-01-01T00:00:00Z"))) is None and one(spark, x.parse_utc(F.lit("2023-01-01T24:00:00Z"))) is None
+    assert one(spark, x.parse_utc(F.lit("2023-02-31T00:00:00Z"))) == one(spark, x.parse_utc(F.lit("2023-03-03 00:00:00Z")))
+    assert one(spark, x.canon(F.lit("real"), x.real_bits(F.lit(-0.0)))) == "r:8000000000000000"
     assert one(spark, x.parse_utc(F.lit("42"))) == 42 and one(spark, x.parse_utc(F.lit("soon"))) is None
 
 
@@ -82,29 +87,240 @@ def random_claims(seed):
     return out
 
 
+def plain_fold(rows, scopes=None, strict=False):
+    """The fences written down once more, for claims one to an observation: what each arrival comes to."""
+    scopes, said, out = scopes or {}, {}, {}
+    last, boots, revisions, high = {}, {}, {}, None
+    for o in sorted(rows, key=lambda r: r["arrival_seq"]):
+        s, key = o["source"], (o["source"], o["subject"], o["aspect"])
+        own = last.get(s)
+        words = tuple(v for k, v in sorted(o.items()) if k not in ("arrival_seq", "received_at", "event_id", "recovered"))
+
+        def judge():
+            if o["sequence"] < 1:
+                return "rejected", "InvalidArgument"
+            if o["observed_at"] > o["received_at"] + 5 * 10**9:
+                return "rejected", "ClockInconsistent"
+            if own and o["incarnation"] != own["incarnation"] and o["incarnation"] in boots[s][-8:]:
+                return "rejected", "FencedIncarnation"
+            if own and o["incarnation"] == own["incarnation"] and o["sequence"] <= own["sequence"]:
+                again = o["sequence"] == own["sequence"] and said[s] == words
+                return ("duplicate", "FencedDuplicateContent") if again else ("rejected", "FencedSequence")
+            before = own or {"generation": 0, "epoch": 0}
+            if o["generation"] < before["generation"]:
+                return "rejected", "FencedStaleGeneration"
+            if o["generation"] - before["generation"] > 1_000_000:
+                return "rejected", "OutOfRange"
+            if strict and high is not None and o["generation"] < high:
+                return "rejected", "FencedStaleGeneration"
+            if o["generation"] == before["generation"] and o["epoch"] < before["epoch"]:
+                return "rejected", "FencedStaleEpoch"
+            if scopes.get(s) and o["aspect"] not in scopes[s]:
+                return "fenced", "FencedAuthority"
+            if 0 < o["revision"] < revisions.get(key, 0):
+                return "fenced", "FencedRevision"
+            return "accepted", "Ok"
+
+        out[o["arrival_seq"]] = judge()
+        if out[o["arrival_seq"]][0] == "accepted":
+            if not own or own["incarnation"] != o["incarnation"]:
+                boots.setdefault(s, []).append(o["incarnation"])
+            last[s], said[s] = o, words
+            revisions[key] = max(revisions.get(key, 0), o["revision"])
+            high = max(high or 0, o["generation"])
+    return out
+
+
+NAMES = [f.split()[0] for f in CLAIM.split(", ")]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_fold_against_plain_python(spark, seed):
-    frame = spark.createDataFrame(random_claims(seed), CLAIM).repartition(3)
+    rows = [dict(zip(NAMES, r)) for r in random_claims(seed)]
+    again = [dict(r, arrival_seq=1000 + k) for k, r in enumerate(rows[-3:])]
+    frame = spark.createDataFrame([tuple(r.values()) for r in rows + again], CLAIM).repartition(3)
     got = {r["arrival_seq"]: (r["disposition"], r["code"]) for r in ingest.fold(frame).collect()}
-    state, want = {}, {}
-    for o in sorted(ingest.with_content(frame).collect(), key=lambda r: r["arrival_seq"]):
-        want[o["arrival_seq"]] = ingest.step(state.setdefault(o["source"], ingest.Lineage()), o)
+    want = plain_fold(rows + again)
     assert got == want and len({c for _, c in want.values()}) > 4
 
 
+def test_strict_fence_against_plain_python(spark):
+    draw = random.Random(3)
+    rows = [dict(zip(NAMES, claim(f"s{draw.randint(0, 4)}", "up", sequence=n + 1, generation=1 + n // 40 + draw.choice((0, 0, 1, 2) if draw.random() < 0.1 else (0,)), n=n))) for n in range(200)]
+    frame = spark.createDataFrame([tuple(r.values()) for r in rows], CLAIM).repartition(3)
+    got = {r["arrival_seq"]: (r["disposition"], r["code"]) for r in ingest.admit_strictly(frame).collect()}
+    want = plain_fold(rows, strict=True)
+    assert got == want and want != plain_fold(rows)
+
+
 def test_fences_by_name():
     from types import SimpleNamespace
 
-    say = lambda **k: SimpleNamespace(**{"source": "s", "incarnation": "a", "sequence": 1, "generation": 5, "epoch": 2, "observed_at": 0, "received_at": 0, "subject": "x", "aspect": "link.state", "revision": 0, "content": "c"} | k)
+    say = lambda **k: SimpleNamespace(**{"source": "s", "incarnation": "a", "sequence": 1, "generation": 5, "epoch": 2, "subjects": ["x"], "aspects": ["link.state"], "revisions": [0], "content": "c", "scope": None, "high": None} | k)
     s = ingest.Lineage()
-    run = lambda **k: ingest.step(s, say(**k))
-    assert run() == ("accepted", "Ok") and run() == ("duplicate", "Ok") and run(content="d") == ("rejected", "FencedSequence")
+    run = lambda **k: ingest.step(s, say(**k))[:2]
+    assert run() == ("accepted", "Ok") and run() == ("duplicate", "FencedDuplicateContent") and run(content="d") == ("rejected", "FencedSequence")
     assert run(sequence=2, generation=4) == ("rejected", "FencedStaleGeneration") and run(sequence=2, epoch=1) == ("rejected", "FencedStaleEpoch")
-    assert run(sequence=2, generation=2_000_000) == ("rejected", "OutOfRange") and run(sequence=0) == ("rejected", "InvalidArgument")
-    assert run(sequence=2, observed_at=10**11) == ("rejected", "ClockInconsistent")
+    assert run(sequence=2, generation=2_000_000) == ("rejected", "OutOfRange") and run(sequence=2, high=6) == ("rejected", "FencedStaleGeneration")
     assert run(incarnation="b") == ("accepted", "Ok") and run(sequence=9) == ("rejected", "FencedIncarnation")
-    assert run(incarnation="b", sequence=2, revision=5) == ("accepted", "Ok") and run(incarnation="b", sequence=3, revision=4) == ("fenced", "FencedRevision")
-    assert ingest.step(s, say(incarnation="b", sequence=3), scope=frozenset({"port.state"})) == ("fenced", "FencedAuthority")
+    assert run(incarnation="b", sequence=2, revisions=[5]) == ("accepted", "Ok") and run(incarnation="b", sequence=3, revisions=[4]) == ("fenced", "FencedRevision")
+    assert run(incarnation="b", sequence=3, scope=["port.state"]) == ("fenced", "FencedAuthority")
+    some = {"incarnation": "b", "subjects": ["x", "x", "y"], "aspects": ["link.state", "port.state", "my.own"], "revisions": [4, 0, 0]}
+    assert ingest.step(s, say(sequence=3, **some), frozenset({"link.state", "port.state"})) == ("accepted", "Ok", ["FencedRevision", "", "Unsupported"])
+
+
+OBSERVATION = "schema string, fabric string, source string, incarnation string, sequence long, generation long, epoch long, observed_at long, received_at long, arrival_seq long, recovered boolean, claims array<struct<subject:string,aspect:string,value:string,supported:boolean,revision:long>>"
+
+
+def seen(source, sequence, *claims, n=None, schema="s/1", fabric="f", at=100):
+    return (schema, fabric, source, "boot", sequence, 1, 1, at, 100, n or sequence, False, [(s, a, v, True, r) for s, a, v, r in claims])
+
+
+def test_checks_that_need_no_order(spark):
+    ok = ("d/1", "link.state", "up", 0)
+    rows = [
+        seen("a", 1, ok), seen("a", 0, ok, n=2), seen("", 3, ok), seen("a", 4, ok, ("d/1", "link.state", "down", 0)), seen("a", 5, ("", "link.state", "up", 0)), seen("a", 6, ok, schema="s/2"),
+        seen("a", 7, ok, fabric="g"), seen("a", 8, ok, at=10**11), seen("a", 9, *[(f"d/{k}", "link.state", "up", 0) for k in range(513)]), seen("a", 10, schema=""), seen("a", 11), seen("b", 12, ok),
+    ]
+    known = spark.createDataFrame([("a",)], "source string")
+    made = ingest.admit(spark.createDataFrame(rows, OBSERVATION).repartition(3), schema="s/1", fabric="f", registered=known).collect()
+    want = ["Ok", "InvalidArgument", "InvalidArgument", "InvalidArgument", "InvalidArgument", "Unsupported", "FabricMismatch", "ClockInconsistent", "TooLarge", "InvalidArgument", "Ok", "SourceUnknown"]
+    assert [r["code"] for r in sorted(made, key=lambda r: r["arrival_seq"])] == want
+
+
+def test_a_partly_fenced_observation_end_to_end(spark):
+    """Its fenced claim stays as evidence, asserts nothing, and is listed; a wholly fenced one is refused."""
+    rows = [
+        seen("a", 1, ("d/1", "link.state", "up", 5), ("d/1", "port.state", "on", 0)), seen("a", 2, ("d/1", "link.state", "down", 4), ("d/1", "port.state", "on", 0)), seen("a", 3, ("d/1", "link.state", "down", 3)),
+        seen("a", 4, ("d/2", "my.own", "x", 0), ("d/2", "link.state", "up", 0)), seen("b", 5, ("d/1", "port.state", "on", 0)), seen("b", 5, ("d/1", "port.state", "on", 0), n=6),
+    ]
+    frame = spark.createDataFrame(rows, OBSERVATION)
+    outcomes = ingest.admit(frame, spark.createDataFrame([("b", ["link.state"])], "source string, aspects array<string>"), known_only=True).cache()
+    assert [(r["disposition"], r["code"], r["fences"]) for r in outcomes.orderBy("arrival_seq").collect()] == [
+        ("accepted", "Ok", ["", ""]), ("accepted", "Ok", ["FencedRevision", ""]), ("fenced", "FencedRevision", ["FencedRevision"]), ("accepted", "Ok", ["Unsupported", ""]), ("fenced", "FencedAuthority", ["FencedAuthority"]), ("fenced", "FencedAuthority", ["FencedAuthority"]),
+    ]
+    claims = ingest.evidence(frame, outcomes)
+    assert {(r["sequence"], r["aspect"], r["fence"]) for r in claims.where("fenced").collect()} == {(2, "link.state", "FencedRevision"), (4, "my.own", "Unsupported")}
+    states = {(r["subject"], r["aspect"]): r for r in Snapshot(claims, Policy()).aspects.collect()}
+    assert states["d/1", "port.state"]["truth"] == "known" and states["d/2", "link.state"]["agreed"] == "up"
+    # the later claim is fenced, the earlier one superseded: nothing asserts the link's state
+    assert states["d/1", "link.state"]["truth"] == "stale" and states["d/2", "my.own"]["truth"] == "stale"
+    assert [(r["sequence"], r["fence"]) for r in ingest.rejections(frame, outcomes).orderBy("arrival_seq").collect()] == [(3, "FencedRevision"), (5, "FencedAuthority")]
+    assert {(r["source"], r["sequence"], r["aspect"]) for r in ingest.fenced_claims(frame, outcomes).collect()} == {("a", 2, "link.state"), ("a", 3, "link.state"), ("a", 4, "my.own"), ("b", 5, "port.state")}
+    assert ingest.rejections(frame, outcomes, 1).first()["sequence"] == 5
+    assert tuple(ingest.counters(outcomes).first()) == (3, 0, 3, 0, 5)
+    lines = explain.subject(Snapshot(claims, Policy()).aspects, Snapshot(claims, Policy()).retained, "d/1", None, ingest.rejections(frame, outcomes), ingest.fenced_claims(frame, outcomes)).collect()
+    assert [r["line"] for r in lines if r["kind"] == "truth"] == ["stale"] and sum(r["kind"] == "fence" for r in lines) == 4 and sum(r["kind"] == "evidence" for r in lines) == 4
+
+
+def test_a_subject_without_evidence_is_unknown(spark):
+    s = Snapshot(spark.createDataFrame([claim("a", "up")], CLAIM), Policy())
+    assert [(r["kind"], r["line"].split(":")[0]) for r in explain.subject(s.aspects, s.retained, "device/zz").collect()] == [("truth", "unknown"), ("reason", "unknown")]
+    known = [r for r in explain.subject(s.aspects, s.retained, "device/a", "link.state").collect() if r["kind"] == "reason"]
+    assert len(known) == 1 and known[0]["line"].startswith("link.state: known: 1 fresh source(s) agree")
+
+
+def test_content_is_injective(spark):
+    rows = [("a", "b\u0001c", None), ("a\u0001b", "c", None), ("a", "b", ""), ("a", "b", None), ("a", "bc", None), ("ab", "c", None)]
+    frame = spark.createDataFrame([seen("s", 1, (s, a, v, 0)) for s, a, v in rows], OBSERVATION)
+    assert frame.select(ingest.content(frame).alias("d")).distinct().count() == len(rows)
+    two = [seen("s", 1, ("d/1", "a.b", "x", 0), ("d/2", "a.b", "y", 0)), seen("s", 1, ("d/2", "a.b", "y", 0), ("d/1", "a.b", "x", 0))]
+    assert spark.createDataFrame(two, OBSERVATION).select(ingest.content(frame).alias("d")).distinct().count() == 1
+
+
+def test_eviction_drops_the_oldest(spark):
+    claims = spark.createDataFrame([claim(f"s{k:02}", "up", at=1000 - k, n=k) for k in range(40)], CLAIM)
+    assert ingest.evicted(claims, 40).count() == 40
+    left = {r["source"] for r in ingest.evicted(claims, 39).collect()}
+    assert left == {f"s{k:02}" for k in range(38)}
+
+
+def test_equal_sequences_are_decided_by_content(spark):
+    rows = [claim("a", v, n=k) for k, v in enumerate(("x", "z", "y"))]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, CLAIM).repartition(3)
+        assert {r["value"] for r in Snapshot(frame, Policy()).records.where("not old_sequence").collect()} == {"z"}
+
+
+def test_conflicts_are_among_retained_claims(spark):
+    rows = [claim(f"s{k:02}", "up" if k < 35 else "down", sequence=100 - k, n=k) for k in range(40)]
+    s = Snapshot(spark.createDataFrame(rows, CLAIM), Policy())
+    assert compose.conflict_groups(s.retained).count() == 0 and s.aspects.first()["truth"] == "known"
+
+
+def test_history_and_view(spark, tmp_path):
+    frame = spark.createDataFrame([claim("a", "up", n=1), claim("b", "up", n=2), claim("a", "down", sequence=2, n=3)], CLAIM)
+    for k in range(1, 4):
+        frame.where(f"arrival_seq = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    places = str(tmp_path / "evidence"), str(tmp_path / "history")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.writeStream.foreachBatch(view.publisher(*places, Policy())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    kept = History(spark, places[1])
+    entries = kept.entries().orderBy("index").collect()
+    assert [r["index"] for r in entries] == [1, 2, 3] and kept.latest() == 3 and len({r["snapshot_id"] for r in entries}) == 3
+    assert kept.find(entries[0]["snapshot_id"]).first()["truth"] == "known" and kept.at(3).first()["truth"] == "conflicting"
+    assert [(r["truth_before"], r["truth"]) for r in kept.diff_latest().collect()] == [("known", "conflicting")] and kept.diff(kept.at(1), kept.at(1)).count() == 0
+    short = History(spark, places[1], 2)
+    assert short.entries().count() == 2
+    for call in (lambda: short.at(1), lambda: kept.diff_latest(3), lambda: kept.find("snap:none"), History(spark, str(tmp_path / "none")).latest):
+        with pytest.raises(NotFound):
+            call()
+    # a batch that runs twice counts once
+    view.publisher(*places, Policy())(frame.where("arrival_seq = 1"), 0)
+    assert kept.at(4).first()["claims"] == 3
+
+
+def test_digest_of_a_table(spark):
+    rows = [("p", f"k{k % 7}", f"line {k}") for k in range(40)]
+    digest = lambda r: digest_of(spark.createDataFrame(r, "part string, key string, line string").repartition(3)).first()[0]
+    assert digest(rows) == digest(rows[::-1]) != digest(rows[1:]) and digest(rows[:1] + [("p", "k1", "line 0")]) != digest(rows[:2])
+
+
+def test_walks_by_root_and_limit(spark):
+    nodes = spark.createDataFrame([("a", "site", None), ("a/1", "pod", "a"), ("a/2", "pod", "a"), ("a/1/x", "rack", "a/1"), ("b", "site", None), ("c", "pod", "gone"), ("f", "fabric", None), ("r1", "rack", "r2"), ("r2", "rack", "r1")], "node string, kind string, parent string")
+    names = lambda frame: [r["node"] for r in frame.orderBy("path").collect()]
+    assert names(hierarchy.walk(nodes, root="a")) == ["a", "a/1", "a/1/x", "a/2"] and names(hierarchy.walk(nodes, root="a/1")) == []
+    assert names(hierarchy.walk(nodes, limit=3)) == ["a", "a/1", "a/1/x"] and tuple(hierarchy.header(nodes, limit=3).first()) == (3, 2, 0, True)
+    assert tuple(hierarchy.header(nodes, root="a", depth=1, limit=3).first()) == (3, 1, 1, True) and tuple(hierarchy.header(nodes, root="a", limit=4).first()) == (4, 2, 0, False)
+    assert {r["node"] for r in hierarchy.unattached(nodes).collect()} == {"a", "b", "c"}
+    assert {r["node"] for r in query.subtree(nodes, "a/1").collect()} == {"a/1", "a/1/x"}
+
+
+def test_a_walk_is_planned_without_a_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    nodes = events.forest(spark, SF)
+    spark.sparkContext.setJobGroup("planning", "")
+    try:
+        hierarchy.walk(nodes)
+    finally:
+        spark.sparkContext.setJobGroup("rest", "")
+    assert not tracker.getJobIdsForGroup("planning")
+
+
+def test_two_times_are_composed_at_once(spark):
+    s = Snapshot(events.load(spark, SF), Policy(fresh=events.DAY, aging=3 * events.DAY))
+    now = F.col("received_max")
+    made = diff.refresh_changes(s.refreshed(now, now + 2 * events.DAY))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 4 and "Expand" not in plan
+    later = Snapshot(s.claims, s.policy, now + 2 * events.DAY)
+    plain = lambda f: sorted(map(str, f.collect()))
+    assert plain(made) == plain(diff.aspect_changes(s.aspects, later.aspects))
+
+
+def test_checksums_against_a_loop(spark):
+    def loop(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    draw = random.Random(1)
+    rows = [(k, None if k % 9 == 4 else draw.randbytes(draw.choice((0, 1, 3, 8, 100)))) for k in range(60)]
+    got = {r["k"]: r["c"] for r in spark.createDataFrame(rows, "k int, raw binary").repartition(2).select("k", x.crc32c("raw").alias("c")).collect()}
+    assert got == {k: None if raw is None else loop(raw) for k, raw in rows}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -119,13 +335,25 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_lines_of_json(spark, tmp_path):
-    good = '{"schema":"s/1","fabric":"f","source":"a","incarnation":"i","sequence":"1","generation":"1","observed_at":"5","claims":[{"subject":"d","aspect":"link.state","value":{"k":"text","v":"up"}}]}'
-    (tmp_path / "x.ndjson").write_text("\n".join(["# said", "", good, good.replace('"1","observed', '"x","observed'), good.replace('"sequence":"1"', '"sequence":"0"'), '{"schema":"s/1"}', "{"]))
+    good = '{"schema":"s/1","fabric":"f","source":"a","incarnation":"i","sequence":"1","generation":"1","observed_at":"5","claims":[{"subject":"device/d","aspect":"link.state","value":{"k":"text","v":"up"}},{"subject":"device/d","aspect":"port.state","value":{"k":"int","v":"3"}}],"metadata":[{"k":"a","v":"x"}]}'
+    twice = good.replace('"metadata":[', '"metadata":[{"k":"a","v":"y"},')
+    odd = good.replace('"k":"a","v":"x"', '"k":"A b","v":"x"')
+    large = good.replace('"v":"x"', '"v":"' + "x" * 300 + '"')
+    (tmp_path / "x.ndjson").write_text("\n".join(["# said", "  # said too", "", good, good.replace('"1","observed', '"x","observed'), good.replace('"sequence":"1"', '"sequence":"0"'), '{"schema":"s/1"}', "{", twice, odd, large]))
     read = ndjson.read(spark, str(tmp_path / "x.ndjson"))
-    assert sorted(r["status"] for r in read.collect()) == ["InvalidArgument", "MalformedInput", "MalformedInput", "MalformedInput", "Ok"]
+    assert sorted(r["status"] for r in read.collect()) == ["InvalidArgument", "InvalidArgument", "InvalidArgument", "MalformedInput", "MalformedInput", "MalformedInput", "Ok", "TooLarge"]
     row = read.where("status = 'Ok'").first()
-    assert (row["epoch"], row["claims"][0]["supported"], row["claims"][0]["revision"]) == (0, True, 0)
+    assert (row["epoch"], row["claims"][0]["supported"], row["claims"][0]["revision"], row["metadata"]) == (0, True, 0, {"a": "x"})
     ndjson.lines(read.where("status = 'Ok'").drop("status")).write.text(str(tmp_path / "back"))
+    with pytest.raises(Exception, match="a line of observations is refused: "):
+        ndjson.read(spark, str(tmp_path / "x.ndjson"), fail=True).collect()
+    (tmp_path / "one.json").write_text(good.replace(",", ",\n"))
+    assert ndjson.read_one(spark, str(tmp_path / "one.json")).select("status", "source").collect() == [("Ok", "a")]
+    # from lines to truth
+    arrivals = ndjson.arrivals(read, F.lit(7))
+    outcomes = ingest.admit(arrivals, fabric="f", schema="s/1")
+    states = {r["aspect"]: (r["truth"], r["agreed"]) for r in Snapshot(ingest.evidence(arrivals, outcomes), Policy()).aspects.collect()}
+    assert states == {"link.state": ("known", "s:2:up"), "port.state": ("known", "i:3")}
 
 
 def test_filters_without_a_limit_return_all_subjects(spark):
@@ -148,7 +376,7 @@ def test_query_header_against_a_plain_scan(spark, limit):
             scanned += 1
             if kind and not s.startswith(kind + "/"):
                 continue
-            if limit is not None and subjects >= limit:
+            if limit and subjects >= limit:  # 0 is no limit
                 truncated = True
                 break
             n = sum(r[0] == s and r[1][0] == "p" for r in rows)
