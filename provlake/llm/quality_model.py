@@ -166,12 +166,13 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Addi
     """A model of labels (doc_id, quality 0 or 1) on documents (doc_id, text), learned from at most sample labels.
 
     Rows with a null id or another quality are not used; of repeated labels of an id the largest counts. Without any
-    label every score is 0.5.
+    label every score is 0.5. Of repeated rows of a document the one of the smallest features counts, so at most sample
+    rows come to the driver.
     """
     usable = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     joined = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    rows = joined.mapInArrow(_mapped(2, ["doc_id", "quality", "x"], _list), "doc_id long, quality int, x array<double>").toArrow().sort_by("doc_id").to_pydict()
+    rows = joined.mapInArrow(_mapped(2, ["doc_id", "quality", "x"], _list), "doc_id long, quality int, x array<double>").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("x").alias("x")).toArrow().sort_by("doc_id").to_pydict()
     return Additive(np.array(rows["x"], np.float64).reshape(-1, len(FEATURES)), np.array(rows["quality"], np.float64))
 
 

@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.llm._shared import dense, mix, packed, per_text, pieces, ragged, saved
+from provlake.llm._shared import dense, mix, named, packed, per_text, pieces, ragged, saved
 
 #: Bytes of a repeated string, and of the strings inside whose hashes deal windows out.
 LENGTH, ANCHOR = 50, 24
@@ -516,9 +516,12 @@ def suffix_digest(documents: DataFrame) -> DataFrame:
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
-    """documents with what remains of each text; a null text stays null."""
-    made = suffix_dedup(documents, as_text=True)
-    return made.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept"))).drop(*ADDED)
+    """documents with what remains of each text; a null text stays null. Columns named like those that suffix_dedup adds
+    stay as they are."""
+    apart = {c: named(documents, "own", c) for c in documents.columns if c.lower() in ADDED}
+    made = suffix_dedup(documents.withColumnsRenamed(apart), as_text=True)
+    cut = made.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept"))).drop(*ADDED)
+    return cut.withColumnsRenamed({v: k for k, v in apart.items()}).select(*documents.columns)
 
 
 def _extended(shards: int) -> Callable:
