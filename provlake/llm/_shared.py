@@ -123,14 +123,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/provlake-{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def saved(frame: DataFrame, name: str) -> DataFrame:
     """The frame written as a table in the shared folder and read again: lost executors cost no earlier work."""
     spark = frame.sparkSession
     path = shared_path(spark, name)
     frame.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place in the order of written tables, for forget."""
+    return len(_written)
+
+
+def forget(spark: SparkSession, since: int, but: int = 0) -> None:
+    """Delete the tables written since the mark, but for the last ones. Only for tables that nothing reads any more."""
+    done = _written[since : len(_written) - but]
+    del _written[since : len(_written) - but]
+    for path in done:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def named(frame: DataFrame, *wanted: str) -> str:
     """A name that no column has, by any case, made from the wanted parts."""
     have = {c.lower() for c in frame.columns}

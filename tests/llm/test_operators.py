@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from provlake.llm import bpe, chat, html_text, minhash, mixing, quality_model, quality_rules, queries, suffix_dedup, token_counts, topk
+from provlake.llm import _shared
 from provlake.llm._shared import Words, packed
 
 P = pytest.importorskip("public_tokenizers")
@@ -22,6 +23,15 @@ SF = "/root/testdata/sf0.001"
 ODD = "doc_id long, text string, lang string, source string, n_chars long, kept string, N_TOKENS long, band int"
 
 
+def test_forgotten_tables_are_gone(spark):
+    import os
+
+    since = _shared.mark()
+    paths = [_shared.saved(spark.range(k + 1), f"t{k}").inputFiles()[0] for k in range(3)]
+    _shared.forget(spark, since, but=1)
+    assert [os.path.exists(p.removeprefix("file://")) for p in paths] == [False, False, True] and _shared.mark() == since + 1
+
+
 def odd_rows():
     """Nulls, empty, long and repeated texts, names that clash with new columns."""
     base = "one two three four five six seven eight nine ten eleven twelve thirteen"
