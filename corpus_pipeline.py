@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provlake.llm import bpe, minhash, mixing, quality_rules, suffix_dedup
-from provlake.llm._shared import saved, table
+from provlake.llm._shared import forget, mark, saved, table
 
 
 def _apart(docs: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -75,10 +75,12 @@ STAGES = [("quality_rules", rules), ("near_copies", near_copies), ("repeated_pas
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. A stage's own tables are deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        since = mark()
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(spark, since, but=1)
     return docs
 
 
