@@ -504,6 +504,17 @@ def unknown_sources(spark, d):
     return ingest.admit(events.load(spark, d), registered=known).groupBy("source", "disposition", "code").agg(F.count("*").alias("n"))
 
 
+@_query(f"with {_OBS} select source, max(incarnation) as incarnation, max(sequence) as sequence, max(generation) as generation, max(epoch) filter (generation = top) as epoch, min(received_at) as first_receive, max(received_at) as last_receive, max(observed_at) as last_observation, count(*) as records from (select *, max(generation) over (partition by source) as top from obs) group by source")
+def recovered_lineages(spark, d):
+    return ingest.lineages(events.load(spark, d)).drop("boots")
+
+
+@_query(_with("select truth, count(*) as aspects from asp group by 1").replace("event_id % 23 = 0 as recovered", "true as recovered"))
+def recovered_truth(spark, d):
+    """After a restart all evidence is recovered, and none of it is fresh."""
+    return compose.stats(Snapshot(ingest.recovered(events.load(spark, d), 1), POLICY).aspects)
+
+
 _AT = "strftime(make_timestamp({0} // 1000), '%Y-%m-%dT%H:%M:%S.%f') || lpad(cast({0} % 1000 as varchar), 3, '0') || 'Z'"
 _LINE = f"""aspect || ': source ' || source || ' incarnation ' || substr(incarnation, 1, 16) || ' sequence ' || sequence || ' authority reported freshness ' || (case freshness when 0 then 'fresh' when 1 then 'aging' else 'stale' end)
  || ' observed ' || {_AT.format("observed_at")} || ' received ' || {_AT.format("received_at")} || ' value "' || value || '"' || (case when not supported then ' [declared unsupported]' else '' end) || (case when old_generation then ' [superseded by a later generation]' else '' end)

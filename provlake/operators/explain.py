@@ -15,6 +15,12 @@ FLAGS = (
     ("not supported", " [declared unsupported]"), ("old_generation", " [superseded by a later generation]"), ("old_epoch", " [superseded by a later epoch of the same generation]"),
     ("old_incarnation", " [superseded by a later incarnation of the same source]"), ("old_sequence", " [superseded by a later sequence from the same source incarnation]"),
 )
+#: Fixed texts: what each strength of a causal reference says, in order of strength.
+CAUSAL = (
+    ("correlates-with", "recorded correlation only; no causal relationship is asserted"),
+    ("temporally-precedes", "recorded temporal ordering only; no causal relationship is asserted"),
+    ("contributory-evidence", "recorded contributing evidence only; no causal relationship is asserted"),
+)
 
 
 def reasons(aspects: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -69,3 +75,16 @@ def subject(aspects: DataFrame, retained: DataFrame, name: str, aspect: str | No
     nothing = f"unknown: no evidence has been accepted for the requested aspect of subject '{name}'" if aspect else f"unknown: subject '{name}' has no accepted evidence in this snapshot; absence of evidence is not positive evidence"
     absent = worst.where("code is null").select(F.lit("reason").alias("kind"), F.lit(1).alias("n"), F.lit(nothing).alias("line"))
     return truth.unionByName(absent).unionByName(rows)
+
+
+def causality(observations: DataFrame) -> DataFrame:
+    """observation_id, antecedent, strength, basis, known (the antecedent is among the observations), line: one for each
+    causal reference of observations (observation_id, causal: antecedent, strength, basis). Unknown strengths count as
+    the weakest, and no reference asserts a cause."""
+    each = observations.select("observation_id", F.explode("causal").alias("c")).select("observation_id", "c.antecedent", "c.strength", F.coalesce("c.basis", F.lit("")).alias("basis"))
+    each = each.withColumn("strength", F.when(F.col("strength").isin(*[n for n, _ in CAUSAL]), F.col("strength")).otherwise(CAUSAL[0][0]))
+    said = F.coalesce(*[F.when(F.col("strength") == n, text) for n, text in CAUSAL])
+    basis = F.when(F.col("basis") != "", F.concat(F.lit(" (basis: "), "basis", F.lit(")"))).otherwise("")
+    line = F.concat(F.lit("observation "), F.substring("observation_id", 1, 12), F.lit(" "), "strength", F.lit(" observation "), F.substring("antecedent", 1, 12), basis, F.lit("; "), said)
+    there = observations.select(F.col("observation_id").alias("antecedent"), F.lit(True).alias("known")).distinct()
+    return each.withColumn("line", line).join(there, "antecedent", "left").select("observation_id", "antecedent", "strength", "basis", F.coalesce("known", F.lit(False)).alias("known"), "line")

@@ -270,3 +270,21 @@ def authorities(registry: DataFrame) -> DataFrame:
     """source, authority (its number) of current declarations."""
     number = F.array_position(F.array(*map(F.lit, AUTHORITY)), F.col("authority")).cast("int") - 1
     return registry.where("current").select("source", number.alias("authority"))
+
+
+def recovered(claims: DataFrame, epoch: int) -> DataFrame:
+    """Evidence after a restart: marked as recovered at the restart epoch, so that none of it is fresh by itself."""
+    return claims.drop("recovered", "recovery_epoch").withColumn("recovered", F.lit(True)).withColumn("recovery_epoch", F.lit(epoch).cast("long"))
+
+
+def lineages(records: DataFrame) -> DataFrame:
+    """What sources are remembered by after a restart, from their records alone: the last incarnation in order of name,
+    the SEEN last of them, the highest sequence and generation, the highest epoch of that generation, first and last
+    times, number of records."""
+    top = F.max(F.struct("generation", "epoch"))
+    boots = F.sort_array(F.collect_set("incarnation"))
+    by = records.groupBy("source").agg(
+        F.max("incarnation").alias("incarnation"), boots.alias("boots"), F.max("sequence").alias("sequence"), top.getField("generation").alias("generation"), top.getField("epoch").alias("epoch"),
+        F.min("received_at").alias("first_receive"), F.max("received_at").alias("last_receive"), F.max("observed_at").alias("last_observation"), F.count("*").alias("records"),
+    )
+    return by.withColumn("boots", F.slice("boots", F.greatest(F.size("boots") - SEEN + 1, F.lit(1)), SEEN))

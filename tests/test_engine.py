@@ -220,6 +220,19 @@ def test_a_subject_without_evidence_is_unknown(spark):
     assert len(known) == 1 and known[0]["line"].startswith("link.state: known: 1 fresh source(s) agree")
 
 
+def test_causal_references_assert_no_cause(spark):
+    rows = [("a" * 64, [("b" * 64, "temporally-precedes", "same link"), ("c" * 64, "caused-by", None)]), ("b" * 64, [])]
+    made = {r["antecedent"][0]: r for r in explain.causality(spark.createDataFrame(rows, "observation_id string, causal array<struct<antecedent:string,strength:string,basis:string>>")).collect()}
+    assert made["b"]["known"] and made["b"]["line"] == f"observation {'a' * 12} temporally-precedes observation {'b' * 12} (basis: same link); recorded temporal ordering only; no causal relationship is asserted"
+    assert not made["c"]["known"] and made["c"]["strength"] == "correlates-with" and "(basis" not in made["c"]["line"]
+
+
+def test_lineages_keep_the_last_boots(spark):
+    rows = [claim("a", "up", sequence=k, incarnation=f"b{k:02}", generation=1 + k // 6, epoch=3 - k % 3, n=k) for k in range(1, 12)]
+    r = ingest.lineages(spark.createDataFrame(rows, CLAIM)).first()
+    assert (r["incarnation"], r["sequence"], r["generation"], r["epoch"]) == ("b11", 11, 2, 3) and r["boots"] == [f"b{k:02}" for k in range(4, 12)]
+
+
 def test_content_is_injective(spark):
     rows = [("a", "b\u0001c", None), ("a\u0001b", "c", None), ("a", "b", ""), ("a", "b", None), ("a", "bc", None), ("ab", "c", None)]
     frame = spark.createDataFrame([seen("s", 1, (s, a, v, 0)) for s, a, v in rows], OBSERVATION)
