@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provlake.functions.expressions import sized
 from provlake.model import ASPECTS, AUTHORITY, SECOND
 
 OUTCOME = "source string, arrival_seq long, disposition string, code string"
@@ -40,6 +40,22 @@ class Lineage:
     revisions: dict[tuple[str, str], int] = field(default_factory=dict)
 
 
+class Observation(NamedTuple):
+    """What the fold needs of one observation."""
+
+    source: str
+    incarnation: str
+    sequence: int
+    generation: int
+    epoch: int
+    content: str
+    scope: list[str] | None
+    high: int | None
+    subjects: list[str]
+    aspects: list[str]
+    revisions: list[int]
+
+
 def step(state: Lineage, o, known: frozenset[str] = frozenset()) -> tuple[str, str, list[str]]:
     """Disposition and code of one observation and the fence of each claim ('' for none); accepted ones advance the
     state. known: aspects that may be claimed, if not empty."""
@@ -91,12 +107,11 @@ def nested(claims: DataFrame) -> DataFrame:
 
 def content(observations: DataFrame) -> Column:
     """SHA-256 of what an observation says, without its receive time: each part after its length, null apart from empty,
-    claims in order of subject and aspect."""
-    part = lambda c: F.when(c.isNull(), F.lit(b"-")).otherwise(F.concat(F.lit(b"+"), sized(c.cast("string"))))
+    claims in one order."""
+    part = lambda c: F.when(c.isNull(), "-").otherwise(F.concat(F.octet_length(c.cast("string")), F.lit(":"), c.cast("string")))
     said = [c for c in ENVELOPE if c not in ("received_at", "arrival_seq")] + [c for c in ("schema", "fabric") if c in observations.columns]
-    ordered = F.array_sort(F.transform("claims", lambda c: F.struct(*[c[k].alias(k) for k in SAID])))
-    claims = F.aggregate(ordered, F.lit(b""), lambda s, c: F.concat(s, *[part(c[k]) for k in SAID]))
-    return F.sha2(F.concat(*[part(F.col(c)) for c in said], sized(F.size("claims").cast("string")), claims), 256)
+    claims = F.array_sort(F.transform("claims", lambda c: F.concat(*[part(c[k]) for k in SAID])))
+    return F.sha2(F.concat_ws(",", *[part(F.col(c)) for c in said], F.array_join(F.transform(claims, part), ";")), 256)
 
 
 def checked(observations: DataFrame, schema: str | None = None, fabric: str | None = None, max_skew: int = 5 * SECOND) -> Column:
@@ -122,7 +137,7 @@ def prepared(observations: DataFrame, scopes: DataFrame | None) -> DataFrame:
     frame = observations if "content" in observations.columns else observations.withColumn("content", content(observations))
     frame = frame if "high" in observations.columns else frame.withColumn("high", F.lit(None).cast("long"))
     frame = frame if "checked" in observations.columns else frame.withColumn("checked", F.lit("Ok"))
-    frame = frame.select(*ENVELOPE, "content", each("subject").alias("subjects"), each("aspect").alias("aspects"), revisions.alias("revisions"), "checked", "high")
+    frame = frame.select("source", "incarnation", *[F.col(c).cast("long").alias(c) for c in ENVELOPE[2:]], "content", each("subject").alias("subjects"), each("aspect").alias("aspects"), revisions.alias("revisions"), "checked", "high")
     if scopes is None:
         return frame.withColumn("scope", F.lit(None).cast("array<string>")).select(*FOLDED)
     declared = scopes.groupBy("source").agg(F.flatten(F.collect_list("aspects")).alias("scope"))
@@ -146,20 +161,26 @@ def admit(observations: DataFrame, scopes: DataFrame | None = None, schema: str
         frame = frame.join(registered.select("source").distinct().withColumn("_known", F.lit(True)), "source", "left")
         code = F.when(code != "Ok", code).when(F.col("_known").isNull(), "SourceUnknown").otherwise("Ok")
     frame = frame.withColumn("checked", code)
-    ordered = prepared(frame.where("checked = 'Ok'"), scopes).repartition("source").sortWithinPartitions("source", "arrival_seq")
+    ordered = prepared(frame.where("checked = 'Ok'"), scopes).select(*Observation._fields, "arrival_seq").repartition("source").sortWithinPartitions("source", "arrival_seq")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, state = None, Lineage()
         for batch in batches:
-            batch["high"] = batch["high"].astype(object).where(batch["high"].notna(), None)
+            columns = dict(zip(batch.schema.names, batch.columns))
+            # the claims of all rows at once, cut where each row's end
+            ends = columns["subjects"].value_lengths().to_numpy().cumsum().tolist()
+            flat = {c: columns[c].flatten().to_pylist() for c in ("subjects", "aspects", "revisions")}
+            lists = [[flat[c][a:b] for a, b in zip([0, *ends], ends)] if c in flat else columns[c].to_pylist() for c in Observation._fields]
             out = []
-            for o in batch.itertuples(index=False):
+            for o in map(Observation._make, zip(*lists)):
                 if o.source != source:
                     source, state = o.source, Lineage()
-                out.append((o.source, o.arrival_seq, *step(state, o, known)))
-            yield pd.DataFrame(out, columns=["source", "arrival_seq", "disposition", "code", "fences"])
+                out.append(step(state, o, known))
+            disposition, code, fences = zip(*out) if out else ((), (), ())
+            made = [columns["source"], columns["arrival_seq"], pa.array(disposition, pa.string()), pa.array(code, pa.string()), pa.array(fences, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(made, names=["source", "arrival_seq", "disposition", "code", "fences"])
 
-    folded = ordered.mapInPandas(run, ADMITTED)
+    folded = ordered.mapInArrow(run, ADMITTED)
     refused = frame.where("checked <> 'Ok'").select("source", F.col("arrival_seq").cast("long").alias("arrival_seq"), F.lit("rejected").alias("disposition"), F.col("checked").alias("code"), F.transform("claims", lambda c: F.lit("")).alias("fences"))
     return folded.unionByName(refused)
 
