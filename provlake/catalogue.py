@@ -146,19 +146,21 @@ def source_summary(spark, d):
     return by.withColumn("freshness", x.named(("fresh", "aging", "stale"), x.freshness(F.col("at"), F.col("last_observation"), F.col("last_receive"), F.lit(False), POLICY.fresh, POLICY.aging))).drop("at")
 
 
-def _filtered(name: str, wanted: query.Filter, where: str, limit: int = 4096) -> None:
+def _filtered(name: str, wanted: query.Filter, where: str) -> None:
+    first = f" and subject in (select distinct subject from asp where {where} order by subject limit {wanted.limit})" if wanted.limit else ""
+
     def run(spark, d):
         return query.run(_snapshot(spark, d).aspects, wanted).select("subject", "aspect", "truth", "agreed")
 
     run.__name__ = name
-    _query(_with(f"select subject, aspect, truth, agreed from asp where {where} and subject in (select distinct subject from asp where {where} order by subject limit {limit})"))(run)
+    _query(_with(f"select subject, aspect, truth, agreed from asp where {where}{first}"))(run)
 
 
 _filtered("query_kind", query.Filter(kind="device"), "subject like 'device/%'")
 _filtered("query_domain", query.Filter(domains=("link", "failure")), "split_part(aspect, '.', 1) in ('link', 'failure')")
 _filtered("query_truth", query.Filter(truths=("conflicting", "stale")), "truth in ('conflicting', 'stale')")
 _filtered("query_aspect", query.Filter(aspect="operational.health"), "aspect = 'operational.health'")
-_filtered("query_limit", query.Filter(limit=7), "true", 7)
+_filtered("query_limit", query.Filter(limit=7), "true")
 
 
 @_query(_with("select least(count(distinct subject), 8) as scanned_subjects, least(count(distinct subject), 7) as matched_subjects, count(*) filter (subject in (select distinct subject from asp order by subject limit 7)) as matched_aspects, count(distinct subject) > 7 as truncated from asp"))
@@ -173,76 +175,69 @@ def retained_records(spark, d):
 
 _FOREST = """nodes as (select 'site/' || lpad(cast(r_regionkey as varchar), 10, '0') as node, 'site' as kind, null as parent from region
  union all select 'pod/' || lpad(cast(n_nationkey as varchar), 10, '0'), 'pod', 'site/' || lpad(cast(n_regionkey as varchar), 10, '0') from nation
- union all select 'rack/' || lpad(cast(c_custkey as varchar), 10, '0'), 'rack', 'pod/' || lpad(cast(c_nationkey as varchar), 10, '0') from customer where c_custkey % 50 <> 0{orders})"""
-_ORDERS = " union all select 'device/' || lpad(cast(o_orderkey as varchar), 10, '0'), 'device', 'rack/' || lpad(cast(o_custkey as varchar), 10, '0') from orders"
-
-
-_WHOLE = _FOREST.format(orders=_ORDERS + " union all select distinct 'port/' || lpad(cast(l_orderkey as varchar), 10, '0') || '/' || l_linenumber, 'port', 'device/' || lpad(cast(l_orderkey as varchar), 10, '0') from lineitem").replace(" where c_custkey % 50 <> 0", "")
-
-
-def _trimmed(spark: SparkSession, d: str) -> DataFrame:
-    """The forest that the oracle of the older queries describes; the queries named whole_ have all of it."""
-    return events.forest(spark, d, fiftieths=False, ports=False)
+ union all select 'rack/' || lpad(cast(c_custkey as varchar), 10, '0'), 'rack', 'pod/' || lpad(cast(c_nationkey as varchar), 10, '0') from customer
+ union all select 'device/' || lpad(cast(o_orderkey as varchar), 10, '0'), 'device', 'rack/' || lpad(cast(o_custkey as varchar), 10, '0') from orders
+ union all select distinct 'port/' || lpad(cast(l_orderkey as varchar), 10, '0') || '/' || l_linenumber, 'port', 'device/' || lpad(cast(l_orderkey as varchar), 10, '0') from lineitem)"""
 
 
-def _walked(orders: bool, start: str, depth: int, forest: str = "") -> str:
-    return f"with recursive {forest or _FOREST.format(orders=_ORDERS if orders else '')}, w as (select node, kind, 0 as depth, node as path from nodes n where ({start}) union all select n.node, n.kind, depth + 1, path || '>' || n.node from w join nodes n on n.parent = w.node where depth < {depth}) select node, kind, cast(depth as int) as depth, path from w"
+def _walked(start: str, depth: int) -> str:
+    return f"with recursive {_FOREST}, w as (select node, kind, 0 as depth, node as path from nodes n where ({start}) union all select n.node, n.kind, depth + 1, path || '>' || n.node from w join nodes n on n.parent = w.node where depth < {depth}) select node, kind, cast(depth as int) as depth, path from w"
 
 
 _ROOT = "parent is null or parent not in (select node from nodes)"
 
 
-@_query(_walked(True, _ROOT, 16))
+@_query(_walked(_ROOT, 16))
 def hierarchy_walk(spark, d):
-    return hierarchy.walk(_trimmed(spark, d))
+    return hierarchy.walk(events.forest(spark, d))
 
 
-@_query(_walked(True, _ROOT, 1))
+@_query(_walked(_ROOT, 1))
 def hierarchy_depth_limited(spark, d):
-    return hierarchy.walk(_trimmed(spark, d), depth=1)
+    return hierarchy.walk(events.forest(spark, d), depth=1)
 
 
-@_query(_walked(True, _ROOT, 2).replace("select node, kind, cast(depth as int) as depth, path from w", "select count(*) filter (depth < 2) as nodes, cast(max(depth) filter (depth < 2) as int) as max_depth_reached, count(*) filter (depth = 2) as depth_limited, count(*) filter (depth = 2) > 0 as truncated from w"))
+@_query(_walked(_ROOT, 2).replace("select node, kind, cast(depth as int) as depth, path from w", "select count(*) filter (depth < 2) as nodes, cast(max(depth) filter (depth < 2) as int) as max_depth_reached, count(*) filter (depth = 2) as depth_limited, count(*) filter (depth = 2) > 0 as truncated from w"))
 def hierarchy_depth_limited_header(spark, d):
-    return hierarchy.header(_trimmed(spark, d), depth=1)
+    return hierarchy.header(events.forest(spark, d), depth=1)
 
 
-@_query(_walked(True, f"({_ROOT}) and kind = 'device'", 16))
+@_query(_walked(f"({_ROOT}) and kind = 'device'", 16))
 def hierarchy_root_kind(spark, d):
-    return hierarchy.walk(_trimmed(spark, d), "device")
+    return hierarchy.walk(events.forest(spark, d), "device")
 
 
-@_query(f"with {_FOREST.format(orders=_ORDERS)} select node, kind, parent is not null as absent from nodes where {_ROOT}")
+@_query(f"with {_FOREST} select node, kind, parent is not null as absent from nodes where {_ROOT}")
 def hierarchy_unattached(spark, d):
-    return hierarchy.roots(_trimmed(spark, d))
+    return hierarchy.roots(events.forest(spark, d))
 
 
-@_query(_walked(True, "node = 'pod/0000000003'", 16).replace("select node, kind, cast(depth as int) as depth, path from w", "select node, cast(depth as int) as depth from w"))
+@_query(_walked("node = 'pod/0000000003'", 16).replace("select node, kind, cast(depth as int) as depth, path from w", "select node, cast(depth as int) as depth from w"))
 def query_subtree(spark, d):
-    return query.subtree(_trimmed(spark, d), "pod/0000000003")
+    return query.subtree(events.forest(spark, d), "pod/0000000003")
 
 
-@_query(_walked(True, _ROOT, 16, _WHOLE))
+@_query(_walked(_ROOT, 16))
 def whole_hierarchy_walk(spark, d):
     return hierarchy.walk(events.forest(spark, d))
 
 
-@_query(_walked(True, _ROOT, 1, _WHOLE))
+@_query(_walked(_ROOT, 1))
 def whole_hierarchy_depth_limited(spark, d):
     return hierarchy.walk(events.forest(spark, d), depth=1)
 
 
-@_query(_walked(True, f"({_ROOT}) and kind = 'site'", 16, _WHOLE))
+@_query(_walked(f"({_ROOT}) and kind = 'site'", 16))
 def whole_hierarchy_root_kind(spark, d):
     return hierarchy.walk(events.forest(spark, d), "site")
 
 
-@_query(f"with {_WHOLE} select node, kind, parent is not null as absent from nodes where {_ROOT}")
+@_query(f"with {_FOREST} select node, kind, parent is not null as absent from nodes where {_ROOT}")
 def whole_hierarchy_unattached(spark, d):
     return hierarchy.roots(events.forest(spark, d))
 
 
-@_query(_walked(True, "node = 'pod/0000000003'", 16, _WHOLE).replace("select node, kind, cast(depth as int) as depth, path from w", "select node, cast(depth as int) as depth from w"))
+@_query(_walked("node = 'pod/0000000003'", 16).replace("select node, kind, cast(depth as int) as depth, path from w", "select node, cast(depth as int) as depth from w"))
 def whole_query_subtree(spark, d):
     return query.subtree(events.forest(spark, d), "pod/0000000003")
 
@@ -579,7 +574,7 @@ def observed_hierarchy(spark, d):
     return hierarchy.walk(Snapshot(_placements(spark, d), Policy()).parents)
 
 
-@_query(_walked(True, "node = 'site/0000000002'", 16, _WHOLE).replace("select node, kind, cast(depth as int) as depth, path from w", "select node, kind, cast(depth as int) as depth, path from w order by path limit 500"))
+@_query(_walked("node = 'site/0000000002'", 16).replace("select node, kind, cast(depth as int) as depth, path from w", "select node, kind, cast(depth as int) as depth, path from w order by path limit 500"))
 def hierarchy_root_limit(spark, d):
     return hierarchy.walk(events.forest(spark, d), root="site/0000000002", limit=500)
 

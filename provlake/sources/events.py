@@ -52,20 +52,13 @@ def declarations(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "source string, name string, authority string, aspects array<string>, declared_seq long")
 
 
-def forest(spark: SparkSession, sf_dir: str, fiftieths: bool = True, ports: bool = True) -> DataFrame:
-    """node, kind, parent: regions, nations, customers, orders, and the ports that line items name.
-
-    fiftieths: False leaves out each fiftieth customer, so that the parents of its orders are absent; ports: False
-    leaves out the ports. Line items repeat ports, so these are made distinct.
-    """
+def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node, kind, parent: regions, nations, customers, orders, and the ports that line items name, each once."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     up = lambda kind, key: F.concat(F.lit(f"{kind}/"), F.lpad(F.col(key).cast("string"), 10, "0"))
     node = lambda frame, kind, key, parent: frame.select(up(kind, key).alias("node"), F.lit(kind).alias("kind"), parent.alias("parent"))
-    customers = read("customer") if fiftieths else read("customer").where("c_custkey % 50 <> 0")
     out = node(read("region"), "site", "r_regionkey", F.lit(None).cast("string"))
-    for part in (node(read("nation"), "pod", "n_nationkey", up("site", "n_regionkey")), node(customers, "rack", "c_custkey", up("pod", "c_nationkey")), node(read("orders"), "device", "o_orderkey", up("rack", "o_custkey"))):
+    for part in (node(read("nation"), "pod", "n_nationkey", up("site", "n_regionkey")), node(read("customer"), "rack", "c_custkey", up("pod", "c_nationkey")), node(read("orders"), "device", "o_orderkey", up("rack", "o_custkey"))):
         out = out.unionByName(part)
-    if not ports:
-        return out
     pairs = read("lineitem").select("l_orderkey", "l_linenumber").distinct()
     return out.unionByName(pairs.select(F.concat(up("port", "l_orderkey"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("node"), F.lit("port").alias("kind"), up("device", "l_orderkey").alias("parent")))
