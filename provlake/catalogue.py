@@ -11,7 +11,7 @@ from provlake.functions import expressions as x
 from provlake.model import STATUS, Policy
 from provlake.operators import compose, diff, explain, hierarchy, ingest, query
 from provlake.plans.snapshots import Snapshot
-from provlake.sources import events
+from provlake.sources import events, results
 
 DAY = events.DAY
 POLICY = Policy(fresh=DAY, aging=3 * DAY)
@@ -579,6 +579,74 @@ def hierarchy_root_limit(spark, d):
     return hierarchy.walk(events.forest(spark, d), root="site/0000000002", limit=500)
 
 
+_WORST = "case min(code) when 1 then 'unsupported' when 2 then 'conflicting' when 3 then 'stale' when 4 then 'incomplete' else 'known' end"
+_UTC = "strftime(make_timestamp({0} // 1000), '%Y-%m-%dT%H:%M:%S.%f') || lpad(cast({0} % 1000 as varchar), 3, '0') || 'Z'"
+_FRESH = "case freshness when 0 then 'fresh' when 1 then 'aging' else 'stale' end"
+
+
+@_query(_with("").rstrip() + f""", cj as (select subject, aspect, list({{'value': value, 'sources': sources, 'fresh_sources': cast(n as varchar)}} order by value) as conflicts from (select subject, aspect, value, list(distinct source order by source) as sources, count(distinct source) as n, count(*) over (partition by subject, aspect) as vs from kept where assertive group by 1, 2, 3) where vs > 1 group by 1, 2),
+ cl as (select subject, aspect, list({{'source': source, 'incarnation': incarnation, 'authority': 'reported', 'sequence': cast(sequence as varchar), 'value': value, 'supported': supported, 'freshness': {_FRESH}, 'observed_at': cast(observed_at as varchar), 'observed_at_utc': {_UTC.format("observed_at")},
+  'received_at': cast(received_at as varchar), 'received_at_utc': {_UTC.format("received_at")}, 'recovered': recovered, 'superseded_generation': old_generation, 'superseded_epoch': old_epoch, 'superseded_incarnation': old_incarnation, 'superseded_sequence': old_sequence}} order by source, incarnation, sequence) as claims from kept group by 1, 2),
+ st as (select {_ASPECT}, code, ns, {_NEED} as need, code in (2, 5) and fresh >= ns and best >= na as satisfied from asp)
+ select cast(to_json({{'subject': subject, 'kind': split_part(subject, '/', 1), 'topology_truth': 'unknown', 'worst_truth': {_WORST}, 'aspects': list({{'aspect': aspect, 'domain': split_part(aspect, '.', 1), 'truth': truth, 'agreed_value': agreed,
+  'coverage': {{'distinct_fresh_sources': cast(fresh_sources as varchar), 'required_distinct_fresh_sources': cast(ns as varchar), 'best_fresh_authority': best_authority, 'required_authority': need, 'satisfied': satisfied}}, 'conflicts': coalesce(conflicts, []), 'claims': claims}} order by aspect)}}) as varchar) as value
+ from st join cl using (subject, aspect) left join cj using (subject, aspect) group by subject""")
+def subjects_json(spark, d):
+    return results.as_json(_snapshot(spark, d).subjects())
+
+
+@_query(_with("").rstrip() + f""", st as (select {_ASPECT}, code, ns, {_NEED} as need from asp),
+ g as (select subject, aspect, value, count(distinct source) as n, count(*) over (partition by subject, aspect) as vs from kept where assertive group by 1, 2, 3)
+ select subject, '' as aspect, 0 as place, '' as key, '  subject ' || subject || ' worst=' || {_WORST} as line from st group by 1
+ union all select subject, aspect, 1, '', '    aspect ' || aspect || ' ' || truth || coalesce(' value="' || agreed || '"', '') || ' fresh_sources=' || fresh_sources || '/' || ns || ' authority=' || best_authority || '/' || need from st
+ union all select subject, aspect, 2, value, '      conflict "' || value || '" sources=' || n from g where vs > 1
+ union all select subject, aspect, 3, source || ' ' || incarnation || ' ' || lpad(cast(sequence as varchar), 20, '0'), '      claim ' || source || ' seq=' || sequence || ' ' || {_FRESH} || ' value="' || value || '"' || (case when supported then '' else ' unsupported' end)
+  || (case when old_generation then ' superseded-generation' else '' end) || (case when old_epoch then ' superseded-epoch' else '' end) || (case when old_incarnation then ' superseded-incarnation' else '' end) || (case when old_sequence then ' superseded-sequence' else '' end) || (case when recovered then ' recovered' else '' end) from kept""")
+def snapshot_summary(spark, d):
+    return _snapshot(spark, d).summary()
+
+
+@_query(_with("select subject, aspect, truth, agreed from asp where subject = 'device/d3' and aspect = 'link.state'"))
+def aspect_lookup(spark, d):
+    return _snapshot(spark, d).aspect("device/d3", "link.state").select("subject", "aspect", "truth", "agreed")
+
+
+@_query(_with("select source, count(*) as records, max(sequence) as last_sequence, any_value(current) as current from obs join ci using (source) where source = 'source/s2' group by 1"))
+def source_lookup(spark, d):
+    return _snapshot(spark, d).source("source/s2").select("source", "records", "last_sequence", "current")
+
+
+@_query(f"with {_PLACED} select kind, count(distinct subject) as subjects from (select unnest(['fabric', 'site', 'pod', 'rack', 'device', 'port', 'link', 'path']) as kind) left join obs on split_part(subject, '/', 1) = kind group by 1")
+def stats_by_kind(spark, d):
+    return compose.stats_by_kind(Snapshot(_placements(spark, d), Policy()).aspects)
+
+
+@_query(_with("").rstrip() + f""", content as (select 'aspect' as part, subject as key, concat_ws('|', aspect, truth, coalesce(agreed, '~')) as line from asp where truth = 'known'), {_DIGEST} select sha256(concat_ws('|', high, high_epoch, digest)) as digest from digest, hw, ep""")
+def query_digest_of_snapshot(spark, d):
+    s = _snapshot(spark, d)
+    return query.result_digest(query.run(s.aspects, query.Filter.from_json('{"truths": ["known"]}')), s.header())
+
+
+@_query(_walked(_ROOT, 16).replace("select node, kind, cast(depth as int) as depth, path from w", f"content as (select 'node' as part, node as key, concat_ws('|', kind, depth, path) as line from w), {_DIGEST} select digest from digest").replace(") content as", "), content as"))
+def hierarchy_digest(spark, d):
+    return hierarchy.digest(hierarchy.walk(events.forest(spark, d)))
+
+
+@_query(_SQL["diff_aspects"].replace(" select b.subject, b.aspect,", ", changes as (select b.subject, b.aspect,", 1) + f"), content as (select 'change' as part, subject as key, concat_ws('|', aspect, truth_before, truth, coalesce(agreed_before, '~'), coalesce(agreed, '~')) as line from changes), {_DIGEST} select digest from digest")
+def diff_digest(spark, d):
+    none = spark.createDataFrame([], "subject string")
+    return diff.digest(diff_aspects(spark, d), none, none)
+
+
+@_query(f"with {_PLACED}, b as (select distinct subject from obs where source <> 'source/a'), l as (select distinct subject from obs where source <> 'source/c') select subject, 'added' as change from l where subject not in (from b) union all select subject, 'removed' from b where subject not in (from l)")
+def diff_places(spark, d):
+    """Subjects that come and go, of two sides that both grow with the tables."""
+    rows = _placements(spark, d)
+    before, after = rows.where("source <> 'source/a'"), rows.where("source <> 'source/c'")
+    changed = lambda frame, name: frame.withColumn("change", F.lit(name))
+    return changed(diff.subjects_added(before, after), "added").unionByName(changed(diff.subjects_added(after, before), "removed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

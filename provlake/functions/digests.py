@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def headed(digest: DataFrame, head: DataFrame | None) -> DataFrame:
+    """digest with the generation and epoch of a snapshot's header, if one is given."""
+    if head is None:
+        return digest
+    return digest.crossJoin(F.broadcast(head.select("generation", "epoch"))).select(F.sha2(F.concat_ws("|", "generation", "epoch", "digest"), 256).alias("digest"))
+
+
 def digest_of(content: DataFrame) -> DataFrame:
     """digest: one row, SHA-256 of rows (part, key, line), whatever their order.
 

@@ -88,7 +88,8 @@ def real_bits(number: pd.Series) -> pd.Series:
 
 
 def canon(kind: Column, value: Column) -> Column:
-    """Injective text of a scalar value: n, b:1, i:-5, u:7, r:<16 hex> (value is the 16 digits), s:<bytes>:<text>, x:<hex>."""
+    """Injective text of a scalar value: n, b:1, i:-5, u:7, r:<digits that tell the double from all others>,
+    s:<bytes>:<text>, x:<hex>."""
     tag = F.concat(F.substring(kind, 1, 1), F.lit(":"), value)
     text = F.concat(F.lit("s:"), F.octet_length(value), F.lit(":"), value)
     scalar = F.when(kind == "null", "n").when(kind == "bool", F.concat(F.lit("b:"), F.when(value == "true", "1").otherwise("0")))
@@ -112,6 +113,82 @@ def canon_map(entries: Column) -> Column:
     return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.concat(F.lit("m{"), text, F.lit("}")))
 
 
+#: Levels of a nested value.
+LEVELS = 8
+ENVELOPE = "struct<k:string,v:string>"
+
+
+def _scalar(kind: Column, value: Column) -> Column:
+    """Canonical text of a scalar from its envelope's members; null where they don't go together."""
+    digits, real = value.rlike("^[0-9]+$"), value.try_cast("double")
+    whole = F.when(value.rlike("^-?[0-9]+$"), value.try_cast("long")).cast("string")
+    natural = F.when(digits & (value.try_cast("decimal(38,0)") <= F.lit("18446744073709551615").cast("decimal(38,0)")), value.try_cast("decimal(38,0)")).cast("string")
+    # a double's shortest text tells it from every other, and -0.0 from 0.0
+    finite = F.when(value.rlike("^-?[0-9]") & (F.abs(real) < float("inf")), real).cast("string")
+    blob = F.when(value.rlike("^([0-9a-fA-F]{2})*$"), value)
+    made = F.when(kind == "null", F.lit("")).when(kind == "bool", F.when(value.isin("true", "false"), value)).when(kind == "int", whole)
+    made = made.when(kind == "uint", natural).when(kind == "real", finite).when(kind == "text", value).when(kind == "blob", blob)
+    return F.when(made.isNotNull(), canon(kind, made))
+
+
+def canon_json(kind: Column, value: Column, levels: int = LEVELS) -> Column:
+    """Canonical text of a value from its envelope {"k": kind, "v": ...}, where value is v as text: of lists (arrays of
+    envelopes) and maps (arrays of {"k": key, "v": envelope}) too, down to so many levels. Null where kind and value
+    don't go together, a map repeats a key, or the levels don't suffice."""
+    scalar = _scalar(kind, value)
+    if levels == 1:
+        return scalar
+    inner = lambda e: F.when(kind == "map", F.from_json(e["v"], ENVELOPE)).otherwise(e)
+    items = F.transform(F.from_json(value, f"array<{ENVELOPE}>"), lambda e: F.struct(F.when(kind == "map", e["k"]).alias("key"), inner(e).alias("of")))
+    texts = F.transform(items, lambda i: F.struct(i["key"].alias("key"), canon_json(i["of"]["k"], i["of"]["v"], levels - 1).alias("value")))
+    odd = lambda t: F.exists(t, lambda i: i["value"].isNull() | ((kind == "map") & i["key"].isNull()))
+    whole = lambda t: F.when(~odd(t), F.when(kind == "map", canon_map(t)).otherwise(canon_list(F.transform(t, lambda i: i["value"]))))
+    # an array of one binds the texts, so that they are made once
+    return F.when(kind.isin("list", "map"), F.get(F.transform(F.array(texts), whole), F.lit(0))).otherwise(scalar)
+
+
+def members(*columns: Column) -> Column:
+    """The members of a JSON object, without its braces, of columns by name; null ones are left out."""
+    text = F.to_json(F.struct(*columns))
+    return F.nullif(F.substring(text, F.lit(2), F.length(text) - 2), F.lit(""))
+
+
+def envelope(kind: Column, value: Column) -> Column:
+    """The envelope of a value as JSON text: numbers, arrays and truth values as they are, all else as strings."""
+    bare = F.when(kind == "null", "null").when(kind.isin("bool", "real", "list", "map"), value)
+    return F.concat(F.lit('{"k":"'), kind, F.lit('",'), F.coalesce(F.concat(F.lit('"v":'), bare), members(value.alias("v"))), F.lit("}"))
+
+
+def identifier(text: Column, most: int = 64) -> Column:
+    """Whether a text is a name: of a-z, 0-9 and ._-, not empty, within so many bytes."""
+    return F.coalesce(text.rlike("^[a-z0-9._-]+\\z") & (F.octet_length(text) <= most), F.lit(False))
+
+
+def authority_name(text: Column) -> Column:
+    """Whether a text may name an authority: a name that has capitals, @ and : as well."""
+    return F.coalesce(text.rlike("^[A-Za-z0-9._@:-]+\\z") & (F.octet_length(text) <= 64), F.lit(False))
+
+
+def number_of(codes: tuple[str, ...], name: Column) -> Column:
+    """The number of a name among codes; null if it is none of them."""
+    place = F.array_position(F.array(*map(F.lit, codes)), name).cast("int")
+    return F.when(place > 0, place - 1)
+
+
+def escaped(text: Column) -> Column:
+    """A text in quotes, with backslashes before quotes and backslashes, and control characters as \\n, \\r, \\t or \\x and
+    two digits."""
+    marks = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    for c, shown in (marks | {chr(n): f"\\x{n:02x}" for n in (*range(32), 127) if chr(n) not in marks}).items():
+        text = F.replace(text, F.lit(c), F.lit(shown))
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+def saturating_sum(numbers: Column, limit: int = MAX) -> Column:
+    """Sum of a column of longs that are not negative, at most limit."""
+    return F.least(F.coalesce(F.sum(numbers.cast("decimal(38,0)")), F.lit(0)), F.lit(limit).cast("decimal(38,0)")).cast("long")
+
+
 def port(device: Column, index: Column) -> Column:
     """port:<device>/<index>, with the device's text form."""
     return F.concat(F.lit("port:"), device, F.lit("/"), index.cast("string"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provlake.functions.expressions import freshness, named
-from provlake.model import AUTHORITY, CLAIMS_PER_ASPECT, FRESHNESS, TRUTH, Policy
+from provlake.model import AUTHORITY, CLAIMS_PER_ASPECT, FRESHNESS, KINDS, TRUTH, Policy
 
 
 def _by_source(claims: DataFrame) -> DataFrame:
@@ -133,5 +133,12 @@ def source_summary(claims: DataFrame, policy: Policy, evaluated: Column, registr
     return by.withColumn("freshness", F.when(F.col("last_receive").isNull(), "stale").otherwise(verdict))
 
 
+def stats_by_kind(aspects: DataFrame) -> DataFrame:
+    """kind, subjects: of every kind, also those without subjects."""
+    kinds = aspects.sparkSession.createDataFrame([(k,) for k in KINDS], "kind string")
+    by = aspects.select("subject").distinct().groupBy(F.substring_index("subject", "/", 1).alias("kind")).agg(F.count("*").alias("subjects"))
+    return kinds.join(by, "kind", "left").fillna(0, ["subjects"])
+
+
 def stats(aspects: DataFrame) -> DataFrame:
     return aspects.groupBy("truth").agg(F.count("*").alias("aspects"))

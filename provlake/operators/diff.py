@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provlake.functions.digests import digest_of
 from provlake.model import CHANGES_PER_DIFF
 
 
@@ -57,6 +58,21 @@ def header(before: DataFrame, after: DataFrame, changes: DataFrame, added: DataF
     return row.select("*", (F.col("generation_before") != F.col("generation_after")).alias("generation_changed"), (F.col("epoch_before") != F.col("epoch_after")).alias("epoch_changed"), F.least("n", F.lit(most)).alias("changes"), (F.col("n") > most).alias("truncated")).drop("n")
 
 
+def restarts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: restart_observed, restarts_between (0 where the count falls) of two headers of snapshots."""
+    pick = lambda frame, end: frame.select(F.col("restart_epoch").alias(f"e_{end}"), F.col("restart_count").alias(f"n_{end}"))
+    return pick(before, "b").crossJoin(pick(after, "a")).select((F.col("e_b") != F.col("e_a")).alias("restart_observed"), F.greatest(F.col("n_a") - F.col("n_b"), F.lit(0)).alias("restarts_between"))
+
+
+def digest(changes: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """digest: one row, SHA-256 of the changes and of the subjects that came and went, whatever their order."""
+    text = lambda *c: F.concat_ws("|", *[F.coalesce(F.col(k), F.lit("~")) for k in c])
+    rows = changes.select(F.lit("change").alias("part"), F.col("subject").alias("key"), text("aspect", "truth_before", "truth", "agreed_before", "agreed").alias("line"))
+    for part, frame in (("added", added), ("removed", removed)):
+        rows = rows.unionByName(frame.select(F.lit(part).alias("part"), F.col("subject").alias("key"), F.lit("").alias("line")))
+    return digest_of(rows)
+
+
 def first(changes: DataFrame, most: int = CHANGES_PER_DIFF) -> DataFrame:
     """The changes within the bound, by subject and aspect; header tells whether there are more."""
     return changes.orderBy("subject", "aspect").limit(most)

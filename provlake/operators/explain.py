@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provlake.functions.expressions import format_utc, named
+from provlake.functions.expressions import escaped, format_utc, named
 from provlake.model import AUTHORITY, FRESHNESS, TRUTH
 
 #: Most lines of each kind in an explanation.
@@ -39,6 +39,29 @@ def reasons(aspects: DataFrame, conflicts: DataFrame) -> DataFrame:
     return a.select("subject", "aspect", text.alias("reason"))
 
 
+#: Fixed texts: marks of a claim in a summary.
+MARKS = (
+    ("not supported", " unsupported"), ("old_generation", " superseded-generation"), ("old_epoch", " superseded-epoch"),
+    ("old_incarnation", " superseded-incarnation"), ("old_sequence", " superseded-sequence"), ("recovered", " recovered"),
+)
+
+
+def summary(aspects: DataFrame, retained: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """subject, aspect, place, key, line: a line for each subject (place 0, no aspect), aspect (1), conflict (2) and
+    claim (3). Fixed texts."""
+    shown = lambda c: escaped(F.coalesce(c, F.lit("")))
+    worst = aspects.groupBy("subject").agg(named(TRUTH, F.min("truth_code")).alias("w"))
+    row = lambda frame, aspect, place, key, *said: frame.select("subject", aspect.alias("aspect"), F.lit(place).alias("place"), key.alias("key"), F.concat(*said).alias("line"))
+    value = F.when(F.col("agreed").isNotNull(), F.concat(F.lit(" value="), shown(F.col("agreed")))).otherwise("")
+    name, none = F.col("aspect"), F.lit("")
+    rows = row(worst, none, 0, none, F.lit("  subject "), F.col("subject"), F.lit(" worst="), F.col("w"))
+    rows = rows.unionByName(row(aspects, name, 1, none, F.lit("    aspect "), name, F.lit(" "), F.col("truth"), value, F.lit(" fresh_sources="), F.col("fresh_sources"), F.lit("/"), F.col("need_sources"), F.lit(" authority="), F.col("best_authority"), F.lit("/"), F.col("need_authority")))
+    rows = rows.unionByName(row(conflicts, name, 2, F.col("value"), F.lit("      conflict "), shown(F.col("value")), F.lit(" sources="), F.col("n_sources")))
+    marks = [F.when(F.expr(c), text).otherwise("") for c, text in MARKS]
+    key = F.concat_ws(" ", "source", "incarnation", F.lpad(F.col("sequence").cast("string"), 20, "0"))
+    return rows.unionByName(row(retained, name, 3, key, F.lit("      claim "), F.col("source"), F.lit(" seq="), F.col("sequence"), F.lit(" "), named(FRESHNESS, F.col("freshness")), F.lit(" value="), shown(F.col("value")), *marks))
+
+
 def evidence_lines(records: DataFrame) -> DataFrame:
     """subject, aspect, line: one for each retained claim."""
     flags = [F.when(F.expr(c), text).otherwise("") for c, text in FLAGS] + [F.when(F.col("recovered"), " [recovered from persistence]").otherwise("")]

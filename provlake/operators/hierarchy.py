@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provlake.functions.digests import digest_of
 from provlake.model import DEPTH
 
 
@@ -62,6 +63,11 @@ def header(nodes: DataFrame, kind: str | None = None, depth: int = DEPTH, root:
     return seen.agg(F.count_if(inside).alias("nodes"), F.coalesce(F.max(F.when(inside, F.col("depth"))), F.lit(0)).alias("max_depth_reached"), beyond.alias("depth_limited"), ((beyond > 0) | cut).alias("truncated"))
 
 
+def digest(walked: DataFrame) -> DataFrame:
+    """digest: one row, SHA-256 of the nodes of a walk, their depths and paths, whatever their order."""
+    return digest_of(walked.select(F.lit("node").alias("part"), F.col("node").alias("key"), F.concat_ws("|", "kind", "depth", "path").alias("line")))
+
+
 def limited(nodes: DataFrame, walked: DataFrame, depth: int) -> DataFrame:
     """One row: depth_limited and truncated of nodes (node, depth) that were walked down to the depth."""
     beyond = nodes.join(walked.where(F.col("depth") == depth).select(F.col("node").alias("parent")), "parent", "left_semi")

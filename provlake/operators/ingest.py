@@ -144,11 +144,14 @@ def prepared(observations: DataFrame, scopes: DataFrame | None) -> DataFrame:
     return frame.join(declared, "source", "left").select(*FOLDED)
 
 
-def admit(observations: DataFrame, scopes: DataFrame | None = None, schema: str | None = None, fabric: str | None = None, max_skew: int = 5 * SECOND, known_only: bool = False, registered: DataFrame | None = None) -> DataFrame:
+def admit(
+    observations: DataFrame, scopes: DataFrame | None = None, schema: str | None = None, fabric: str | None = None, max_skew: int = 5 * SECOND, known_only: bool = False, registered: DataFrame | None = None, resumed: DataFrame | None = None
+) -> DataFrame:
     """Outcome of every observation, in order of arrival per source: disposition, code, and the fence of each claim.
 
     scopes: source, aspects; claims of other aspects of a source that is in it are fenced. known_only: claims of aspects
-    that aren't well known are fenced. registered: sources (source) that alone are taken.
+    that aren't well known are fenced. registered: sources (source) that alone are taken. resumed: lineages of sources,
+    which the fold goes on from; revisions aren't among what is remembered.
 
     A source's order cannot be split, but its rows need not be held: rows are sorted within partitions by source and
     arrival, and the fold runs over Arrow batches with one source's lineage in memory at a time.
@@ -161,7 +164,10 @@ def admit(observations: DataFrame, scopes: DataFrame | None = None, schema: str
         frame = frame.join(registered.select("source").distinct().withColumn("_known", F.lit(True)), "source", "left")
         code = F.when(code != "Ok", code).when(F.col("_known").isNull(), "SourceUnknown").otherwise("Ok")
     frame = frame.withColumn("checked", code)
-    ordered = prepared(frame.where("checked = 'Ok'"), scopes).select(*Observation._fields, "arrival_seq").repartition("source").sortWithinPartitions("source", "arrival_seq")
+    ordered = prepared(frame.where("checked = 'Ok'"), scopes).select(*Observation._fields, "arrival_seq")
+    if resumed is not None:
+        ordered = ordered.unionByName(_remembered(resumed, ordered))
+    ordered = ordered.repartition("source").sortWithinPartitions("source", F.asc_nulls_first("arrival_seq"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, state = None, Lineage()
@@ -171,13 +177,16 @@ def admit(observations: DataFrame, scopes: DataFrame | None = None, schema: str
             ends = columns["subjects"].value_lengths().to_numpy().cumsum().tolist()
             flat = {c: columns[c].flatten().to_pylist() for c in ("subjects", "aspects", "revisions")}
             lists = [[flat[c][a:b] for a, b in zip([0, *ends], ends)] if c in flat else columns[c].to_pylist() for c in Observation._fields]
-            out = []
-            for o in map(Observation._make, zip(*lists)):
+            out, arrived = [], columns["arrival_seq"].is_valid()
+            for o, here in zip(map(Observation._make, zip(*lists)), arrived.to_pylist()):
                 if o.source != source:
                     source, state = o.source, Lineage()
-                out.append(step(state, o, known))
+                if here:
+                    out.append(step(state, o, known))
+                else:
+                    state = Lineage(o.incarnation, o.sequence, o.generation, o.epoch, o.content, o.scope)
             disposition, code, fences = zip(*out) if out else ((), (), ())
-            made = [columns["source"], columns["arrival_seq"], pa.array(disposition, pa.string()), pa.array(code, pa.string()), pa.array(fences, pa.list_(pa.string()))]
+            made = [columns["source"].filter(arrived), columns["arrival_seq"].filter(arrived), pa.array(disposition, pa.string()), pa.array(code, pa.string()), pa.array(fences, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(made, names=["source", "arrival_seq", "disposition", "code", "fences"])
 
     folded = ordered.mapInArrow(run, ADMITTED)
@@ -185,6 +194,13 @@ def admit(observations: DataFrame, scopes: DataFrame | None = None, schema: str
     return folded.unionByName(refused)
 
 
+def _remembered(resumed: DataFrame, ordered: DataFrame) -> DataFrame:
+    """A row for each lineage that comes before its source's first arrival: without arrival_seq, the boots as scope."""
+    had = {"content": F.coalesce("content", F.lit("")) if "content" in resumed.columns else F.lit(""), "scope": F.col("boots"), "high": F.lit(None), "arrival_seq": F.lit(None)}
+    had |= {c: F.array() for c in ("subjects", "aspects", "revisions")}
+    return resumed.select(*[had.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in ordered.schema.fields])
+
+
 def fold(observations: DataFrame, max_skew: int = 5 * SECOND, scopes: DataFrame | None = None) -> DataFrame:
     """source, arrival_seq, disposition, code of every observation."""
     return admit(observations, scopes, max_skew=max_skew).drop("fences")
@@ -222,6 +238,14 @@ def admit_strictly(observations: DataFrame, rounds: int = 20, **options) -> Data
     raise RuntimeError("strict admission needs more rounds")
 
 
+def canonical(observations: DataFrame) -> DataFrame:
+    """Observations with their claims in order of subject and aspect, and their causal references, if any, in order of
+    antecedent, strength and basis."""
+    by = lambda *names: lambda a, b: F.coalesce(*[F.when(a[n] < b[n], -1).when(a[n] > b[n], 1) for n in names], F.lit(0))
+    made = observations.withColumn("claims", F.array_sort("claims", by("subject", "aspect")))
+    return made.withColumn("causal", F.array_sort("causal", by("antecedent", "strength", "basis"))) if "causal" in made.columns else made
+
+
 def _outcome_of(observations: DataFrame, outcomes: DataFrame) -> DataFrame:
     frame = nested(observations)
     frame = frame.withColumn("observation_id", content(frame))
@@ -301,11 +325,13 @@ def recovered(claims: DataFrame, epoch: int) -> DataFrame:
 def lineages(records: DataFrame) -> DataFrame:
     """What sources are remembered by after a restart, from their records alone: the last incarnation in order of name,
     the SEEN last of them, the highest sequence and generation, the highest epoch of that generation, first and last
-    times, number of records."""
+    times, number of records; with observation_id, content is that of the last record, so that its repetition is known."""
+    one = "observation_id" in records.columns
+    last = [F.max_by("observation_id", F.struct("sequence", "received_at")).alias("content")] if one else []
     top = F.max(F.struct("generation", "epoch"))
     boots = F.sort_array(F.collect_set("incarnation"))
     by = records.groupBy("source").agg(
         F.max("incarnation").alias("incarnation"), boots.alias("boots"), F.max("sequence").alias("sequence"), top.getField("generation").alias("generation"), top.getField("epoch").alias("epoch"),
-        F.min("received_at").alias("first_receive"), F.max("received_at").alias("last_receive"), F.max("observed_at").alias("last_observation"), F.count("*").alias("records"),
+        F.min("received_at").alias("first_receive"), F.max("received_at").alias("last_receive"), F.max("observed_at").alias("last_observation"), (F.count_distinct("observation_id") if one else F.count("*")).alias("records"), *last,
     )
     return by.withColumn("boots", F.slice("boots", F.greatest(F.size("boots") - SEEN + 1, F.lit(1)), SEEN))

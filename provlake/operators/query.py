@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlake.functions.digests import digest_of
-from provlake.model import DEPTH
+from provlake.functions.digests import digest_of, headed
+from provlake.model import DEPTH, DOMAINS, KINDS, TRUTH
 from provlake.operators import hierarchy
 
 
+class Unsupported(ValueError):
+    """A filter names a kind, domain or truth that isn't there."""
+
+
 @dataclass(frozen=True)
 class Filter:
     kind: str | None = None
@@ -20,6 +25,22 @@ class Filter:
     aspect: str | None = None
     limit: int | None = None
 
+    @staticmethod
+    def from_json(text: str | dict) -> Filter:
+        """A filter from JSON: kind, domains, truths, aspect, limit (a decimal string or a number). Members of other
+        names count for nothing; values of another type are a ValueError, names that aren't there Unsupported."""
+        said = json.loads(text) if isinstance(text, str) else text
+        if not isinstance(said, dict):
+            raise ValueError("a filter is an object")
+        one = lambda k: _typed(said, k, str, None)
+        some = lambda k, names: tuple(_among(k, v, names) for v in _typed(said, k, list, []))
+        limit = said.get("limit")
+        if limit is not None and not (isinstance(limit, int | str) and not isinstance(limit, bool) and str(limit).isdecimal()):
+            raise ValueError("limit is a number")
+        if (kind := one("kind")) is not None:
+            _among("kind", kind, KINDS)
+        return Filter(kind, some("domains", DOMAINS), some("truths", TRUTH), one("aspect"), None if limit is None else int(limit))
+
     def of_kind(self) -> Column:
         return F.col("subject").startswith(self.kind + "/") if self.kind else F.lit(True)
 
@@ -34,6 +55,21 @@ class Filter:
         return out
 
 
+def _typed(said: dict, name: str, kind: type, default):
+    value = said.get(name, default)
+    if value is not default and not isinstance(value, kind):
+        raise ValueError(f"{name} is no {kind.__name__}")
+    return value
+
+
+def _among(what: str, name, names: tuple[str, ...]) -> str:
+    if not isinstance(name, str):
+        raise ValueError(f"{what} holds a value that is no text")
+    if name not in names:
+        raise Unsupported(f"{what} has no {name}")
+    return name
+
+
 def run(aspects: DataFrame, wanted: Filter) -> DataFrame:
     """Aspects that pass, of all subjects, or of the first subjects that have any where a limit is given; empty sets
     are no filter, and a limit of 0 is none. What a limit left out is told by header."""
@@ -71,10 +107,11 @@ def within(aspects: DataFrame, nodes: DataFrame, root: str, depth: int = DEPTH)
     return aspects.join(subtree(nodes, root, depth + 1).select(F.col("node").alias("subject")), "subject", "left_semi")
 
 
-def result_digest(rows: DataFrame) -> DataFrame:
-    """digest: one row, SHA-256 of the result of run, whatever its order."""
+def result_digest(rows: DataFrame, head: DataFrame | None = None) -> DataFrame:
+    """digest: one row, SHA-256 of the result of run, whatever its order; head: a snapshot's header, whose generation and
+    epoch then count too."""
     line = F.concat_ws("|", "aspect", "truth", F.coalesce("agreed", F.lit("~")))
-    return digest_of(rows.select(F.lit("aspect").alias("part"), F.col("subject").alias("key"), line.alias("line")))
+    return headed(digest_of(rows.select(F.lit("aspect").alias("part"), F.col("subject").alias("key"), line.alias("line"))), head)
 
 
 def last_records(claims: DataFrame, n: int) -> DataFrame:

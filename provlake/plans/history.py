@@ -30,17 +30,27 @@ class History:
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
+    def newest(self, most: int | None = None) -> DataFrame:
+        """The entries that are retained, the last ones first."""
+        rows = self.entries().orderBy(F.desc("index"))
+        return rows if most is None else rows.limit(most)
+
     def entries(self) -> DataFrame:
         """The entries that are retained; order by index."""
         every = self._table("entries", ENTRY)
         return every.crossJoin(F.broadcast(every.agg(F.max("index").alias("_last")))).where(F.col("index") > F.col("_last") - self.capacity).drop("_last")
 
     def publish(self, snapshot: Snapshot, published_at: int) -> int:
-        """Write the snapshot's aspects, then its entry, which makes it visible; returns its index."""
-        index = (self._table("entries", ENTRY).agg(F.max("index")).first()[0] or 0) + 1
+        """Write the snapshot's aspects, then its entry, which makes it visible; returns its index. A snapshot that is the
+        last one again isn't written."""
+        last = self._table("entries", ENTRY).agg(F.max("index"), F.max_by("snapshot_id", "index")).first()
+        made = snapshot.digest().first()[0]
+        if made == last[1]:
+            return last[0]
+        index = (last[0] or 0) + 1
         snapshot.aspects.write.mode("overwrite").parquet(f"{self.path}/aspects/index={index}")
         sums = self.aspects(index).agg(F.count("*").alias("aspects"), F.count_distinct("subject").alias("subjects"))
-        row = snapshot.digest().crossJoin(snapshot.header().select("generation", "epoch", "evaluated")).crossJoin(sums)
+        row = self.spark.createDataFrame([(made,)], "snapshot_id string").crossJoin(snapshot.header().select("generation", "epoch", "evaluated")).crossJoin(sums)
         row = row.select(F.lit(index).cast("long").alias("index"), "*", F.lit(published_at).cast("long").alias("published_at"))
         row.select(*[f.split()[0] for f in ENTRY.split(", ")]).coalesce(1).write.mode("append").parquet(f"{self.path}/entries")
         return index

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from provlake.functions.digests import digest_of
 from provlake.model import Policy
-from provlake.operators import compose
+from provlake.operators import compose, explain
+from provlake.sources import results
 
 
 @dataclass
@@ -21,6 +22,8 @@ class Snapshot:
     policy: Policy
     evaluated: Column | None = None
     authority: DataFrame | None = None
+    restart_epoch: int = 0
+    restart_count: int = 0
 
     @cached_property
     def records(self) -> DataFrame:
@@ -46,7 +49,28 @@ class Snapshot:
     def header(self) -> DataFrame:
         """One row: generation, epoch, evaluated and the watermarks of time."""
         at = F.col("received_max") if self.evaluated is None else self.evaluated
-        return compose.high_water(self.claims).select(F.col("high").alias("generation"), F.col("high_epoch").alias("epoch"), at.alias("evaluated"), "observed_max", "received_max", "received_min")
+        return compose.high_water(self.claims).select(F.col("high").alias("generation"), F.col("high_epoch").alias("epoch"), at.alias("evaluated"), "observed_max", "received_max", "received_min", F.lit(self.restart_epoch).cast("long").alias("restart_epoch"), F.lit(self.restart_count).cast("long").alias("restart_count"))
+
+    def subject(self, name: str) -> DataFrame:
+        """The aspects of one subject; none where it has no evidence."""
+        return self.aspects.where(F.col("subject") == name)
+
+    def aspect(self, subject: str, name: str) -> DataFrame:
+        return self.subject(subject).where(F.col("aspect") == name)
+
+    def source(self, name: str) -> DataFrame:
+        """The summary of one source."""
+        return compose.source_summary(self.claims.where(F.col("source") == name), self.policy, F.lit(0)).drop("freshness")
+
+    def subjects(self, claims: bool = True, conflicts: bool = True) -> DataFrame:
+        """One nested row for each subject, with or without the claims and conflicts of its aspects."""
+        groups = compose.conflict_groups(self.retained) if conflicts else None
+        return results.subjects(self.aspects, self.retained if claims else None, groups)
+
+    def summary(self) -> DataFrame:
+        """subject, aspect, place, key, line: the snapshot as lines of text; in order of the first four they are the text
+        itself. Fixed texts."""
+        return explain.summary(self.aspects, self.retained, compose.conflict_groups(self.retained))
 
     def content(self) -> DataFrame:
         """part, key, line: what the digest covers, as text: the aspects of subjects, their retained claims, sources."""

@@ -1,5 +1,6 @@
 """Golden vectors, fences against a plain fold, batch against stream, order independence, lines of JSON."""
 
+import json
 import random
 
 import pytest
@@ -11,7 +12,7 @@ from provlake.model import Policy
 from provlake.operators import compose, diff, explain, hierarchy, ingest, query
 from provlake.plans.history import History, NotFound
 from provlake.plans.snapshots import Snapshot
-from provlake.sources import events, ndjson
+from provlake.sources import events, ndjson, results
 from provlake.streaming import fences, view
 
 SF = "/root/testdata/sf0.001"
@@ -278,9 +279,9 @@ def test_history_and_view(spark, tmp_path):
     for call in (lambda: short.at(1), lambda: kept.diff_latest(3), lambda: kept.find("snap:none"), History(spark, str(tmp_path / "none")).latest):
         with pytest.raises(NotFound):
             call()
-    # a batch that runs twice counts once
+    # a batch that runs twice counts once, and the snapshot that it leads to is the published one
     view.publisher(*places, Policy())(frame.where("arrival_seq = 1"), 0)
-    assert kept.at(4).first()["claims"] == 3
+    assert kept.latest() == 3 and kept.at(3).first()["claims"] == 3 and [r["index"] for r in kept.newest(2).collect()] == [3, 2]
 
 
 def test_digest_of_a_table(spark):
@@ -439,3 +440,85 @@ def test_registered_query_meets_every_fence(spark):
 
     codes = {r["code"] for r in catalogue.queries()["authority_outcomes"](spark, SF).select("code").distinct().collect()}
     assert codes == {"Ok", "FencedAuthority", "FencedIncarnation", "FencedRevision"}
+
+
+def test_nested_values_and_their_lines(spark, tmp_path):
+    of = lambda k, v=None: {"k": k, "v": v}
+    deep = of("int", "1")
+    for _ in range(7):
+        deep = of("list", [deep])
+    good = {
+        "n": of("null"), "b:1": of("bool", True), "i:-5": of("int", "-5"), "u:18446744073709551615": of("uint", "18446744073709551615"), "r:-0.0": of("real", -0.0), "r:0.0": of("real", 0.0), "r:1.0E300": of("real", 1e300),
+        's:9:a"b\n é{}': of("text", 'a"b\n é{}'), "s:0:": of("text", ""), "x:0aff": of("blob", "0aFF"), "l[]": of("list", []), "l[3:i:1,5:s:1:x]": of("list", [of("int", "1"), of("text", "x")]),
+        "m{1:a=14:l[9:s:5:[1,2]],1:b=3:i:2}": of("map", [of("b", of("int", "2")), of("a", of("list", [of("text", "[1,2]")]))]), "l[37:l[31:l[25:l[19:l[13:l[8:l[3:i:1]]]]]]]": deep,
+    }
+    bad = [of("bool", "yes"), of("int", "5x"), of("int", str(2**63)), of("uint", "-1"), of("uint", str(2**64)), of("blob", "0a1"), of("text"), of("list", "x"), of("list", [of("int", "q")]), of("list", [deep]), of("map", [of("a", of("int", "1"))] * 2)]
+    every = [*good.values(), *bad, of("odd", "1")]
+    line = lambda n, v: json.dumps({"schema": "s", "fabric": "f", "source": "a", "incarnation": "i", "sequence": str(n), "generation": "1", "observed_at": "5", "claims": [{"subject": "device/d", "aspect": "link.state", "value": v}], "metadata": [of("a", "x")]})
+    (tmp_path / "x.ndjson").write_text("\n".join(line(n, v) for n, v in enumerate(every, 1)))
+    read = ndjson.read(spark, str(tmp_path / "x.ndjson")).cache()
+    got = {r["sequence"]: (r["status"], r["claims"][0]["canonical"]) for r in read.collect()}
+    assert [got[n] for n in sorted(got)] == [("Ok", c) for c in good] + [("MalformedInput", None)] * len(bad) + [("Unsupported", None)]
+    ndjson.lines(read.where("status = 'Ok'").drop("status")).write.text(str(tmp_path / "back"))
+    again = {r["sequence"]: (r["status"], r["claims"][0]["canonical"]) for r in ndjson.read(spark, str(tmp_path / "back")).collect()}
+    assert again == {n: v for n, v in got.items() if v[0] == "Ok"}
+
+
+def test_names_and_escapes(spark):
+    rows = [(t,) for t in ("a.b-1_", "A@b:c", "a\n", "", None, "a" * 65, 'q"\\\n\t\x01é\x7f')]
+    got = spark.createDataFrame(rows, "t string").select(x.identifier(F.col("t")), x.authority_name(F.col("t")), x.escaped(F.col("t")), x.number_of(("x", "a.b-1_"), F.col("t"))).collect()
+    assert [r[0] for r in got] == [True] + [False] * 6 and [r[1] for r in got] == [True, True] + [False] * 5
+    assert got[6][2] == '"q\\"\\\\\\n\\t\\x01é\\x7f"' and got[4][2] is None and [r[3] for r in got] == [1] + [None] * 6
+    sums = spark.createDataFrame([(5, 1), (x.MAX, 1), (3, 2)], "n long, g int").groupBy("g").agg(x.saturating_sum(F.col("n")).alias("s"))
+    assert {(r["g"], r["s"]) for r in sums.collect()} == {(1, x.MAX), (2, 3)}
+
+
+def test_filters_from_json():
+    made = query.Filter.from_json('{"kind": "device", "domains": ["link"], "truths": ["known", "stale"], "aspect": "link.state", "limit": "7", "other": 1}')
+    assert made == query.Filter("device", ("link",), ("known", "stale"), "link.state", 7) and query.Filter.from_json({}) == query.Filter()
+    for bad in ({"kind": "planet"}, {"domains": ["weather"]}, {"truths": ["true"]}):
+        with pytest.raises(query.Unsupported):
+            query.Filter.from_json(bad)
+    for bad in ([], {"kind": 1}, {"domains": "link"}, {"truths": [1]}, {"limit": "-1"}, {"limit": True}, {"limit": 1.5}, {"aspect": []}):
+        with pytest.raises(ValueError):
+            query.Filter.from_json(bad)
+
+
+def test_policies_are_checked_and_told_apart():
+    good = Policy(coverage={"link.state": (2, 3)}).validated()
+    assert good.digest() == Policy(coverage={"link.state": (2, 3)}).digest() != Policy().digest() and good.text().startswith("policy default r1 fresh=30000000000 aging=120000000000 skew=5000000000 recovered_as_fresh=no digest=")
+    for bad in (Policy(name="A"), Policy(name=""), Policy(fresh=-1), Policy(fresh=2, aging=1), Policy(coverage={"a.b": (0, 1)}), Policy(default_coverage=(1, 9))):
+        with pytest.raises(ValueError):
+            bad.validated()
+
+
+def test_a_fold_goes_on_from_lineages(spark):
+    old = [claim("a", "up", sequence=k, n=k) for k in (1, 2, 3)] + [claim("a", "up", incarnation="j", sequence=1, n=4), claim("b", "up", sequence=5, generation=4, epoch=2, n=5)]
+    before = spark.createDataFrame(old, CLAIM)
+    held = ingest.evidence(before, ingest.admit(before))
+    kept = ingest.lineages(held)
+    row = {r["source"]: r for r in kept.collect()}["a"]
+    assert (row["incarnation"], row["sequence"], row["records"], row["boots"]) == ("j", 3, 4, ["boot", "j"])
+    new = [
+        claim("a", "up", incarnation="j", sequence=3, n=10), claim("a", "up", incarnation="boot", sequence=9, n=11), claim("a", "up", incarnation="j", sequence=4, n=12), claim("a", "up", incarnation="k", sequence=1, n=13),
+        claim("b", "up", sequence=5, generation=4, epoch=2, n=5), claim("b", "down", sequence=5, generation=4, epoch=2, n=15), claim("b", "up", sequence=6, generation=3, n=16), claim("b", "up", sequence=7, generation=4, epoch=1, n=17), claim("c", "up", n=18),
+    ]
+    got = {r["arrival_seq"]: r["code"] for r in ingest.admit(spark.createDataFrame(new, CLAIM), resumed=kept).collect()}
+    assert got == {10: "FencedSequence", 11: "FencedIncarnation", 12: "Ok", 13: "Ok", 5: "FencedDuplicateContent", 15: "FencedSequence", 16: "FencedStaleGeneration", 17: "FencedStaleEpoch", 18: "Ok"}
+
+
+def test_restarts_lookups_and_nested_rows(spark):
+    frame = spark.createDataFrame([claim("a", "up", n=1), claim("b", "up", n=2)], CLAIM)
+    s, later = Snapshot(frame, Policy(), restart_epoch=1, restart_count=1), Snapshot(frame, Policy(), restart_epoch=3, restart_count=3)
+    assert tuple(diff.restarts(s.header(), later.header()).first()) == (True, 2) and tuple(diff.restarts(later.header(), s.header()).first()) == (True, 0)
+    assert s.subject("device/none").count() == 0 and s.source("source/none").count() == 0
+    lean = s.subjects(claims=False, conflicts=False).schema["aspects"].dataType.elementType.fieldNames()
+    assert "claims" not in lean and "conflicts" not in lean and {"claims", "conflicts"} <= set(s.subjects().schema["aspects"].dataType.elementType.fieldNames())
+    assert json.loads(results.as_json(s.header()).first()["value"])["restart_epoch"] == "1"
+
+
+def test_canonical_order_of_observations(spark):
+    claims, causal = [("b", "x", {"k": 1}), ("a", "y", {"k": 2}), ("a", "x", {"k": 3})], [("2", "s", "b"), ("1", "s", "c"), ("1", "s", "a")]
+    rows = spark.createDataFrame([(claims, causal)], "claims array<struct<subject:string,aspect:string,value:map<string,int>>>, causal array<struct<antecedent:string,strength:string,basis:string>>")
+    row = ingest.canonical(rows).first()
+    assert [(c["subject"], c["aspect"]) for c in row["claims"]] == [("a", "x"), ("a", "y"), ("b", "x")] and [c["basis"] for c in row["causal"]] == ["a", "c", "b"]
